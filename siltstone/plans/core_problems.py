@@ -163,8 +163,10 @@ def p6_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _month_of_ticks(ticks: F.Column) -> F.Column:
-    """Months since year 0 of a tick count since 1601."""
-    at = F.timestamp_micros(((ticks - F.lit(EPOCH_TICKS)) / 10).cast("bigint"))
+    """Months since year 0 of a tick count since 1601; days alone decide, so no time zone matters."""
+    since, day = ticks - F.lit(EPOCH_TICKS), F.lit(864_000_000_000)
+    days = ((since - F.pmod(since, day)) / day).cast("int")  # whole days are exact as doubles
+    at = F.date_from_unix_date(days)
     return F.year(at) * 12 + F.month(at) - 1
 
 

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators.dedup_index import first_copies
 from siltstone.session import get_text, list_names, path_exists, put_text, remove
 
 
@@ -94,11 +95,8 @@ class ChangeCapture:
         Of several copies the one with the fewest nulls is kept, ties by its values.
         """
         key = [self.partition, self.offset]
-        rest = [c for c in records.columns if c not in key]
-        filled = sum((F.col(f"`{c}`").isNotNull().cast("int") for c in rest), F.lit(0))
-        best = records.join(self.keys(plan), key, "left_semi").groupBy(*key).agg(F.max(F.struct(filled.alias("filled"), *[F.col(f"`{c}`") for c in rest])).alias("best"))
         target = f"{self.home}/sink/run={plan.run}"
-        best.select(*key, *[F.col("best").getField(c).alias(c) for c in rest]).write.mode("overwrite").parquet(target)
+        first_copies(records.join(self.keys(plan), key, "left_semi"), key).write.mode("overwrite").parquet(target)
         return target
 
     def commit(self, plan: Plan) -> None:

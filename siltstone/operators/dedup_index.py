@@ -183,16 +183,19 @@ class DedupIndex:
         return pairs.select(*[F.col(f"x.{c}").alias(name) for c, name in zip(columns, self.identifier)])
 
 
-def first_copies(messages: DataFrame, identifier: Sequence[str], prefer: Sequence[F.Column] = ()) -> DataFrame:
+def first_copies(messages: DataFrame, identifier: Sequence[str]) -> DataFrame:
     """One row of each message: the one with the fewest nulls, then the greatest by its values.
 
-    Rows with a null identifier are kept as they are.
+    Rows with a null identifier are kept as they are.  The choice is an aggregate, so a message with
+    very many copies is reduced before the shuffle.
     """
     rest = [c for c in messages.columns if c not in identifier]
     filled = sum((F.col(f"`{c}`").isNotNull().cast("int") for c in rest), F.lit(0))
     whole = F.lit(True)
     for c in identifier:
         whole &= F.col(f"`{c}`").isNotNull()
-    best = messages.where(whole).groupBy(*identifier).agg(F.max(F.struct(*prefer, filled.alias("filled"), *[F.col(f"`{c}`") for c in rest])).alias("best"))
-    kept = best.select(*[c if c in identifier else F.col("best").getField(c).alias(c) for c in messages.columns])
-    return kept.unionByName(messages.where(~whole))
+    # Fields are named by position: the messages may have columns of any name.
+    row = F.struct(filled.alias("n"), *[F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(rest)])
+    best = messages.where(whole).groupBy(*[F.col(f"`{c}`").alias(f"i{k}") for k, c in enumerate(identifier)]).agg(F.max(row).alias("best"))
+    at = {c: f"i{k}" for k, c in enumerate(identifier)} | {c: f"best.r{i}" for i, c in enumerate(rest)}
+    return best.select(*[F.col(at[c]).alias(c) for c in messages.columns]).unionByName(messages.where(~whole))

@@ -7,7 +7,8 @@ joined to a string, and a backreference pattern finds the repetitions; match spa
 the events.  Stretches at the edge of a task are put together afterwards: at most two rows a task.
 
 Defined results: two neighbours belong together if both have a symbol and a time, the symbols are
-equal and the times differ by at most ``gap``.  Rows with a null entity or order are ignored.  Copies
+equal and the times differ by at most ``gap``; an event without a symbol or time stands alone (and
+where ``least`` is 1 is reported with a 0 for what it lacks).  Rows with a null entity or order are ignored.  Copies
 (equal entity and order) count once; where they disagree, the smallest symbol and time count.  Empty
 tables give an empty result.  Extra columns are ignored.
 """

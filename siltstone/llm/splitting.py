@@ -84,7 +84,7 @@ def pieces(documents: DataFrame, key: str, text: str, limits: Sequence[tuple[int
                     for k, (lead, a, b) in enumerate(found):
                         row = (limit, i, k, len(found), lead, b - lead, a - lead, *whole.chars(lead, b))
                         rows.append((*row, whole.piece(lead, b)) if with_text else row)
-                held += len(whole.data)
+                held += len(whole.text)
                 if held > 1 << 23:  # long texts: hand the rows on before they pile up
                     held = 0
                     yield flush()

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from siltstone.operators.bitmaps import Bitmap
 from siltstone.session import get_text, put_text, written
 
-PER_BUCKET = 1 << 17
+PER_BUCKET = 1 << 15
 KINDS = ("key", "added", "removed", "changed")
 
 

@@ -4,8 +4,10 @@
     spark.read.format("siltstone_mft").option("path", "/images/*.img").load()
 
 ``siltstone_mft`` plans record ranges on the driver from the boot sector and the first record only;
-tasks read the byte extents of their range.  A lower or upper bound on the record number skips
-partitions (options ``first`` and ``last``, or a pushed filter).  ``siltstone_usn`` reads folders with
+tasks read the byte extents of their range.  The options ``first`` and ``last`` bound the record number
+and skip partitions.  They are options and not pushed filters because a pushed filter stays with the
+table in this Spark version, so that another query over the same DataFrame would miss rows.
+``siltstone_usn`` reads folders with
 one file per read buffer, named ``<seq>.usn``, in batch and as a stream whose offset is the next file.
 """
 
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from siltstone.errors import SiltstoneError
 from siltstone.sources import records, usn
@@ -51,18 +53,6 @@ class MftReader(DataSourceReader):
         self.per_partition = int(options.get("bytesperpartition", 64 << 20))
         self.low, self.high = int(options.get("first", 0)), int(options["last"]) + 1 if "last" in options else None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Bounds on record_number choose partitions; all filters are still applied by Spark."""
-        for f in filters:
-            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.attribute == ("record_number",):
-                value = int(f.value)
-                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                    self.low = max(self.low, value + isinstance(f, GreaterThan))
-                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                    bound = value + (not isinstance(f, LessThan))
-                    self.high = bound if self.high is None else min(self.high, bound)
-            yield f
-
     def partitions(self) -> Sequence[InputPartition]:
         out: list[InputPartition] = []
         for path in self.paths:
@@ -221,8 +211,7 @@ class UsnSource(DataSource):
 
 
 def register(spark) -> None:
-    """Make both formats known to a session, and let Spark push filters to them."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make both formats known to a session."""
     spark.dataSource.register(MftSource)
     spark.dataSource.register(UsnSource)
 

@@ -91,36 +91,49 @@ def _usable(name: Column) -> Column:
     return name.isNotNull() & ~F.coalesce(flag(name["file_attributes"], layout.REPARSE_POINT), F.lit(False))
 
 
+def _names_of(records: DataFrame, *more: Column) -> DataFrame:
+    """What is needed of the valid records to name them, from one pass over them, as a written table.
+
+    ``pick`` is the best of the own names; ``first`` the first name attribute, for lists of other
+    records; ``steps`` the names and lists in order, only where there is a list.
+    """
+    has_list = F.exists("attributes", lambda a: a["type_id"] == layout.ATTRIBUTE_LIST)
+    own = F.transform(F.filter(_of(layout.FILE_NAME), lambda a: _usable(a["name"])), lambda a: a["name"])
+    pick = F.coalesce(F.get(F.filter(own, _preferred), F.lit(0)), F.try_element_at(own, F.lit(-1)))
+    named = F.filter("attributes", lambda a: a["type_id"].isin(layout.FILE_NAME, layout.ATTRIBUTE_LIST))
+    steps = F.transform(named, lambda a: F.struct(a["ordinal"].alias("at"), a["type_id"].alias("type_id"), a["name"].alias("name"), a["entries"].alias("entries")))
+    first = first_attribute(layout.FILE_NAME)
+    columns = [F.when(~has_list, pick).alias("pick"), F.when(has_list, steps).alias("steps"), first.isNotNull().alias("has_name"), first["name"].alias("first")]
+    return written(records.where("is_valid").select(*KEY, *columns, *more), "names")
+
+
 def best_names(records: DataFrame) -> DataFrame:
     """(image, record_number, name STRUCT) of the valid records that have a usable name.
 
     The first name for long file systems wins, else the last of the others; reparse points do not
     count.  Attribute lists are followed by a join; only records that have one take part in it.
     """
-    valid = records.where("is_valid")
-    has_list = F.exists("attributes", lambda a: a["type_id"] == layout.ATTRIBUTE_LIST)
-    own = F.transform(F.filter(_of(layout.FILE_NAME), lambda a: _usable(a["name"])), lambda a: a["name"])
-    pick = F.coalesce(F.get(F.filter(own, _preferred), F.lit(0)), F.try_element_at(own, F.lit(-1)))
-    simple = valid.where(~has_list).select(*KEY, pick.alias("name"))
-    return simple.unionByName(_names_with_lists(valid, valid.where(has_list))).where("name IS NOT NULL")
+    return _best_of(_names_of(records))
+
+
+def _best_of(names: DataFrame) -> DataFrame:
+    simple = names.where("steps IS NULL").select(*KEY, F.col("pick").alias("name"))
+    return simple.unionByName(_names_with_lists(names)).where("name IS NOT NULL")
 
 
-def _names_with_lists(valid: DataFrame, listed: DataFrame) -> DataFrame:
+def _names_with_lists(names: DataFrame) -> DataFrame:
     """Names of the records with an attribute list, as an ordered fold over their candidates.
 
     Candidates are the own names and the name entries of the lists, in the order of a scan of the
     record.  A list that cannot be read ends the scan; an entry whose record or name attribute is
     missing leaves the file without a name; the first other name of a list ends that list.
     """
-    step = F.explode("attributes").alias("a")
-    steps = listed.select(*KEY, step).select(*KEY, F.col("a.ordinal").alias("at"), F.col("a.type_id").alias("type_id"), F.col("a.name").alias("name"), F.col("a.entries").alias("entries"))
+    steps = names.where("steps IS NOT NULL").select(*KEY, F.explode("steps").alias("a")).select(*KEY, "a.*")
     own = steps.where(F.col("type_id") == layout.FILE_NAME).select(*KEY, "at", F.lit(0).alias("nth"), F.when(_usable(F.col("name")), "name").otherwise("skip").alias("what"), "name")
     stops = steps.where((F.col("type_id") == layout.ATTRIBUTE_LIST) & F.col("entries").isNull()).select(*KEY, "at", F.lit(0).alias("nth"), F.lit("stop").alias("what"), "name")
     entries = steps.where(F.col("type_id") == layout.ATTRIBUTE_LIST).select("image", F.col("record_number").alias("owner"), "at", F.posexplode("entries").alias("nth", "e")).where(F.col("e.type_id") == layout.FILE_NAME)
     entries = entries.select("image", "owner", "at", "nth", record_number(F.col("e.reference")).alias("record_number"))
-    # Only the records that some list names are needed as targets.
-    first = first_attribute(layout.FILE_NAME)
-    targets = valid.join(entries.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, first.isNotNull().alias("has_name"), first["name"].alias("name"))
+    targets = names.select(*KEY, "has_name", F.col("first").alias("name"))
     followed = entries.join(targets, KEY, "left").select("image", F.col("owner").alias("record_number"), "at", "nth", F.when(~F.coalesce("has_name", F.lit(False)), "abort").when(_usable(F.col("name")), "listed").otherwise("skip").alias("what"), "name")
     # A record has at most as many candidates as fit into it, so the array is bounded.
     ordered = own.unionByName(stops).unionByName(followed).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("at", "nth", "what", "name"))).alias("c"))
@@ -168,34 +181,49 @@ def directory_paths(names: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def full_paths(records: DataFrame, volume: Column | None = None) -> DataFrame:
-    """(image, record_number, name, path) of all valid records; '' where there is no name or no way to the root.
+    """(image, record_number, reference_number, name, path) of all valid records; '' where there is no name or no way to the root.
 
     ``volume`` is put before each path; it is the image by default.
     """
-    names = written(best_names(records), "names")
-    parents = directory_paths(names).select("image", F.col("record_number").alias("parent"), F.col("path").alias("above"), "ok")
-    # The image of a root has no path of its own, so a parent that is the root needs no row.
-    joined = names.withColumn("parent", record_number(F.col("name.parent_reference"))).join(parents, ["image", "parent"], "left")
+    parts = _names_of(records, make_reference(F.col("sequence"), F.col("record_number")).alias("reference_number"))
+    return _located(parts.select(*KEY, "reference_number"), _best_of(parts), volume)
+
+
+def _located(keys: DataFrame, best: DataFrame, volume: Column | None) -> DataFrame:
+    names = written(best, "best-names")
+    above = directory_paths(names).select("image", F.col("record_number").alias("parent"), F.col("path").alias("above"), "ok")
+    joined = names.withColumn("parent", record_number(F.col("name.parent_reference"))).join(above, ["image", "parent"], "left")
     prefix = F.col("image") if volume is None else volume
     whole = F.concat(F.regexp_replace(prefix, r"\\$", ""), F.coalesce("above", F.lit("")), F.lit("\\"), F.col("name.name"))
     found = joined.select(*KEY, F.col("name.name").alias("name"), F.when(F.col("ok"), whole).otherwise(F.lit("")).alias("path"))
-    keys = records.where("is_valid").select(*KEY)
-    return keys.join(found, KEY, "left").select(*KEY, F.coalesce("name", F.lit("")).alias("name"), F.coalesce("path", F.lit("")).alias("path"))
+    return keys.join(found, KEY, "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("name", "path")})
 
 
-def file_info(records: DataFrame) -> DataFrame:
-    """Times and size of the files, without names: last standard information, last data attribute."""
+INFO = ("reference_number", "is_directory", "size", "created", "accessed", "modified", "created_ticks", "accessed_ticks", "modified_ticks")
+
+
+def _info() -> list[Column]:
     standard = F.try_element_at(F.filter("attributes", lambda a: a["standard"].isNotNull()), F.lit(-1))["standard"]
     sizes = F.filter("attributes", lambda a: (a["type_id"] == layout.DATA) & F.coalesce(a["data_size"], a["value_length"]).isNotNull())
     last = F.try_element_at(sizes, F.lit(-1))
     size = F.coalesce(F.when(last["non_resident"], unsigned(last["data_size"])).otherwise(last["value_length"].cast("decimal(20,0)")), F.lit(0).cast("decimal(20,0)"))
-    return used_files(records).select(
-        *KEY, make_reference(F.col("sequence"), F.col("record_number")).alias("reference_number"), is_directory(F.col("flags")).alias("is_directory"), size.alias("size"),
-        *[filetime_to_timestamp(standard[f]).alias(n) for n, f in (("created", "creation"), ("accessed", "access"), ("modified", "modification"))],
-        *[unix_ticks(standard[f]).alias(f"{n}_ticks") for n, f in (("created", "creation"), ("accessed", "access"), ("modified", "modification"))],
-    )
+    times = {"created": "creation", "accessed": "access", "modified": "modification"}
+    return [
+        make_reference(F.col("sequence"), F.col("record_number")).alias("reference_number"), is_directory(F.col("flags")).alias("is_directory"), size.alias("size"),
+        *[filetime_to_timestamp(standard[f]).alias(n) for n, f in times.items()], *[unix_ticks(standard[f]).alias(f"{n}_ticks") for n, f in times.items()],
+    ]
+
+
+def file_info(records: DataFrame) -> DataFrame:
+    """Times and size of the files, without names: last standard information, last data attribute."""
+    return used_files(records).select(*KEY, *_info())
 
 
 def files(records: DataFrame, volume: Column | None = None) -> DataFrame:
-    """The full listing: ``file_info`` with name and path."""
-    return file_info(records).join(full_paths(records, volume), KEY)
+    """The full listing: ``file_info`` with name and path, from one pass over the records.
+
+    Paths come from all valid records, since a directory may be free, unallocated or a metadata file.
+    """
+    is_file = (F.col("record_number") >= layout.FIRST_NORMAL_RECORD) & F.col("allocated") & in_use(F.col("flags"))
+    parts = _names_of(records, F.coalesce(is_file, F.lit(False)).alias("is_file"), *_info())
+    return _located(parts.where("is_file").select(*KEY, *INFO), _best_of(parts), volume)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import layout
+from siltstone.session import shuffle_partitions
 
 MASK64 = (1 << 64) - 1
 
@@ -100,6 +101,12 @@ def _ticks(at: pa.Array) -> list[int]:
     return [0 if v is None else v * 10 + layout.EPOCH_TICKS for v in at.cast(pa.int64()).to_pylist()]
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores: small tables come in one partition, and encoding and decoding are work for Python."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark)))
+
+
 def mft_images(spark, sf_dir: str) -> DataFrame:
     """(image, record_number, raw, allocated): the records of all volumes with their names.
 
@@ -136,7 +143,7 @@ def mft_images(spark, sf_dir: str) -> DataFrame:
                 raws.append(record(sequence, flags, parts, base or 0))
             yield pa.RecordBatch.from_arrays([batch["volume_id"].cast(pa.string()), batch["record_number"], pa.array(raws, pa.binary()), batch["allocated"]], ["image", "record_number", "raw", "allocated"])
 
-    return rows.mapInArrow(build, "image string, record_number bigint, raw binary, allocated boolean")
+    return _spread(rows).mapInArrow(build, "image string, record_number bigint, raw binary, allocated boolean")
 
 
 def document_images(spark, sf_dir: str, most_resident: int = 512) -> DataFrame:
@@ -162,7 +169,7 @@ def document_images(spark, sf_dir: str, most_resident: int = 512) -> DataFrame:
                 raws.append(record(1, 1, parts))
             yield pa.RecordBatch.from_arrays([pa.array(["documents"] * len(raws)), batch["doc_id"], pa.array(raws, pa.binary()), pa.array([True] * len(raws))], ["image", "record_number", "raw", "allocated"])
 
-    return rows.mapInArrow(build, "image string, record_number bigint, raw binary, allocated boolean")
+    return _spread(rows).mapInArrow(build, "image string, record_number bigint, raw binary, allocated boolean")
 
 
 def usn_buffers(rows: DataFrame, per_buffer: int = 256) -> DataFrame:
@@ -189,7 +196,7 @@ def usn_buffers(rows: DataFrame, per_buffer: int = 256) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([j for j, _ in done], pa.string()), pa.array(np.arange(n, n + len(done)), pa.int64()), pa.array(buffers, pa.binary())], ["journal", "seq", "buffer"])
             n += len(done)
 
-    return taken.mapInArrow(build, "journal string, seq bigint, buffer binary")
+    return _spread(taken).mapInArrow(build, "journal string, seq bigint, buffer binary")
 
 
 def batch_buffers(spark, sf_dir: str) -> DataFrame:

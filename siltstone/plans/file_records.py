@@ -57,7 +57,7 @@ def mft_best_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full paths of all records, under the path of their volume."""
-    records = written(_records(spark, sf_dir), "records")
+    records = _records(spark, sf_dir)
     volumes = spark.read.parquet(f"{sf_dir}/volumes.parquet").select(F.col("volume_id").cast("string").alias("image"), F.col("path").alias("volume"))
     paths = files.full_paths(records, F.lit(""))
     return paths.join(volumes, "image", "left").select("image", "record_number", "name", F.when(F.col("path") != "", F.concat("volume", "path")).otherwise(F.lit("")).alias("path"))
@@ -70,7 +70,7 @@ def mft_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mft_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The complete listing: files with name, path, size and times."""
-    records = written(_records(spark, sf_dir), "records")
+    records = _records(spark, sf_dir)
     volumes = spark.read.parquet(f"{sf_dir}/volumes.parquet").select(F.col("volume_id").cast("string").alias("image"), F.col("path").alias("volume"))
     listed = files.files(records, F.lit("")).join(volumes, "image", "left")
     path = F.when(F.col("path") != "", F.concat("volume", "path")).otherwise(F.lit("")).alias("path")
@@ -202,9 +202,8 @@ def usn_rename_match_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usn_enrich_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of the journal records as of the file records, by volume."""
-    records = written(_records(spark, sf_dir), "records")
-    references = records.where("is_valid").select("image", "record_number", make_reference(F.col("sequence"), F.col("record_number")).alias("reference"))
-    paths = files.full_paths(records, F.lit("")).join(references, ["image", "record_number"]).select(F.col("image").alias("journal"), "reference", "path")
+    found = files.full_paths(_records(spark, sf_dir), F.lit(""))
+    paths = found.select(F.col("image").alias("journal"), F.col("reference_number").alias("reference"), "path")
     rows = _usn(spark, sf_dir).withColumn("journal_id", F.col("volume_id"))
     return _plain(journal.with_paths(decode_buffers(encode.usn_buffers(rows)), paths), "path").withColumnRenamed("journal_id", "volume_id").withColumn("volume_id", F.col("volume_id").cast("int")).distinct()
 

@@ -17,8 +17,6 @@ from siltstone.errors import SiltstoneError
 from siltstone.functions import layout
 from siltstone.functions.arrow_types import arrow_type
 
-Attributes = list[dict[str, Any]]
-
 STANDARD_TYPE = "struct<creation:bigint,modification:bigint,mft_modification:bigint,access:bigint,file_attributes:bigint>"
 NAME_TYPE = "struct<parent_reference:bigint,allocated_size:bigint,real_size:bigint,file_attributes:bigint,reparse_tag:bigint,namespace:int,name:string>"
 ENTRY_TYPE = "struct<type_id:bigint,reference:bigint,starting_vcn:bigint,id:int>"
@@ -124,67 +122,67 @@ def utf16(data: bytes) -> str:
     return data.decode("utf-16-le", "replace")
 
 
-def _name(value: bytes) -> dict[str, Any] | None:
-    if len(value) < layout.NAME_HEADER.itemsize:
-        return None
-    head = np.frombuffer(value, layout.NAME_HEADER, 1)[0]
-    end = layout.NAME_HEADER.itemsize + 2 * int(head["name_length"])
-    if end > len(value):
-        return None
-    out = {f: _signed(int(head[f])) for f in ("parent_reference", "allocated_size", "real_size", "file_attributes", "reparse_tag", "namespace")}
-    return out | {"name": utf16(value[layout.NAME_HEADER.itemsize : end])}
-
+def _struct(kind: str, columns: dict[str, Any], missing: np.ndarray) -> pa.StructArray:
+    """A struct column of the type ``kind`` from numpy or Arrow columns; null where ``missing``."""
+    fields = list(arrow_type(kind))
+    arrays = []
+    for f in fields:
+        values = columns[f.name]
+        if isinstance(values, np.ndarray):
+            values = pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64))
+        arrays.append(values if values.type == f.type else values.cast(f.type))
+    return pa.StructArray.from_arrays(arrays, fields=fields, mask=pa.array(missing))
 
-def _standard(value: bytes) -> dict[str, int] | None:
-    if len(value) < layout.STANDARD.itemsize:
-        return None
-    head = np.frombuffer(value, layout.STANDARD, 1)[0]
-    return {f: _signed(int(head[f])) for f in layout.STANDARD.names}
 
-
-def _attributes(table: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, Attributes]:
+def _attributes(table: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, pa.StructArray]:
     """(row, attribute) of all attributes of the rows that are ok, in order."""
     size = table.shape[1]
     row, ordinal, offset = _walk(table, ok)
     flat = table.reshape(-1)
     base = row * size + offset
     head = _gather(flat, base, layout.ATTRIBUTE_HEADER, np.ones(len(base), bool))
-    length = head["length"].astype(np.int64)
+    length, kind = head["length"].astype(np.int64), head["type_id"]
     resident = head["non_resident"] == 0
     small, large = resident & (length >= layout.RESIDENT_HEADER.itemsize), ~resident & (length >= layout.NON_RESIDENT_HEADER.itemsize)
     inner = _gather(flat, base, layout.RESIDENT_HEADER, small)
     outer = _gather(flat, base, layout.NON_RESIDENT_HEADER, large)
     data = flat.tobytes()
-    columns = {f: head[f].tolist() for f in ("type_id", "length", "name_length", "flags", "id")}
-    values = {f: inner[f].tolist() for f in ("value_length", "value_offset")}
-    extents = {f: outer[f].tolist() for f in layout.NON_RESIDENT_HEADER.names}
-    out: Attributes = []
-    for i, (start, k, is_small, is_large) in enumerate(zip(base.tolist(), ordinal.tolist(), small.tolist(), large.tolist())):
-        end = start + columns["length"][i]
-        one: dict[str, Any] = {"ordinal": k, "non_resident": not resident[i], "value_length": None, "value": None, "runs": None, "standard": None, "name": None, "entries": None}
-        one |= {f: c[i] for f, c in columns.items()}
-        for f in ("lowest_vcn", "highest_vcn", "compression_unit", "allocated_size", "data_size", "initialized_size"):
-            one[f] = _signed(extents[f][i]) if is_large else None
-        if is_small:
-            one["value_length"] = values["value_length"][i]
-            at = start + values["value_offset"][i]
-            if at + one["value_length"] <= end:
-                value = one["value"] = data[at : at + one["value_length"]]
-                if one["type_id"] == layout.FILE_NAME:
-                    one["name"] = _name(value)
-                elif one["type_id"] == layout.STANDARD_INFORMATION:
-                    one["standard"] = _standard(value)
-                elif one["type_id"] == layout.ATTRIBUTE_LIST:
-                    one["entries"] = list_entries(value)
-        elif is_large and extents["runs_offset"][i] <= columns["length"][i]:
-            one["runs"] = data[start + extents["runs_offset"][i] : end]
-        out.append(one)
-    return row, out
-
-
-def attributes_of(table: np.ndarray) -> Attributes:
+
+    def slices(at: np.ndarray, end: np.ndarray, where: np.ndarray) -> list[bytes | None]:
+        return [data[a:b] if w else None for a, b, w in zip(at.tolist(), end.tolist(), where.tolist())]
+
+    value_at, value_length = base + inner["value_offset"], inner["value_length"].astype(np.int64)
+    has_value = small & (inner["value_offset"] + value_length <= length)
+    value = slices(value_at, value_at + value_length, has_value)
+    runs_at = base + outer["runs_offset"]
+    runs = slices(runs_at, base + length, large & (outer["runs_offset"] <= length))
+
+    is_name = has_value & (kind == layout.FILE_NAME) & (value_length >= layout.NAME_HEADER.itemsize)
+    names = _gather(flat, value_at, layout.NAME_HEADER, is_name)
+    text_at = value_at + layout.NAME_HEADER.itemsize
+    text_end = text_at + 2 * names["name_length"].astype(np.int64)
+    is_name &= text_end <= value_at + value_length
+    texts = pa.array([utf16(t) if t is not None else None for t in slices(text_at, text_end, is_name)], pa.string())
+    is_standard = has_value & (kind == layout.STANDARD_INFORMATION) & (value_length >= layout.STANDARD.itemsize)
+    standard = _gather(flat, value_at, layout.STANDARD, is_standard)
+    listed = np.flatnonzero(has_value & (kind == layout.ATTRIBUTE_LIST))
+    entries: list[list | None] = [None] * len(base)
+    for i in listed:
+        entries[i] = list_entries(value[i])
+
+    columns: dict[str, Any] = {f: head[f] for f in ("type_id", "length", "name_length", "flags", "id")}
+    columns |= {"ordinal": ordinal, "non_resident": pa.array(~resident), "value": pa.array(value, pa.binary()), "runs": pa.array(runs, pa.binary()), "value_length": pa.array(value_length, mask=~small)}
+    for f in ("lowest_vcn", "highest_vcn", "compression_unit", "allocated_size", "data_size", "initialized_size"):
+        columns[f] = pa.array(outer[f].view(np.int64) if outer[f].itemsize == 8 else outer[f].astype(np.int64), mask=~large)
+    columns["standard"] = _struct(STANDARD_TYPE, {f: standard[f] for f in layout.STANDARD.names}, ~is_standard)
+    columns["name"] = _struct(NAME_TYPE, {f: names[f] for f in layout.NAME_HEADER.names} | {"name": texts}, ~is_name)
+    columns["entries"] = pa.array(entries, arrow_type(f"array<{ENTRY_TYPE}>"))
+    return row, _struct(ATTRIBUTE_TYPE, columns, np.zeros(len(base), bool))
+
+
+def attributes_of(table: np.ndarray) -> list[dict[str, Any]]:
     """The attributes of a single record."""
-    return _attributes(table, np.ones(1, bool))[1]
+    return _attributes(table, np.ones(1, bool))[1].to_pylist()
 
 
 def decode_table(image: list[str | None], numbers: np.ndarray, allocated: pa.Array, table: np.ndarray, fail_fast: bool) -> pa.RecordBatch:
@@ -194,10 +192,10 @@ def decode_table(image: list[str | None], numbers: np.ndarray, allocated: pa.Arr
     if fail_fast and corrupt.any():
         raise SiltstoneError("CORRUPT_RECORD", number=int(numbers[np.flatnonzero(corrupt)[0]]))
     is_valid = valid(table) & ~corrupt
-    row, attributes = _attributes(table, is_valid) if is_valid.any() else (np.empty(0, np.int64), [])
+    row, attributes = _attributes(table, is_valid) if is_valid.any() else (np.empty(0, np.int64), pa.array([], arrow_type(ATTRIBUTE_TYPE)))
     # Rows without attributes have empty lists.
     offsets = np.searchsorted(row, np.arange(len(table) + 1)).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(attributes, arrow_type(ATTRIBUTE_TYPE)))
+    lists = pa.ListArray.from_arrays(pa.array(offsets), attributes)
     columns = [pa.array(image, pa.string()), pa.array(numbers, pa.int64()), allocated, pa.array(corrupt), pa.array(is_valid)]
     names = ["image", "record_number", "allocated", "corrupt", "is_valid"]
     whole = table.shape[1] >= layout.RECORD_HEADER.itemsize

@@ -102,8 +102,8 @@ def copies(sizes: DataFrame, state: DataFrame) -> DataFrame:
     used = state.where("target > 0").select("mix_id", "source", "cap", "rate_lambda", "mean")
     tilt = F.exp(F.least(F.col("rate_lambda") * F.col("n_tokens") / F.col("mean"), F.lit(50.0)))
     rate = F.when(F.col("rate_lambda").isNull(), F.col("cap").cast("double")).otherwise(F.least(tilt, "cap"))
-    # The state has as many rows as the parameter table, so it may be sent to every task.
-    rated = sizes.where("n_tokens > 0").join(F.broadcast(used), "source").select("mix_id", "doc_id", "source", "n_tokens", rate.alias("rate"), "cap")
+    # No hint: Spark knows the size of the state and sends it to all tasks only below its threshold.
+    rated = sizes.where("n_tokens > 0").join(used, "source").select("mix_id", "doc_id", "source", "n_tokens", rate.alias("rate"), "cap")
     kind = rated.schema["doc_id"].dataType.simpleString()
 
     def round_rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

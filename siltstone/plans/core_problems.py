@@ -252,7 +252,22 @@ walk(volume_id, record_number) AS (
   SELECT e.volume_id, e.record_number FROM walk w JOIN edges e ON e.volume_id = w.volume_id AND e.parent = w.record_number)
 SELECT DISTINCT e.volume_id, e.record_number FROM edges e LEFT JOIN walk w ON w.volume_id = e.volume_id AND w.record_number = e.parent WHERE e.parent IS NOT NULL AND w.record_number IS NULL
 """
-_USED = "SELECT volume_id, (sequence::BIGINT << 48) | record_number AS reference FROM {t} WHERE flags & 1 = 1"
+_TREE = f"""
+WITH RECURSIVE best AS (
+  SELECT volume_id, record_number, arg_max({{'parent': parent_reference & {RECORD_MASK}, 'name': name}}, CASE WHEN namespace IN (1, 3) THEN -attr_id ELSE attr_id - {1 << 40} END) AS x FROM file_name GROUP BY volume_id, record_number),
+links AS (
+  SELECT volume_id, record_number, x.parent AS parent, '\\' || coalesce(x.name, '') AS label FROM best
+  UNION ALL SELECT s.volume_id, s.record_number, CASE WHEN parent_reference & {RECORD_MASK} <> record_number THEN parent_reference & {RECORD_MASK} END, CASE WHEN parent_reference & {RECORD_MASK} = record_number THEN v.path ELSE '\\' || name END FROM system_record s LEFT JOIN volumes v USING (volume_id)),
+parents AS (SELECT DISTINCT volume_id, parent AS record_number FROM links WHERE parent IS NOT NULL),
+kinds AS (SELECT l.*, CASE WHEN p.record_number IS NULL THEN 1 ELSE 0 END AS leaf, u.record_number AS up FROM links l LEFT JOIN parents p USING (volume_id, record_number) LEFT JOIN links u ON u.volume_id = l.volume_id AND u.record_number = l.parent),
+walk(volume_id, record_number, root, depth, path, place, above) AS (
+  SELECT volume_id, record_number, record_number, 0::BIGINT, label, [leaf, record_number], [record_number] FROM kinds WHERE up IS NULL
+  UNION ALL
+  SELECT k.volume_id, k.record_number, w.root, w.depth + 1, w.path || k.label, w.place || [k.leaf, k.record_number], w.above || [k.record_number] FROM walk w JOIN kinds k ON k.volume_id = w.volume_id AND k.up = w.record_number),
+below AS (SELECT volume_id, record_number, count(*) - 1 AS n_below FROM (SELECT volume_id, unnest(above) AS record_number FROM walk) GROUP BY volume_id, record_number),
+placed AS (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY place) - 1 AS lft FROM walk JOIN below USING (volume_id, record_number))
+SELECT l.volume_id, l.record_number, l.parent, p.root, p.depth, p.path, p.lft, p.lft + p.n_below AS rgt, p.n_below FROM links l LEFT JOIN placed p USING (volume_id, record_number)
+"""
 _REFS = f"""
 WITH used AS (SELECT volume_id, record_number, sequence FROM mft_record WHERE flags & 1 = 1 UNION SELECT volume_id, record_number, sequence FROM system_record WHERE flags & 1 = 1),
 owners AS (SELECT volume_id, record_number, max(captured_at) AS at FROM mft_record GROUP BY volume_id, record_number),
@@ -275,6 +290,7 @@ SQL: dict[str, str] = {
     "p5_kept": "SELECT journal_id, usn, max(volume_id) AS volume_id, max(ticks) AS ticks, max(file_id) AS file_id, max(parent_id) AS parent_id, max(reason) AS reason FROM usn_record GROUP BY journal_id, usn",
     "p5_novel": "WITH b AS (SELECT min(batch_id) AS low, (max(batch_id) - min(batch_id)) // 3 + 1 AS span FROM usn_record), f AS (SELECT journal_id, usn, min((batch_id - low) // span)::INTEGER + 1 AS wave FROM usn_record, b GROUP BY journal_id, usn) SELECT wave, count(*) AS n_novel FROM f GROUP BY wave",
     "p6_found": _P6,
+    "p6_tree": _TREE,
     "p7_found": f"{_REFS} SELECT DISTINCT source_table, owner_id, row_key, attr_id FROM lost",
     "p7_report": f"{_REFS} SELECT source_table, period, count(*) AS n_orphans FROM lost GROUP BY source_table, period",
 }

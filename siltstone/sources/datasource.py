@@ -35,6 +35,11 @@ def _paths(options: dict) -> list[str]:
     return sorted(p for pattern in options["path"].split(",") for p in (glob.glob(pattern) or [pattern]))
 
 
+def _within(extents: list[Extent], low: int, high: int) -> list[Extent]:
+    """The extents that have a part of the bytes low..high."""
+    return [e for e in extents if e[0] < high and e[0] + e[2] > low]
+
+
 @dataclass
 class MftRange(InputPartition):
     path: str
@@ -42,7 +47,8 @@ class MftRange(InputPartition):
     first: int
     last: int  # exclusive
     extents: list[Extent]
-    bitmap: bytes  # from the byte of ``first``
+    bitmap_size: int
+    bitmap: list[Extent]
 
 
 class MftReader(DataSourceReader):
@@ -63,15 +69,17 @@ class MftReader(DataSourceReader):
             for first in range(self.low // 8 * 8, max(end, 0), step):
                 last = min(first + step, end)
                 low, high = first * size, last * size
-                parts = [e for e in boot.extents if e[0] < high and e[0] + e[2] > low]
-                out.append(MftRange(path, size, first, last, parts, boot.bitmap[first // 8 : (last + 7) // 8]))
-        return out or [MftRange("", 1024, 0, 0, [], b"")]
+                out.append(MftRange(path, size, first, last, _within(boot.extents, low, high), boot.bitmap_size, _within(boot.bitmap_extents, first // 8, (last + 7) // 8)))
+        return out or [MftRange("", 1024, 0, 0, [], 0, [])]
 
     def read(self, partition: MftRange) -> Iterator[pa.RecordBatch]:
         per_batch = max(1, (4 << 20) // partition.record_size)
         if partition.last <= partition.first:
             return
         with open(partition.path, "rb") as file:
+            begin = partition.first // 8
+            n_bytes = max(0, min((partition.last + 7) // 8, partition.bitmap_size) - begin)
+            bits = np.unpackbits(np.frombuffer(read_extents(file, partition.bitmap, begin, n_bytes), np.uint8), bitorder="little")
             for first in range(partition.first, partition.last, per_batch):
                 last = min(first + per_batch, partition.last)
                 numbers = np.arange(first, last)
@@ -79,7 +87,6 @@ class MftReader(DataSourceReader):
                 data = read_extents(file, partition.extents, first * partition.record_size, (last - first) * partition.record_size)
                 table = np.frombuffer(data, np.uint8).reshape(-1, partition.record_size)[keep]
                 numbers = numbers[keep]
-                bits = np.unpackbits(np.frombuffer(partition.bitmap, np.uint8), bitorder="little")
                 at = numbers - partition.first
                 allocated = pa.array(np.where(at < len(bits), bits[np.minimum(at, len(bits) - 1)], 0).astype(bool) if len(bits) else np.zeros(len(at), bool))
                 images = [partition.path] * len(numbers)

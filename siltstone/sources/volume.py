@@ -72,7 +72,7 @@ Extent = tuple[int, int | None, int]
 
 
 class Bootstrap:
-    """What must be known before the table can be read in parallel: extents of $DATA and the bytes of $BITMAP."""
+    """What must be known before the table can be read in parallel: sizes and extents of $DATA and $BITMAP."""
 
     def __init__(self, path: str, open_file: Callable[[], BinaryIO] | None = None):
         self.open = open_file or (lambda: open(path, "rb"))
@@ -80,8 +80,7 @@ class Bootstrap:
             self.geometry = geometry(path, read_exactly(file, 0, layout.BOOT_SECTOR.itemsize))
             first = self._record(file, self.geometry.mft_position)
             self.data_size, self.extents = self._stream(file, first, layout.DATA, "Data")
-            bitmap_size, bitmap = self._stream(file, first, layout.BITMAP, "Bitmap")
-            self.bitmap = read_extents(file, bitmap, 0, bitmap_size)
+            self.bitmap_size, self.bitmap_extents = self._stream(file, first, layout.BITMAP, "Bitmap")
         self.n_records = self.data_size // self.geometry.record_size
 
     def _record(self, file: BinaryIO, position: int) -> dict:

@@ -177,6 +177,15 @@ class DedupIndex:
         """The identifiers that the batch of ``run`` brought for the first time."""
         return self._pairs([run], "k")
 
+    def kept(self, messages: DataFrame, run: str) -> DataFrame:
+        """The rows of the batch of ``run`` to hand on: one of each novel message, and those without an identifier."""
+        one = first_copies(messages, self.identifier)
+        known = self.novel(run)
+        whole = F.lit(True)
+        for c in self.identifier:
+            whole &= F.col(f"`{c}`").isNotNull()
+        return one.join(known, self.identifier, "left_semi").unionByName(one.where(~whole))
+
     def _pairs(self, runs: Sequence[str], what: str) -> DataFrame:
         columns = [f"{what}{i}" for i in range(len(self.identifier))]
         pairs = self._read(runs).select(F.explode(F.arrays_zip(*columns)).alias("x"))

@@ -179,3 +179,15 @@ def endless(links: DataFrame, tree: str, node: str, parent: str, ends: DataFrame
     below = plain.join(stuck.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_semi").select("tree", "node").distinct()
     types = {c: links.schema[c].dataType for c in (tree, node)}
     return below.select(F.col("tree").cast(types[tree]).alias(tree), F.col("node").cast(types[node]).alias(node))
+
+
+def descendants(ranges: DataFrame, wanted: DataFrame, tree: str, node: str) -> DataFrame:
+    """(tree, ancestor, node, distance) of all nodes below each of the ``wanted`` (tree, node), from their ranges.
+
+    ``ranges`` is the result of ``nested_sets``.  Every row belongs to the result, so none is compared in
+    vain but those of other subtrees of the same tree; nodes in or below a circle have none.
+    """
+    roots = ranges.join(wanted.select(tree, node).distinct(), [tree, node], "left_semi").where("lft IS NOT NULL AND rgt > lft")
+    roots = roots.select(F.col(tree).alias("t"), F.col(node).alias("ancestor"), F.col("lft").alias("low"), F.col("rgt").alias("high"), F.col("depth").alias("at"))
+    inside = ranges.where("lft IS NOT NULL").join(roots, (F.col(tree) == F.col("t")) & (F.col("lft") > F.col("low")) & (F.col("lft") <= F.col("high")))
+    return inside.select(tree, "ancestor", node, (F.col("depth") - F.col("at")).alias("distance"))

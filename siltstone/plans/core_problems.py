@@ -97,8 +97,8 @@ def p4_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 5: messages delivered more than once --------------------------------------------------------
 
 
-def _index(spark: SparkSession, sf_dir: str, waves: int) -> tuple[dedup_index.DedupIndex, list[str]]:
-    """Index the deliveries in the order of their read batches, in ``waves`` incoming batches."""
+def _index(spark: SparkSession, sf_dir: str, waves: int) -> tuple[dedup_index.DedupIndex, list[tuple[DataFrame, str]]]:
+    """Index the deliveries in the order of their read batches, in ``waves`` incoming batches; with (batch, run) of each."""
     records = table(spark, sf_dir, "usn_record")
     low, high, rows = records.agg(F.min("batch_id"), F.max("batch_id"), F.count(F.lit(1))).first()
     index = dedup_index.DedupIndex(spark, scratch_path(spark, "dedup"), ["journal_id", "usn"], merge_every=2)
@@ -107,7 +107,7 @@ def _index(spark: SparkSession, sf_dir: str, waves: int) -> tuple[dedup_index.De
     for n in range(waves):
         inside = F.col("batch_id") < low + (n + 1) * span
         wave = records.where(F.coalesce(F.col("batch_id"), F.lit(low)) >= low + n * span).where(inside | F.col("batch_id").isNull() if n == 0 else inside)
-        runs.append(index.admit(wave, rows // waves))
+        runs.append((wave, index.admit(wave, rows // waves)))
     return index, runs
 
 
@@ -117,15 +117,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row of each message, completed by the choice of the copy with the fewest nulls."""
-    records = table(spark, sf_dir, "usn_record").select("journal_id", "usn", "volume_id", "ticks", "file_id", "parent_id", "reason", "name")
-    return dedup_index.first_copies(records, ["journal_id", "usn"]).select("journal_id", "usn", "volume_id", "ticks", "file_id", "parent_id", "reason")
+    """One row of each message: of the first batch that brought it the copy with the fewest nulls."""
+    index, runs = _index(spark, sf_dir, 3)
+    columns = ["journal_id", "usn", "volume_id", "ticks", "file_id", "parent_id", "reason"]
+    parts = [index.kept(wave.select(*columns, "name"), run).select(*columns) for wave, run in runs]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def p5_novel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per incoming batch the number of messages that it brought for the first time."""
     index, runs = _index(spark, sf_dir, 3)
-    parts = [index.novel(r).groupBy().agg(F.count(F.lit(1)).alias("n_novel")).select(F.lit(n + 1).alias("wave"), "n_novel") for n, r in enumerate(runs)]
+    parts = [index.novel(r).groupBy().agg(F.count(F.lit(1)).alias("n_novel")).select(F.lit(n + 1).alias("wave"), "n_novel") for n, (_, r) in enumerate(runs)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

@@ -38,8 +38,10 @@ def test_nulls_and_empty_batches(spark, home):
     index.admit(make(spark, []))
     index.admit(make(spark, [(None, 1), (None, 1), (1, None), (2, 2)]))
     assert index.repeated().count() == 0
-    index.admit(make(spark, [(2, 2), (None, 1)]))
-    assert rows(index.repeated()) == [(2, 2)]
+    last = make(spark, [(2, 2), (None, 1), (3, 3), (3, 3)])
+    run = index.admit(last)
+    assert rows(index.repeated()) == [(2, 2), (3, 3)]
+    assert rows(index.kept(last, run).select("a", "b", "h")) == [(None, 1, "x"), (3, 3, "x")]
 
 
 def test_equal_hashes_are_told_apart():

@@ -85,33 +85,34 @@ def test_files_are_chosen(spark):
     assert rows(files.file_info(df).select("record_number", "is_directory", "size", "created")) == [(24, False, 0, None), (27, True, 0, None)]
 
 
-@pytest.mark.parametrize(
-    ("attributes", "expected"),
-    [
-        ([name("w")], "w"),
-        ([name("d", D), name("w")], "w"),
-        ([name("p", P), name("d", D)], "d"),
-        ([name("w", W, attributes=REPARSE), name("d", D)], "d"),
-        ([name("w", W, attributes=REPARSE)], None),
-        ([], None),
-        ([listing(999), name("w")], None),  # missing record
-        ([listing(101), name("w")], None),  # record without a name
-        ([encode.stream_attribute(layout.ATTRIBUTE_LIST, 5, encode.run_list([(1, 1)])), name("w")], None),  # not in the record
-        ([listing(100), name("w")], "w"),  # 100 has a short name
-        ([listing(100)], "short"),
-        ([listing(102), name("d", D)], "d"),
-        ([listing(103), name("w")], "long"),
-        ([listing(104, 103)], "long"),  # a reparse name is passed over
-        ([listing(100, 103)], "short"),  # another name ends the list
-        ([listing(100, 999), name("w")], "w"),  # so that what follows in it does not matter
-        ([name("w1"), name("w2", B)], "w1"),
-        ([name("p1", P), name("p2", P)], "p2"),
-    ],
-)
-def test_best_name(spark, attributes, expected):
-    recs = {100: encode.record(1, 1, [name("short", D)]), 101: encode.record(1, 1, []), 102: encode.record(1, 1, [name("posix", P)]), 103: encode.record(1, 1, [name("long"), name("other")]), 104: encode.record(1, 1, [name("r", W, attributes=REPARSE)]), 50: encode.record(1, 1, attributes)}
-    got = files.best_names(table(spark, recs)).where("record_number = 50").select("name.name").collect()
-    assert [r["name"] for r in got] == ([expected] if expected else [])
+NAME_CASES = [
+    ([name("w")], "w"),
+    ([name("d", D), name("w")], "w"),
+    ([name("p", P), name("d", D)], "d"),
+    ([name("w", W, attributes=REPARSE), name("d", D)], "d"),
+    ([name("w", W, attributes=REPARSE)], None),
+    ([], None),
+    ([listing(999), name("w")], None),  # missing record
+    ([listing(101), name("w")], None),  # record without a name
+    ([encode.stream_attribute(layout.ATTRIBUTE_LIST, 5, encode.run_list([(1, 1)])), name("w")], None),  # not in the record
+    ([listing(100), name("w")], "w"),  # 100 has a short name
+    ([listing(100)], "short"),
+    ([listing(102), name("d", D)], "d"),
+    ([listing(103), name("w")], "long"),
+    ([listing(104, 103)], "long"),  # a reparse name is passed over
+    ([listing(100, 103)], "short"),  # another name ends the list
+    ([listing(100, 999), name("w")], "w"),  # so that what follows in it does not matter
+    ([name("w1"), name("w2", B)], "w1"),
+    ([name("p1", P), name("p2", P)], "p2"),
+]
+
+
+def test_best_name(spark):
+    targets = {100: encode.record(1, 1, [name("short", D)]), 101: encode.record(1, 1, []), 102: encode.record(1, 1, [name("posix", P)]), 103: encode.record(1, 1, [name("long"), name("other")]), 104: encode.record(1, 1, [name("r", W, attributes=REPARSE)])}
+    data = [(str(i), n, bytearray(raw), True) for i, (attributes, _) in enumerate(NAME_CASES) for n, raw in (targets | {50: encode.record(1, 1, attributes)}).items()]
+    raw = spark.createDataFrame(data, "image string, record_number bigint, raw binary, allocated boolean")
+    got = {int(r["image"]): r["name"] for r in files.best_names(records.decode_records(raw)).where("record_number = 50").select("image", "name.name").collect()}
+    assert [got.get(i) for i in range(len(NAME_CASES))] == [expected for _, expected in NAME_CASES]
 
 
 def test_size_and_times_are_those_of_the_last_attribute(spark):

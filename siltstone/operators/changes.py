@@ -10,9 +10,10 @@ third of all rows costs one row per task, not one task for all its rows.
 
 Defined results: a change with a null identifier, key or sequence is ignored; a null in the delete
 condition means no delete.  Copies of a change may miss values: each carried column comes from the
-latest change of the key in which it is not null.  Changes of one key with equal sequence but
-different identifiers are ordered by identifier, highest last.  Empty tables give an empty state.
-Extra columns are ignored, whatever their names.
+latest change of the key in which it is not null, in its own type; where copies disagree, the greatest
+value counts (of maps, which have no order, that with the greatest JSON text).  Changes of one key with
+equal sequence but different identifiers are ordered by identifier, highest last.  Empty tables give
+an empty state.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
+
+
+def _greatest(column: str, kind: DataType) -> Column:
+    """The greatest value of a column; ``map`` anywhere in a type takes its order away."""
+    if "map<" in kind.simpleString():
+        return F.max_by(column, F.to_json(F.struct(column)))
+    return F.max(column)
 
 
 def unique_changes(changes: DataFrame, identifier: Sequence[str], key: Sequence[str], seq: str, delete: Column, carry: Sequence[str] = ()) -> DataFrame:
@@ -34,7 +43,7 @@ def unique_changes(changes: DataFrame, identifier: Sequence[str], key: Sequence[
     )
     ids, keys = [f"i{n}" for n in range(len(identifier))], [f"k{n}" for n in range(len(key))]
     whole = named.dropna(subset=[*ids, *keys, "seq"])
-    return whole.groupBy(*ids).agg(*[F.max(k).alias(k) for k in keys], F.max("seq").alias("seq"), F.max("gone").alias("gone"), *[F.max(f"c_{c}").alias(f"c_{c}") for c in carry])
+    return whole.groupBy(*ids).agg(*[F.max(k).alias(k) for k in keys], F.max("seq").alias("seq"), F.max("gone").alias("gone"), *[_greatest(f"c_{c}", whole.schema[f"c_{c}"].dataType).alias(f"c_{c}") for c in carry])
 
 
 def latest_per_key(unique: DataFrame, n_ids: int, n_keys: int, carry: Sequence[str] = ()) -> DataFrame:
@@ -44,15 +53,17 @@ def latest_per_key(unique: DataFrame, n_ids: int, n_keys: int, carry: Sequence[s
     last = unique.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("rank = 1")
     if not carry:
         return last.select(*keys, "seq", "gone")
-    # One candidate row per change and column that it sets; slot -1 is the change itself.
-    cells = [F.struct(F.lit(-1).alias("slot"), F.lit(None).cast("string").alias("value"))]
-    cells += [F.when(F.col(f"c_{c}").isNotNull(), F.struct(F.lit(n).alias("slot"), F.col(f"c_{c}").cast("string").alias("value"))) for n, c in enumerate(carry)]
+    # One candidate row per change and column that it sets, each value in a field of its own type; slot -1 is the change itself.
+    def cell(slot: int) -> Column:
+        values = [F.col(f"c_{c}") if n == slot else F.lit(None).cast(unique.schema[f"c_{c}"].dataType) for n, c in enumerate(carry)]
+        return F.struct(F.lit(slot).alias("slot"), *[v.alias(f"c_{c}") for v, c in zip(values, carry)])
+
+    cells = [cell(-1), *[F.when(F.col(f"c_{c}").isNotNull(), cell(n)) for n, c in enumerate(carry)]]
     long = unique.select(*keys, *ids, "seq", "gone", F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("cell")).select(*keys, *ids, "seq", "gone", "cell.*")
     top = long.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "slot").orderBy(*order))).where("rank = 1")
     wide = [F.max(F.when(F.col("slot") == -1, F.col(c))).alias(c) for c in ("seq", "gone")]
-    for n, c in enumerate(carry):
-        kind = unique.schema[f"c_{c}"].dataType
-        wide += [F.max(F.when(F.col("slot") == n, F.col("value"))).cast(kind).alias(f"c_{c}"), F.max(F.when(F.col("slot") == n, F.col("seq"))).alias(f"s_{c}")]
+    for n, c in enumerate(carry):  # a key has one row per slot, so there is nothing to choose
+        wide += [F.first(F.when(F.col("slot") == n, F.col(f"c_{c}")), ignorenulls=True).alias(f"c_{c}"), F.max(F.when(F.col("slot") == n, F.col("seq"))).alias(f"s_{c}")]
     return top.groupBy(*keys).agg(*wide)
 
 

@@ -4,13 +4,22 @@ The index is a set of immutable runs in the shared folder.  A run has, per hash
 sorted 64-bit hashes of its identifiers and, in the same order, the identifiers themselves.  An
 incoming batch is first reduced to one row per identifier with its number of copies (before the
 shuffle, so that a message repeated in a third of all rows costs one row per task), then grouped by
-hash prefix beside the index blocks of that prefix.  Each group is binary-searched; equal hashes are
-confirmed on the identifier, so a hash collision never loses a message.  Runs are merged after every
-``merge_every`` batches, and the prefix grows with the index so that a group stays bounded.
+hash prefix beside the index blocks of that prefix; blocks of prefixes that the batch does not have
+are left out before the shuffle.  Each group is binary-searched; equal hashes are confirmed on the
+identifier, so a hash collision never loses a message.
+
+Runs are merged in tiers: ``merge_every`` runs of one tier become one of the next, so that an
+identifier is rewritten once per tier and not once per merge.  The prefix grows with the index, at
+which all runs are merged, so that a group stays bounded.
+
+A batch has a name.  The manifest, published in numbered versions by a rename, says which run belongs
+to which batch: a batch that is admitted again, because something failed after it was indexed, gets
+the run it had, and with it the same messages to hand on.  Merging is a step of its own before a new
+batch; it never changes what a batch brought.
 
 Defined results: identifiers are one or more integer columns.  A row with a null in its identifier
 cannot be recognised: it counts as novel and is neither indexed nor reported.  Empty batches add an
-empty run.  Repeating a batch after a failure overwrites the same run.  Extra columns are ignored.
+empty run.  Extra columns are ignored.  A folder with runs but no manifest is refused.
 """
 
 from __future__ import annotations
@@ -23,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.session import get_text, put_text
+from siltstone.session import latest_version, list_names, put_version
 
 BLOCK = 1 << 16
 PER_PREFIX = 1 << 17
@@ -120,58 +129,89 @@ class DedupIndex:
         self.schema = ", ".join(["prefix bigint", "h array<bigint>", *[f"{n} array<bigint>" for n in names]])
 
     def _manifest(self) -> dict:
-        text = get_text(self.spark, f"{self.home}/manifest")
-        return json.loads(text) if text else {"bits": 4, "rows": 0, "runs": [], "batches": []}
+        newest = latest_version(self.spark, self.home, "manifest")
+        if newest:
+            return json.loads(newest[1])
+        if [x for x in list_names(self.spark, self.home) if x.startswith(("run-", "merged-"))]:
+            raise OSError(f"{self.home} has runs but no manifest")
+        empty = {"bits": 4, "rows": 0, "runs": [], "batches": {}, "merges": 0}
+        self._publish(empty)  # before the first run, so that runs without a manifest can be told
+        return empty
 
     def _publish(self, manifest: dict) -> None:
-        put_text(self.spark, f"{self.home}/manifest", json.dumps(manifest))
+        put_version(self.spark, self.home, "manifest", json.dumps(manifest))
 
     def _read(self, runs: Sequence[str]) -> DataFrame:
         if not runs:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[f"{self.home}/{r}" for r in runs])
 
-    def admit(self, messages: DataFrame, rows: int | None = None) -> str:
-        """Index a batch and give the name of its run.  ``rows`` is a size estimate; it is counted where absent."""
+    def admit(self, messages: DataFrame, batch: str | None = None, rows: int | None = None) -> str:
+        """Index a batch and give the name of its run; a batch that is known already keeps its run.
+
+        ``batch`` names the batch; without it every call is a new one.  ``rows`` is a size estimate,
+        which is counted where absent.
+        """
         manifest = self._manifest()
-        total = manifest["rows"] + (messages.count() if rows is None else rows)
-        n = len(self.identifier)
-        bits = manifest["bits"]
-        if not manifest["runs"]:
-            bits = manifest["bits"] = max(4, (total // PER_PREFIX).bit_length())
-        elif total // PER_PREFIX > 4 << bits:
-            manifest = self.merge(max(bits, (total // PER_PREFIX).bit_length()))
-            bits = manifest["bits"]
-        ids = messages.select(*[F.col(c).cast("bigint").alias(f"k{i}") for i, c in enumerate(self.identifier)]).dropna()
-        ids = ids.groupBy(*[f"k{i}" for i in range(n)]).agg(F.count(F.lit(1)).alias("copies"))
-        ids = ids.withColumn("h", F.shiftrightunsigned(F.xxhash64(*[f"k{i}" for i in range(n)]), 1)).withColumn("prefix", F.shiftrightunsigned("h", 63 - bits))
-        index = self._read(manifest["runs"]).select("prefix", "h", *[f"k{i}" for i in range(n)])
+        batch = f"#{len(manifest['batches'])}" if batch is None else batch
+        if batch in manifest["batches"]:
+            return manifest["batches"][batch]
+        rows = messages.count() if rows is None else rows
+        manifest = self.maintain(rows)
+        n, bits = len(self.identifier), manifest["bits"]
+        names = [f"k{i}" for i in range(n)]
+
+        def keyed(df: DataFrame) -> DataFrame:
+            return df.withColumn("h", F.shiftrightunsigned(F.xxhash64(*names), 1)).withColumn("prefix", F.shiftrightunsigned("h", 63 - bits))
+
+        plain = messages.select(*[F.col(c).cast("bigint").alias(k) for c, k in zip(self.identifier, names)]).dropna()
+        ids = keyed(plain.groupBy(*names).agg(F.count(F.lit(1)).alias("copies")))
+        index = self._read([r["name"] for r in manifest["runs"]]).select("prefix", "h", *names)
+        if manifest["runs"]:
+            index = index.join(keyed(plain).select("prefix").distinct(), "prefix", "left_semi")
         run = f"run-{len(manifest['batches']):06d}"
         found = ids.groupBy("prefix").cogroup(index.groupBy("prefix")).applyInArrow(_searcher(n), self.schema)
         found.write.mode("overwrite").parquet(f"{self.home}/{run}")
-        manifest["batches"].append(run)
-        manifest["runs"].append(run)
-        manifest["rows"] = total
+        manifest["batches"][batch] = run
+        manifest["runs"].append({"name": run, "tier": 0})
+        manifest["rows"] += rows
         self._publish(manifest)
-        if len(manifest["runs"]) > self.merge_every:
-            self.merge()
         return run
 
-    def merge(self, bits: int | None = None) -> dict:
-        """Merge all runs into one, with a longer prefix where the index has outgrown it; old runs stay as they are."""
+    def maintain(self, coming: int = 0) -> dict:
+        """Merge what is due, as a step of its own, and give the manifest; ``coming`` rows are about to be added."""
         manifest = self._manifest()
-        bits = bits or max(manifest["bits"], (manifest["rows"] // PER_PREFIX).bit_length())
+        need = max(4, ((manifest["rows"] + coming) // PER_PREFIX).bit_length())
+        if not manifest["runs"]:
+            manifest["bits"] = max(manifest["bits"], need)
+            return manifest
+        if need > manifest["bits"] + 2:
+            return self._merge(manifest, manifest["runs"], need)
+        for tier in sorted({r["tier"] for r in manifest["runs"]}):
+            same = [r for r in manifest["runs"] if r["tier"] == tier]
+            if len(same) >= self.merge_every:
+                manifest = self._merge(manifest, same, manifest["bits"])
+        return manifest
+
+    def merge(self) -> dict:
+        """Merge all runs into one, whatever their tier."""
+        manifest = self._manifest()
+        return self._merge(manifest, manifest["runs"], manifest["bits"])
+
+    def _merge(self, manifest: dict, old: list[dict], bits: int) -> dict:
+        """Replace runs by one, with a longer prefix where asked for; their files stay, as batches refer to them."""
         n = len(self.identifier)
-        run = f"merged-{len(manifest['batches']):06d}-{bits}"
-        blocks = self._read(manifest["runs"]).where(F.size("h") > 0)
-        blocks.groupBy("prefix").applyInArrow(_merger(n, 63 - bits), self.schema).write.mode("overwrite").parquet(f"{self.home}/{run}")
-        manifest |= {"bits": bits, "runs": [run]}
+        name = f"merged-{manifest['merges']:06d}"
+        blocks = self._read([r["name"] for r in old]).where(F.size("h") > 0)
+        blocks.groupBy("prefix").applyInArrow(_merger(n, 63 - bits), self.schema).write.mode("overwrite").parquet(f"{self.home}/{name}")
+        kept = [r for r in manifest["runs"] if r not in old]
+        manifest = manifest | {"bits": bits, "merges": manifest["merges"] + 1, "runs": [*kept, {"name": name, "tier": 1 + max((r["tier"] for r in old), default=0)}]}
         self._publish(manifest)
         return manifest
 
     def repeated(self) -> DataFrame:
         """The identifiers of which a copy was refused, in any batch, each once."""
-        return self._pairs(self._manifest()["batches"], "again").distinct()
+        return self._pairs(list(self._manifest()["batches"].values()), "again").distinct()
 
     def novel(self, run: str) -> DataFrame:
         """The identifiers that the batch of ``run`` brought for the first time."""

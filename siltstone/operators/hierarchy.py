@@ -1,13 +1,17 @@
 """Parent-child links to full hierarchies, as nested sets.
 
-Subtree sizes are summed upward, sibling ranges are allotted by prefix sums and carried downward.
-Both sweeps double the distance they cover in each round (a node knows its ancestor 1, 2, 4, ...
-steps up), so a tree of depth d takes log2(d) rounds, not d, and only nodes that have children take
-part; the leaves are one aggregation.  A round that brings no further node to a root ends the sweep:
-the nodes still unprocessed are those in or below a circle.
+Subtree sizes are summed upward, sibling ranges are allotted by prefix sums and carried downward.  Only
+nodes that have children take part in that; the leaves are one aggregation and one ranking.  What the
+upward pass leaves unprocessed is in or below a circle.
 
-Sibling prefix sums are cut into chunks of the node number, so a parent with a third of all rows is
-spread over many tasks.
+A tree of at most ``LOCAL`` inner nodes is swept by one task, level by level, beside all other such
+trees.  A larger one is swept by all tasks: both passes double the distance they cover in each written
+round (a node knows its ancestor 1, 2, 4, ... steps up), so that a depth d takes log2(d) rounds; a round
+carries and writes only the nodes that have not reached their root, and one that brings no further
+node to a root ends the pass.  Both ways give the same numbers.
+
+Sibling ranks are counted within range partitions, with the sums of the partitions before added, so a
+parent with a third of all rows is spread over many tasks, whatever its numbers look like.
 
 Defined results: a null tree or node is ignored.  A node whose parent is null, absent or the node of
 ``ends`` is a root or hangs from one; a node that is its own parent is a circle unless it is in
@@ -17,83 +21,163 @@ while ``endless`` follows all of them.  Extra columns are ignored.  Empty tables
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators import forest
 from siltstone.session import written
 
-CHUNK_BITS = 14
+LOCAL = 1 << 18
+#: A range of a nested set is cut into cells of 16 ** level numbers.
+RADIX_BITS = 4
 
+RANGES = "tree bigint, node bigint, parent bigint, size bigint, lft bigint, depth bigint, root bigint, path string"
 
-def chunked_prefix_sum(df: DataFrame, group: list[str], order: str, value: str, out: str) -> DataFrame:
-    """Exclusive prefix sum of ``value`` by ``order`` (an integer, unique within the group).
 
-    Two levels: within chunks of the order key, then over the totals of the chunks.  Groups must not be null.
+def sibling_sums(df: DataFrame, group: list[str], order: str, value: str, out: str, label: str) -> DataFrame:
+    """Exclusive prefix sum of ``value`` by ``order`` within the group, as a written table with the column ``out``.
+
+    All columns of ``group`` and ``order`` are integers; the order is unique within a group, nulls are
+    a group of their own.  Rows are range-partitioned and summed in one pass; a group that spreads over
+    several partitions gets the sums of those before added, one row per group and partition.
+    """
+    ranged = df.repartitionByRange(*group, order).sortWithinPartitions(*group, order)
+    names = [*df.columns, "local_sum", "chunk"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, total = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = [(np.asarray(batch[c].is_null()), np.asarray(batch[c].fill_null(0)).astype(np.int64)) for c in group]
+            new = np.zeros(n, bool)
+            for null, key in keys:
+                new[1:] |= (null[1:] != null[:-1]) | (key[1:] != key[:-1])
+            first = [(bool(null[0]), int(key[0])) for null, key in keys]
+            values = np.asarray(batch[value]).astype(np.int64)
+            sums = np.cumsum(values) - values
+            new[0] = True
+            start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            local = sums - sums[start]
+            if first == last:
+                local[start == 0] += total
+            last, total = [(bool(null[-1]), int(key[-1])) for null, key in keys], int(local[-1] + values[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(local), pa.array(np.full(n, part, np.int32))], names)
+
+    local = written(ranged.mapInArrow(scan, f"{kinds}, local_sum bigint, chunk int"), label)
+    totals = local.groupBy(*group, "chunk").agg(F.max(F.col("local_sum") + F.col(value)).alias("chunk_sum"))
+    w = Window.partitionBy(*group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)], F.col("chunk").alias("g_chunk"), F.sum("chunk_sum").over(w).alias("chunk_start")).where("chunk_start > 0")
+    same = F.col("chunk") == F.col("g_chunk")
+    for i, c in enumerate(group):
+        same &= F.col(c).eqNullSafe(F.col(f"g{i}"))
+    joined = local.join(before, same, "left")
+    return joined.select(*df.columns, (F.col("local_sum") + F.coalesce("chunk_start", F.lit(0).cast("bigint"))).alias(out))
+
+
+def _local(with_path: bool):
+    """Nested sets of one tree: (tree, node, parent, name, own) -> RANGES."""
+
+    def place(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node")
+        node = np.asarray(rows["node"].combine_chunks())
+        has = np.asarray(rows["parent"].combine_chunks().is_valid())
+        up = forest.parent_index(node, np.asarray(rows["parent"].combine_chunks().fill_null(0)), has)
+        depth = forest.depths(up)
+        by_level = forest.levels(depth)
+        size = forest.subtree_sums(up, by_level, np.asarray(rows["own"].combine_chunks()))
+        step = forest.before_siblings(up, size) + (up >= 0)
+        lft, root = forest.down(up, by_level, step), forest.roots(up, by_level)
+        kept = np.flatnonzero(depth >= 0)
+        if with_path:
+            own = np.empty(len(node), object)
+            own[:] = rows["name"].to_pylist()
+            path = pa.array(forest.down(up, by_level, own)[kept], pa.large_string()).cast(pa.string())
+        else:
+            path = pa.array([""] * len(kept), pa.string())
+        columns = [pa.array(np.full(len(kept), key[0].as_py())), *[pa.array(x[kept]) for x in (node,)], rows["parent"].combine_chunks().take(pa.array(kept)), *[pa.array(x[kept]) for x in (size, lft, depth)], pa.array(node[root[kept]]), path]
+        return pa.Table.from_arrays(columns, ["tree", "node", "parent", "size", "lft", "depth", "root", "path"])
+
+    return place
+
+
+def _sweep_up(start: DataFrame) -> DataFrame:
+    """(tree, node, size) of the nodes that reach a root, from (tree, node, parent, own).
+
+    An open node adds its size to the node it jumps to, then takes over that one's jump.  What goes to
+    a node that has ended already is written beside it and added up at the end.
     """
-    df = df.withColumn("chunk", F.shiftright(order, CHUNK_BITS))
-    inner = Window.partitionBy(*group, "chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = df.withColumn("local_sum", F.coalesce(F.sum(value).over(inner), F.lit(0).cast("bigint")))
-    totals = df.groupBy(*group, "chunk").agg(F.sum(value).alias("chunk_sum"))
-    outer = Window.partitionBy(*group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*group, "chunk", F.coalesce(F.sum("chunk_sum").over(outer), F.lit(0).cast("bigint")).alias("chunk_start"))
-    joined = local.join(before, [*group, "chunk"])
-    return joined.withColumn(out, F.col("local_sum") + F.col("chunk_start")).drop("local_sum", "chunk_start", "chunk")
-
-
-def _sibling_sum(df: DataFrame, out: str) -> DataFrame:
-    """Prefix sum of ``size`` among siblings by node; the roots of a tree are siblings."""
-    at = df.withColumn("top", F.col("parent").isNull()).withColumn("at", F.coalesce("parent", F.lit(0).cast("bigint")))
-    return chunked_prefix_sum(at, ["tree", "top", "at"], "node", "size", out).drop("top", "at")
-
-
-def _sweep_up(state: DataFrame) -> DataFrame:
-    """(tree, node, jump, size, ...): size becomes that of the whole subtree where jump ends null."""
-    state = written(state, "tree-sizes")
-    left = state.where("jump IS NOT NULL").count()
+    begun = start.select("tree", "node", F.col("parent").alias("jump"), F.col("own").alias("size"), F.col("parent").isNotNull().alias("open"))
+    tables = [written(begun, "tree-sizes")]
+    left = tables[0].where("open").count()
     while left:
-        up = state.select("tree", F.col("node").alias("jump"), F.col("jump").alias("next"))
-        reached = state.where("jump IS NOT NULL").groupBy("tree", F.col("jump").alias("node")).agg(F.sum("size").alias("more"))
-        step = state.join(up, ["tree", "jump"], "left").join(reached, ["tree", "node"], "left")
-        keep = [c for c in state.columns if c not in ("tree", "node", "jump", "size")]
-        state = written(step.select("tree", "node", F.col("next").alias("jump"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), *keep), "tree-sizes")
-        now = state.where("jump IS NOT NULL").count()
-        if now == left:  # depths have no gaps: who has not ended by now never will
+        now = tables[-1].where("open")
+        up = now.select("tree", F.col("node").alias("jump"), F.col("jump").alias("next"))
+        reached = now.groupBy("tree", F.col("jump").alias("node")).agg(F.sum("size").alias("more"))
+        step = now.join(up, ["tree", "jump"], "left").join(reached, ["tree", "node"], "full_outer")
+        tables.append(written(step.select("tree", "node", F.col("next").alias("jump"), (F.coalesce("size", F.lit(0).cast("bigint")) + F.coalesce("more", F.lit(0).cast("bigint"))).alias("size"), F.col("next").isNotNull().alias("open")), "tree-sizes"))
+        still = tables[-1].where("open").count()
+        if still == left:  # depths have no gaps: who has not ended by now never will
             break
-        left = now
-    return state
-
-
-def _sweep_down(state: DataFrame) -> DataFrame:
-    """(tree, node, jump, lft, depth, root, path, ...): lft, depth and path are folded from the root down."""
-    state = written(state, "tree-ranges")
-    while not state.where("jump IS NOT NULL").isEmpty():
-        up = state.select("tree", F.col("node").alias("jump"), F.col("jump").alias("next"), *[F.col(c).alias(f"up_{c}") for c in ("lft", "depth", "root", "path")])
-        keep = [c for c in state.columns if c not in ("tree", "node", "jump", "lft", "depth", "root", "path")]
-        folded = [(F.col(c) + F.coalesce(f"up_{c}", F.lit(0).cast("bigint"))).alias(c) for c in ("lft", "depth")]
-        folded += [F.coalesce("up_root", "root").alias("root"), F.concat(F.coalesce("up_path", F.lit("")), "path").alias("path")]
-        state = written(state.join(up, ["tree", "jump"], "left").select("tree", "node", F.col("next").alias("jump"), *folded, *keep), "tree-ranges")
-    return state
+        left = still
+    ended = tables[0]
+    for t in tables[1:]:
+        ended = ended.unionByName(t)
+    return ended.where("NOT open").groupBy("tree", "node").agg(F.sum("size").alias("size"))
+
+
+def _sweep_down(start: DataFrame) -> DataFrame:
+    """(tree, node, lft, depth, root, path): folded from the root down, from rows with the columns jump, lft, depth, root and path."""
+    tables = [written(start.withColumn("round", F.lit(0)), "tree-ranges")]
+    while not tables[-1].where("jump IS NOT NULL").isEmpty():
+        known = tables[0]
+        for t in tables[1:]:
+            known = known.unionByName(t)
+        known = known.where(F.col("jump").isNull() | (F.col("round") == len(tables) - 1))
+        up = known.select("tree", F.col("node").alias("jump"), F.col("jump").alias("next"), *[F.col(c).alias(f"up_{c}") for c in ("lft", "depth", "root", "path")])
+        folded = [(F.col(c) + F.col(f"up_{c}")).alias(c) for c in ("lft", "depth")] + [F.col("up_root").alias("root"), F.concat("up_path", "path").alias("path")]
+        moved = tables[-1].where("jump IS NOT NULL").join(up, ["tree", "jump"]).select("tree", "node", F.col("next").alias("jump"), *folded, F.lit(len(tables)).alias("round"))
+        tables.append(written(moved, "tree-ranges"))
+    done = tables[0]
+    for t in tables[1:]:
+        done = done.unionByName(t)
+    return done.where("jump IS NULL").select("tree", "node", "lft", "depth", "root", "path")
+
+
+def _swept(start: DataFrame) -> DataFrame:
+    """Nested sets of large trees, swept by all tasks: (tree, node, parent, name, own) -> RANGES."""
+    start = written(start, "tree-large")
+    sized = start.join(_sweep_up(start), ["tree", "node"])
+    placed = sibling_sums(sized, ["tree", "parent"], "node", "size", "before", "tree-siblings")
+    placed = written(placed, "tree-placed")
+    step = F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint")
+    begun = placed.select("tree", "node", F.col("parent").alias("jump"), (F.col("before") + step).alias("lft"), step.alias("depth"), F.col("node").alias("root"), F.col("name").alias("path"))
+    return placed.select("tree", "node", "parent", "size").join(_sweep_down(begun), ["tree", "node"]).select("tree", "node", "parent", "size", "lft", "depth", "root", "path")
 
 
-def inner_nodes(links: DataFrame) -> DataFrame:
-    """The nodes that are the parent of another: (tree, node, parent), one row per distinct parent that is a node.
+def _ranges(inner: DataFrame, with_path: bool) -> DataFrame:
+    """The nested-set ranges of the inner nodes (tree, node, parent, name, own), written; those of circles are left out.
 
-    A node without such a parent has one row with a null parent.
+    ``own`` is 1 and the number of leaves of a node.  Children are laid out inner nodes first, then leaves.
     """
-    nodes = links.select("tree", "node").distinct()
-    parents = links.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct()
-    inner = nodes.join(parents, ["tree", "node"], "left_semi")
-    known = links.join(inner, ["tree", "node"], "left_semi").select("tree", "node", "parent").distinct()
-    target = inner.select("tree", F.col("node").alias("parent"), F.lit(1).alias("there"))
-    edges = known.join(target, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there") == 1, F.col("parent")).alias("parent")).distinct()
-    several = edges.groupBy("tree", "node").agg(F.count("parent").alias("n"))
-    return edges.join(several, ["tree", "node"]).where("parent IS NOT NULL OR n = 0").select("tree", "node", "parent", "n")
+    large = inner.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LOCAL).select("tree")
+    if large.isEmpty():
+        return written(inner.groupBy("tree").applyInArrow(_local(with_path), RANGES), "tree-ranges")
+    small = inner.join(large, "tree", "left_anti").groupBy("tree").applyInArrow(_local(with_path), RANGES)
+    return written(small.unionByName(_swept(inner.join(large, "tree", "left_semi"))), "tree-ranges")
 
 
 def _links(links: DataFrame, tree: str, node: str, parent: str, ends: DataFrame | None, name: Column | None = None) -> DataFrame:
-    """(tree, node, parent, name) of distinct links, without nodes that end a path and with null for a parent that does."""
+    """(tree, node, parent, name) of the links, without nodes that end a path and with null for a parent that does."""
     name = F.lit("") if name is None else F.coalesce(name, F.lit(""))
-    out = links.select(F.col(tree).cast("bigint").alias("tree"), F.col(node).cast("bigint").alias("node"), F.col(parent).cast("bigint").alias("parent"), name.alias("name")).where("tree IS NOT NULL AND node IS NOT NULL").distinct()
+    out = links.select(F.col(tree).cast("bigint").alias("tree"), F.col(node).cast("bigint").alias("node"), F.col(parent).cast("bigint").alias("parent"), name.alias("name")).where("tree IS NOT NULL AND node IS NOT NULL")
     if ends is None:
         return out
     stop = ends.select(F.col(tree).cast("bigint").alias("tree"), F.col(node).cast("bigint").alias("node")).dropna().distinct()
@@ -102,16 +186,12 @@ def _links(links: DataFrame, tree: str, node: str, parent: str, ends: DataFrame
     return out.join(at, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("ends").isNull(), F.col("parent")).alias("parent"), "name")
 
 
-def _ranges(inner: DataFrame, leaf_counts: DataFrame) -> DataFrame:
-    """Nested-set ranges of the inner nodes (tree, node, parent, name); those of circles are left out.
-
-    ``leaf_counts`` has (tree, node, n_leaves).  Children are laid out inner nodes first, then leaves.
-    """
-    start = inner.join(leaf_counts, ["tree", "node"], "left").select("tree", "node", F.col("parent").alias("jump"), "parent", "name", (F.coalesce("n_leaves", F.lit(0)) + 1).cast("bigint").alias("size"))
-    done = _sweep_up(start).where("jump IS NULL").drop("jump")
-    step = F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint")
-    offset = _sibling_sum(done, "lft").select("tree", "node", F.col("parent").alias("jump"), "parent", "size", (F.col("lft") + step).alias("lft"), step.alias("depth"), F.col("node").alias("root"), F.col("name").alias("path"))
-    return _sweep_down(offset).drop("jump")
+def _inner(plain: DataFrame) -> DataFrame:
+    """The rows of the nodes that are the parent of another; a parent that is no node becomes null."""
+    parents = plain.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct()
+    own = plain.join(parents, ["tree", "node"], "left_semi")
+    there = own.select("tree", F.col("node").alias("parent"), F.lit(1).alias("there")).distinct()
+    return own.join(there, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there") == 1, F.col("parent")).alias("parent"), "name")
 
 
 def nested_sets(links: DataFrame, tree: str, node: str, parent: str, name: Column | None = None, ends: DataFrame | None = None) -> DataFrame:
@@ -123,71 +203,117 @@ def nested_sets(links: DataFrame, tree: str, node: str, parent: str, name: Colum
     """
     one = _links(links, tree, node, parent, ends, name).groupBy("tree", "node").agg(F.max(F.struct("parent", "name")).alias("x"))
     plain = written(one.select("tree", "node", F.col("x.parent").alias("parent"), F.col("x.name").alias("name")), "tree-links")
-    inner = written(inner_nodes(plain).drop("n").join(plain.select("tree", "node", "name"), ["tree", "node"]), "tree-inner")
+    inner = written(_inner(plain), "tree-inner")
     inside = inner.select("tree", F.col("node").alias("parent"), F.lit(1).alias("there"))
     leaf = plain.join(inner.select("tree", "node"), ["tree", "node"], "left_anti").join(inside, ["tree", "parent"], "left")
-    leaf = written(leaf.select("tree", "node", F.when(F.col("there") == 1, F.col("parent")).alias("parent"), "name"), "tree-leaves")
-    counts = leaf.where("parent IS NOT NULL").groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n_leaves"))
-    ranges = _ranges(inner, counts)
-    ranked = _sibling_sum(leaf.withColumn("size", F.lit(1).cast("bigint")), "rank")
+    leaf = leaf.select("tree", "node", F.when(F.col("there") == 1, F.col("parent")).alias("at"), "parent", "name", F.lit(1).cast("bigint").alias("size"))
+    ranked = sibling_sums(leaf, ["tree", "at"], "node", "size", "rank", "tree-leaves")
+    counts = ranked.where("at IS NOT NULL").groupBy("tree", F.col("at").alias("node")).agg(F.max("rank").alias("top"))
+    started = inner.join(counts, ["tree", "node"], "left").select("tree", "node", "parent", "name", (F.coalesce(F.col("top") + 1, F.lit(0)) + 1).cast("bigint").alias("own"))
+    ranges = _ranges(started, name is not None)
     # What the leaves need to know of their parent; the roots of a tree have a row with a null parent.
     sizes = ranges.groupBy("tree", "parent").agg(F.sum("size").alias("before"))
-    base = ranges.select("tree", F.col("node").alias("parent"), F.col("lft").alias("p_lft"), F.col("root").alias("p_root"), F.col("depth").alias("p_depth"), F.col("path").alias("p_path"))
-    known = base.join(sizes.where("parent IS NOT NULL"), ["tree", "parent"], "left").withColumn("before", F.coalesce("before", F.lit(0).cast("bigint")))
-    below = ranked.where("parent IS NOT NULL").join(known, ["tree", "parent"], "left")
-    below = below.select("tree", "node", F.col("p_root").alias("root"), (F.col("p_depth") + 1).alias("depth"), F.concat("p_path", "name").alias("path"), (F.col("p_lft") + 1 + F.col("before") + F.col("rank")).alias("lft"), "size")
-    tops = ranked.where("parent IS NULL").join(sizes.where("parent IS NULL").select("tree", "before"), "tree", "left")
-    tops = tops.select("tree", "node", F.col("node").alias("root"), F.lit(0).cast("bigint").alias("depth"), F.col("name").alias("path"), (F.coalesce("before", F.lit(0)) + F.col("rank")).alias("lft"), "size")
-    columns = ["tree", "node", "root", "depth", "path", "lft", "size"]
-    placed = ranges.select(*columns).unionByName(below.select(*columns)).unionByName(tops.select(*columns))
-    every = plain.select("tree", "node", "parent").join(placed, ["tree", "node"], "left")
+    base = ranges.select("tree", F.col("node").alias("at"), F.col("lft").alias("p_lft"), F.col("root").alias("p_root"), F.col("depth").alias("p_depth"), F.col("path").alias("p_path"))
+    known = base.join(sizes.where("parent IS NOT NULL").withColumnRenamed("parent", "at"), ["tree", "at"], "left").withColumn("before", F.coalesce("before", F.lit(0).cast("bigint")))
+    below = ranked.where("at IS NOT NULL").join(known, ["tree", "at"], "left")
+    below = below.select("tree", "node", "parent", F.col("p_root").alias("root"), (F.col("p_depth") + 1).alias("depth"), F.concat("p_path", "name").alias("path"), (F.col("p_lft") + 1 + F.col("before") + F.col("rank")).alias("lft"), "size")
+    tops = ranked.where("at IS NULL").join(sizes.where("parent IS NULL").select("tree", "before"), "tree", "left")
+    tops = tops.select("tree", "node", "parent", F.col("node").alias("root"), F.lit(0).cast("bigint").alias("depth"), F.col("name").alias("path"), (F.coalesce("before", F.lit(0).cast("bigint")) + F.col("rank")).alias("lft"), "size")
+    # An inner node keeps the parent that it names, there or not, and has a row where it is in a circle, too.
+    columns = ["root", "depth", "path", "lft", "size"]
+    named = plain.join(inner.select("tree", "node"), ["tree", "node"], "left_semi").select("tree", "node", "parent").join(ranges.select("tree", "node", *columns), ["tree", "node"], "left")
+    every = named.unionByName(below.select("tree", "node", "parent", *columns)).unionByName(tops.select("tree", "node", "parent", *columns))
     types = {c: links.schema[c].dataType for c in (tree, node)}
     size = F.when(F.col("lft").isNotNull(), F.col("size"))
     return every.select(F.col("tree").cast(types[tree]).alias(tree), F.col("node").cast(types[node]).alias(node), F.col("parent").alias(parent), "root", "depth", "path", "lft", (F.col("lft") + size - 1).alias("rgt"), (size - 1).alias("n_below"))
 
 
-def _peel(edges: DataFrame) -> DataFrame:
-    """Inner nodes with several parents: the nodes from which some path never ends, freed level by level."""
-    left = written(edges, "tree-peel")
+def _bad_junctions(edges: DataFrame, ranges: DataFrame, inner: DataFrame) -> DataFrame:
+    """(tree, root) of the nodes with several parents from which some path never ends.
+
+    Such a node is the root of a part of its own.  It waits for the parts in which its parents lie and
+    is free once they are; only these nodes take part, level by level among themselves.
+    """
+    junctions = inner.where("n > 1").select("tree", "node").distinct()
+    at = ranges.select("tree", F.col("node").alias("parent"), F.col("root").alias("for"))
+    waits = edges.join(junctions, ["tree", "node"], "left_semi").where("parent IS NOT NULL").join(at, ["tree", "parent"], "left")
+    plain_root = F.col("for").isNotNull() & F.col("junction").isNull()
+    marked = waits.join(junctions.select("tree", F.col("node").alias("for"), F.lit(1).alias("junction")), ["tree", "for"], "left")
+    left = written(marked.where(~plain_root).select("tree", "node", "for").distinct(), "tree-junctions")
     n = left.count()
     while n:
-        waiting = left.where("parent IS NOT NULL").select("tree", "node").distinct()
-        target = waiting.select("tree", F.col("node").alias("parent"), F.lit(1).alias("there"))
-        left = written(left.join(waiting, ["tree", "node"], "left_semi").join(target, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there") == 1, F.col("parent")).alias("parent")), "tree-peel")
-        now = left.where("parent IS NOT NULL").count()
+        waiting = left.select("tree", F.col("node").alias("for")).distinct()
+        still = left.where("for IS NULL").unionByName(left.join(waiting, ["tree", "for"], "left_semi").select("tree", "node", "for"))
+        left = written(still, "tree-junctions")
+        now = left.count()
         if now == n:
             break
         n = now
-    return left.where("parent IS NOT NULL").select("tree", "node").distinct()
+    return left.select("tree", F.col("node").alias("root")).distinct()
 
 
 def endless(links: DataFrame, tree: str, node: str, parent: str, ends: DataFrame | None = None) -> DataFrame:
     """(tree, node) of the nodes from which following some parent link never ends.
 
     The nested-set sweep leaves the inner nodes in or below a circle without a range; a node is
-    endless if it is one of them or has one of them as a parent.  Only where inner nodes have several
-    parents, which no forest can hold, the level-by-level peeling decides instead.
+    endless if it is one of them or has one of them as a parent.  An inner node with several parents,
+    which no forest can hold, is cut from them and made the root of its part; whether a part hangs from
+    a circle is then settled among these nodes alone.
     """
-    plain = written(_links(links, tree, node, parent, ends).drop("name"), "tree-links")
-    inner = written(inner_nodes(plain), "tree-inner")
-    if inner.where("n > 1").isEmpty():
-        counts = plain.where("parent IS NOT NULL").join(inner.select("tree", "node"), ["tree", "node"], "left_anti").groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n_leaves"))
-        ranges = _ranges(inner.drop("n").withColumn("name", F.lit("")), counts)
-        stuck = inner.select("tree", "node").join(ranges.select("tree", "node"), ["tree", "node"], "left_anti")
-    else:
-        stuck = _peel(inner.select("tree", "node", "parent"))
+    plain = written(_links(links, tree, node, parent, ends).select("tree", "node", "parent", F.lit("").alias("name")).distinct(), "tree-links")
+    edges = _inner(plain).distinct()
+    inner = written(edges.join(edges.groupBy("tree", "node").agg(F.count("parent").alias("n")), ["tree", "node"]), "tree-inner")
+    inner = inner.where("parent IS NOT NULL OR n = 0")
+    children = plain.where("parent IS NOT NULL").groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n_children"))
+    branches = inner.where("parent IS NOT NULL").groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n_inner"))
+    cut = inner.where("n < 2").select("tree", "node", "parent", "name").unionByName(inner.where("n > 1").select("tree", "node", F.lit(None).cast("bigint").alias("parent"), "name").distinct())
+    own = (1 + F.coalesce("n_children", F.lit(0)) - F.coalesce("n_inner", F.lit(0))).cast("bigint").alias("own")
+    ranges = _ranges(cut.join(children, ["tree", "node"], "left").join(branches, ["tree", "node"], "left").select("tree", "node", "parent", "name", own), False)
+    stuck = cut.select("tree", "node").join(ranges.select("tree", "node"), ["tree", "node"], "left_anti")
+    if not inner.where("n > 1").isEmpty():
+        bad = _bad_junctions(inner.select("tree", "node", "parent"), ranges, inner)
+        stuck = stuck.unionByName(ranges.join(bad, ["tree", "root"], "left_semi").select("tree", "node"))
     below = plain.join(stuck.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_semi").select("tree", "node").distinct()
     types = {c: links.schema[c].dataType for c in (tree, node)}
     return below.select(F.col("tree").cast(types[tree]).alias(tree), F.col("node").cast(types[node]).alias(node))
 
 
+def _cells(low: Column, high: Column, levels: int) -> Column:
+    """The cells that cover low..high exclusive, none of them part of another: at most 30 on each level."""
+
+    def at_level(level: int):
+        return lambda x: F.struct(F.lit(level).alias("level"), x.alias("cell"))
+
+    radix = 1 << RADIX_BITS
+    out = []
+    for level in range(levels):
+        up, down = F.shiftleft(F.shiftright(low + (radix - 1), RADIX_BITS), RADIX_BITS), F.shiftleft(F.shiftright(high, RADIX_BITS), RADIX_BITS)
+        left = F.least(up, high)
+        right = F.greatest(down, left)
+        if level == levels - 1:  # the whole of the rest
+            left, right = high, high
+        for a, b in ((low, left), (right, high)):
+            some = F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+            out.append(F.transform(some, at_level(level)))
+        low, high = F.shiftright(up, RADIX_BITS), F.shiftright(down, RADIX_BITS)
+    return F.flatten(F.array(*out))
+
+
 def descendants(ranges: DataFrame, wanted: DataFrame, tree: str, node: str) -> DataFrame:
     """(tree, ancestor, node, distance) of all nodes below each of the ``wanted`` (tree, node), from their ranges.
 
-    ``ranges`` is the result of ``nested_sets``.  Every row belongs to the result, so none is compared in
-    vain but those of other subtrees of the same tree; nodes in or below a circle have none.
+    ``ranges`` is the result of ``nested_sets``.  The range of an ancestor is covered by cells of 1, 16,
+    256, ... numbers, so that a node meets its ancestors by equality of cells and no others: the work
+    is that of the result.  Nodes in or below a circle have no descendants.
     """
-    roots = ranges.join(wanted.select(tree, node).distinct(), [tree, node], "left_semi").where("lft IS NOT NULL AND rgt > lft")
-    roots = roots.select(F.col(tree).alias("t"), F.col(node).alias("ancestor"), F.col("lft").alias("low"), F.col("rgt").alias("high"), F.col("depth").alias("at"))
-    inside = ranges.where("lft IS NOT NULL").join(roots, (F.col(tree) == F.col("t")) & (F.col("lft") > F.col("low")) & (F.col("lft") <= F.col("high")))
-    return inside.select(tree, "ancestor", node, (F.col("depth") - F.col("at")).alias("distance"))
+    plain = ranges.where("lft IS NOT NULL").select(F.col(tree).alias("t"), F.col(node).alias("n"), "lft", "rgt", "depth")
+    plain = written(plain, "tree-descendants")
+    most = plain.agg(F.max("rgt")).first()[0] or 0
+    levels = max(1, -(-int(most + 1).bit_length() // RADIX_BITS))
+    keys = wanted.select(F.col(tree).alias("t"), F.col(node).alias("n")).distinct()
+    roots = plain.where("rgt > lft").join(keys, ["t", "n"], "left_semi")
+    covered = roots.select("t", F.col("n").alias("ancestor"), F.col("depth").alias("at"), F.explode(_cells(F.col("lft") + 1, F.col("rgt") + 1, levels)).alias("c")).select("t", "ancestor", "at", "c.level", "c.cell")
+    spots = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("lft", RADIX_BITS * k).alias("cell")) for k in range(levels)])
+    spread = plain.select("t", "n", "depth", F.explode(spots).alias("c")).select("t", "n", "depth", "c.level", "c.cell")
+    found = spread.join(covered, ["t", "level", "cell"])
+    return found.select(F.col("t").alias(tree), "ancestor", F.col("n").alias(node), (F.col("depth") - F.col("at")).alias("distance"))

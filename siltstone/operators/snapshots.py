@@ -1,31 +1,41 @@
 """What changed between full snapshots.
 
 Keys get persistent ordinals: a key is assigned to a hash bucket and within it to the next free
-number, and keeps both for good (``Ordinals`` stores them in the shared folder).  Per bucket and
-snapshot the keys present form a compressed bitmap over ordinals; AND-NOT of consecutive bitmaps
-gives additions and removals, and the compared columns, laid out as vectors aligned by ordinal, show
-which of the common keys changed.  The number of buckets follows the number of rows.
+number, which it keeps for good.  Per bucket and snapshot the keys present form a compressed bitmap
+over ordinals; AND-NOT of consecutive bitmaps gives additions and removals, and the compared columns,
+laid out as vectors aligned by ordinal, show which of the common keys changed.  A bucket is the low
+bits of a hash.  As the keys grow, one more bit splits every bucket in two and the ordinals stay as
+they are, so that a bucket stays bounded.
+
+``snapshot_changes`` compares all snapshots that it is given.  ``SnapshotStore`` is for snapshots that
+keep coming: it stores the ordinals, the rows of the last snapshot of each tree and the changes of
+each call, so that a call reads nothing but the new snapshots and the last ones before them.  Its
+manifest is published in numbered versions by a rename; a call that is repeated under the same name
+gives the changes that it gave before.
 
 Defined results: only snapshots in the log are compared, each with the one before it in the log of
 its tree; a logged snapshot without rows is empty.  Rows with a null tree, snapshot or key are
-ignored.  Compared columns are equal if both are null or both have the same value.  Repeated rows
-are reduced before the shuffle; where copies of a key disagree, the greatest by value counts.
-Extra columns are ignored.
+ignored.  Compared columns are equal if both are null or both have the same value.  Copies of a key
+are reduced to one before the shuffle; where they disagree, the greatest by value counts, column by
+column, a null being the least.  Extra columns are ignored.  A snapshot that is logged after a later
+one of its tree was compared cannot be put in its place any more: the store refuses it.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from siltstone.operators.bitmaps import Bitmap
-from siltstone.session import get_text, put_text, written
+from siltstone.session import latest_version, put_version, written
 
 PER_BUCKET = 1 << 15
 KINDS = ("key", "added", "removed", "changed")
@@ -105,58 +115,116 @@ def _differ(n_values: int):
     return diff
 
 
-class Ordinals:
-    """The persistent dictionary of keys: tables of (bucket, ordinal, tree, number) in the shared folder."""
+ORDINALS = "ordinal bigint, tree bigint, number bigint"
 
-    SCHEMA = "bucket bigint, ordinal bigint, tree bigint, number bigint"
 
-    def __init__(self, spark: SparkSession, home: str):
-        self.spark, self.home = spark, home.rstrip("/")
+def _bucket(bits: int) -> Column:
+    return F.xxhash64("tree", "number").bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).alias("bucket")
 
-    def state(self) -> tuple[int, list[str]]:
-        """The bucket count, fixed at the first use, and the parts."""
-        lines = (get_text(self.spark, f"{self.home}/manifest") or "").split()
-        return (int(lines[0]), lines[1:]) if lines else (0, [])
 
-    def read(self) -> DataFrame:
-        _, parts = self.state()
-        if not parts:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.home}/{p}" for p in parts])
+def bits_for(rows: int, least: int) -> int:
+    """Bits of a bucket number that keep a bucket at about PER_BUCKET rows, with at least ``least`` buckets."""
+    return (max(-(-rows // PER_BUCKET), least) - 1).bit_length()
 
-    def add(self, buckets: int, new: DataFrame) -> None:
-        _, parts = self.state()
-        part = f"part-{len(parts):06d}"
-        new.select("bucket", "ordinal", "tree", "number").write.mode("overwrite").parquet(f"{self.home}/{part}")
-        put_text(self.spark, f"{self.home}/manifest", " ".join([str(buckets), *parts, part]))
 
+def _one_each(rows: DataFrame, tree: str, snapshot: str, number: str, compare: Sequence[str]) -> DataFrame:
+    """(tree, snapshot, number, v0..): one row a key, of copies that disagree the greatest.
 
-def snapshot_changes(rows: DataFrame, log: DataFrame, tree: str, snapshot: str, number: str, compare: Sequence[str], buckets: int, ordinals: Ordinals | None = None) -> DataFrame:
-    """(tree, snapshot, number, change_kind) for each snapshot in the log but the first of its tree.
-
-    With ``ordinals`` the keys keep the ordinals of earlier calls, and new ones are stored.
+    The copies are reduced by an aggregate, which combines before the shuffle.
     """
-    spark = rows.sparkSession
+    plain = rows.select(F.col(tree).cast("bigint").alias("tree"), F.col(snapshot).cast("bigint").alias("snapshot"), F.col(number).cast("bigint").alias("number"), *[F.col(c).alias(f"v{n}") for n, c in enumerate(compare)])
+    values = [f"v{n}" for n in range(len(compare))]
+    best = plain.dropna(subset=["tree", "snapshot", "number"]).groupBy("tree", "snapshot", "number").agg(F.max(F.struct(*values)).alias("best"))
+    return best.select("tree", "snapshot", "number", *[F.col(f"best.{v}").alias(v) for v in values])
+
+
+def _log(log: DataFrame, tree: str, snapshot: str) -> DataFrame:
+    return log.select(F.col(tree).cast("bigint").alias("tree"), F.col(snapshot).cast("bigint").alias("snapshot")).dropna().distinct()
+
+
+def _found(kept: DataFrame, listed: DataFrame, known: DataFrame, n_values: int, bits: int) -> DataFrame:
+    """(bucket, ordinal, tree, number, snapshot, kind) of new keys (kind 0) and changes, from one row a key and snapshot."""
     w = Window.partitionBy("tree").orderBy("snapshot")
-    listed = log.select(F.col(tree).cast("bigint").alias("tree"), F.col(snapshot).cast("bigint").alias("snapshot")).dropna().distinct()
     steps = listed.select("tree", "snapshot", (F.row_number().over(w) - 1).alias("pos"), F.lead("snapshot").over(w).alias("after"))
-    kept = rows.select(F.col(tree).cast("bigint").alias("tree"), F.col(snapshot).cast("bigint").alias("snapshot"), F.col(number).cast("bigint").alias("number"), *[F.col(c).alias(f"v{n}") for n, c in enumerate(compare)])
-    # Copies agree, so grouping by all columns leaves one row a key; it combines before the shuffle.
-    kept = kept.dropna(subset=["tree", "snapshot", "number"]).distinct().join(steps, ["tree", "snapshot"])
-    known = spark.createDataFrame([], Ordinals.SCHEMA)
-    if ordinals is not None:
-        fixed, _ = ordinals.state()
-        buckets = fixed or buckets
-        known = ordinals.read()
-    bucket = F.pmod(F.xxhash64("tree", "number"), F.lit(buckets).cast("bigint")).alias("bucket")
     schema = "bucket bigint, ordinal bigint, tree bigint, number bigint, snapshot bigint, kind int"
-    found = kept.withColumn("bucket", bucket).groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_differ(len(compare)), schema)
-    if ordinals is not None:
-        found = written(found, "snapshot-diff")
-        ordinals.add(buckets, found.where("kind = 0"))
-    kinds = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
-    types = {c: rows.schema[c].dataType for c in (tree, snapshot, number)}
-    return found.where("kind > 0").select(F.col("tree").cast(types[tree]).alias(tree), F.col("snapshot").cast(types[snapshot]).alias(snapshot), F.col("number").cast(types[number]).alias(number), kinds.alias("change_kind"))
+    placed = kept.join(steps, ["tree", "snapshot"]).withColumn("bucket", _bucket(bits))
+    return placed.groupBy("bucket").cogroup(known.withColumn("bucket", _bucket(bits)).groupBy("bucket")).applyInArrow(_differ(n_values), schema)
+
+
+def _named(found: DataFrame, kinds: dict[str, DataType]) -> DataFrame:
+    """The changes under the column names and types of the rows; ``kinds`` has tree, snapshot and key in this order."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
+    return found.where("kind > 0").select(*[F.col(c).cast(t).alias(name) for c, (name, t) in zip(("tree", "snapshot", "number"), kinds.items())], kind.alias("change_kind"))
+
+
+def snapshot_changes(rows: DataFrame, log: DataFrame, tree: str, snapshot: str, number: str, compare: Sequence[str], bits: int) -> DataFrame:
+    """(tree, snapshot, number, change_kind) for each snapshot in the log but the first of its tree."""
+    none = rows.sparkSession.createDataFrame([], ORDINALS)
+    found = _found(_one_each(rows, tree, snapshot, number, compare), _log(log, tree, snapshot), none, len(compare), bits)
+    return _named(found, {c: rows.schema[c].dataType for c in (tree, snapshot, number)})
+
+
+class SnapshotStore:
+    """Comparison of snapshots as they come, with persistent ordinals, in the shared folder below ``home``."""
+
+    def __init__(self, spark: SparkSession, home: str, tree: str, snapshot: str, number: str, compare: Sequence[str], least_buckets: int = 1):
+        self.spark, self.home, self.least = spark, home.rstrip("/"), least_buckets
+        self.tree, self.snapshot, self.number, self.compare = tree, snapshot, number, list(compare)
+
+    def _state(self) -> dict:
+        newest = latest_version(self.spark, self.home, "manifest")
+        return json.loads(newest[1]) if newest else {"calls": {}, "bits": 0, "keys": 0, "ordinals": []}
+
+    def _path(self, kind: str, call: int) -> str:
+        return f"{self.home}/{kind}/call={call}"
+
+    def ordinals(self) -> DataFrame:
+        """(bucket, ordinal, tree, number) of all keys known."""
+        state = self._state()
+        return self._ordinals(state).select(_bucket(state["bits"]), "ordinal", "tree", "number")
+
+    def _ordinals(self, state: dict) -> DataFrame:
+        if not state["ordinals"]:
+            return self.spark.createDataFrame([], ORDINALS)
+        return self.spark.read.schema(ORDINALS).parquet(*[self._path("ordinals", c) for c in state["ordinals"]])
+
+    def advance(self, rows: DataFrame, log: DataFrame, name: str | None = None) -> DataFrame:
+        """The changes of the snapshots in ``log`` that no call before has compared; ``rows`` has at least theirs.
+
+        ``name`` names the call: one that is known gives its changes again.  Without it every call is new.
+        """
+        state = self._state()
+        name = f"#{len(state['calls'])}" if name is None else name
+        kinds = {c: rows.schema[c].dataType for c in (self.tree, self.snapshot, self.number)}
+        if name not in state["calls"]:
+            self._compare(rows, log, name, state)
+        return _named(self.spark.read.parquet(self._path("changes", self._state()["calls"][name])), kinds)
+
+    def _compare(self, rows: DataFrame, log: DataFrame, name: str, state: dict) -> None:
+        spark, call = self.spark, len(state["calls"])
+        listed = _log(log, self.tree, self.snapshot)
+        kept = _one_each(rows, self.tree, self.snapshot, self.number, self.compare)
+        if call:
+            done = spark.read.parquet(self._path("log", call - 1))
+            last = done.groupBy("tree").agg(F.max("snapshot").alias("last"))
+            listed = listed.join(done, ["tree", "snapshot"], "left_anti")
+            late = listed.join(last, "tree").where("snapshot < last").first()
+            if late:
+                raise ValueError(f"snapshot {late['snapshot']} of {late['tree']} comes after {late['last']} was compared")
+            kept = kept.join(listed, ["tree", "snapshot"], "left_semi").unionByName(spark.read.parquet(self._path("last", call - 1)))
+            steps = listed.unionByName(last.select("tree", F.col("last").alias("snapshot")))
+        else:
+            done, steps = None, listed
+        bits = max(state["bits"], bits_for(rows.count() + state["keys"], self.least))
+        found = _found(kept, steps, self._ordinals(state), len(self.compare), bits)
+        found.write.mode("overwrite").parquet(self._path("changes", call))
+        found = spark.read.parquet(self._path("changes", call))
+        found.where("kind = 0").select("ordinal", "tree", "number").write.mode("overwrite").parquet(self._path("ordinals", call))
+        newest = steps.groupBy("tree").agg(F.max("snapshot").alias("snapshot"))
+        kept.join(newest, ["tree", "snapshot"], "left_semi").write.mode("overwrite").parquet(self._path("last", call))
+        (listed if done is None else listed.unionByName(done)).write.mode("overwrite").parquet(self._path("log", call))
+        keys = state["keys"] + spark.read.parquet(self._path("ordinals", call)).count()
+        put_version(spark, self.home, "manifest", json.dumps({"calls": state["calls"] | {name: call}, "bits": bits, "keys": keys, "ordinals": [*state["ordinals"], call]}))
 
 
 def change_details(changes: DataFrame, rows: DataFrame, log: DataFrame, tree: str, snapshot: str, number: str, compare: Sequence[str]) -> DataFrame:
@@ -165,7 +233,9 @@ def change_details(changes: DataFrame, rows: DataFrame, log: DataFrame, tree: st
         raise ValueError(f"compared columns must not begin with old_ or new_: {clash}")
     w = Window.partitionBy(tree).orderBy(snapshot)
     steps = log.select(tree, snapshot).distinct().withColumn("earlier", F.lag(snapshot).over(w))
-    one = rows.select(tree, snapshot, number, *compare).distinct()
+    best = _one_each(rows, tree, snapshot, number, compare)
+    kinds = {c: rows.schema[c].dataType for c in (tree, snapshot, number)}
+    one = best.select(*[F.col(k).cast(t).alias(c) for k, (c, t) in zip(("tree", "snapshot", "number"), kinds.items())], *[F.col(f"v{n}").alias(c) for n, c in enumerate(compare)])
     new = one.select(tree, snapshot, number, *[F.col(c).alias(f"new_{c}") for c in compare])
     old = one.select(tree, F.col(snapshot).alias("earlier"), number, *[F.col(c).alias(f"old_{c}") for c in compare])
     return changes.join(steps, [tree, snapshot]).join(new, [tree, snapshot, number], "left").join(old, [tree, "earlier", number], "left").drop("earlier")

@@ -40,6 +40,17 @@ def p1_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.ChangeCapture(spark, home).sink().select("run", "journal_id", "usn", "volume_id", "ticks", "file_id", "parent_id", "reason")
 
 
+def p1_next_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the third run handles after two over the earlier half of the deliveries: new records, and late ones below the offsets."""
+    records, lines = table(spark, sf_dir, "usn_record"), table(spark, sf_dir, "usn_batch")
+    low, high = records.agg(F.min("batch_id"), F.max("batch_id")).first()
+    middle = ((low or 0) + (high or 0)) // 2
+    run = capture.ChangeCapture(spark, scratch_path(spark, "capture"))
+    for _ in range(2):
+        run.commit(run.plan(records.where(F.col("batch_id") <= middle), lines))
+    return run.keys(run.plan(records, lines))
+
+
 def p1_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per journal the offset from which the run after this one reads."""
     return capture.next_offsets(table(spark, sf_dir, "usn_record"), table(spark, sf_dir, "usn_batch"))
@@ -55,9 +66,15 @@ def _apply(base: DataFrame | None, records: DataFrame, carry: tuple[str, ...] =
     return changes.apply_changes(base, records, ["journal_id", "usn"], ["volume_id", "file_id"], "usn", gone, carry)
 
 
+def _merged(spark: SparkSession, sf_dir: str, carry: tuple[str, ...]) -> DataFrame:
+    """The changes of major version 3 merged into a base built from all others: late and out of order."""
+    records = table(spark, sf_dir, "usn_record")
+    base = _apply(None, records.where("NOT (major <=> 3)"), carry)
+    return changes.current(_apply(base, records.where("major <=> 3"), carry), ["volume_id", "file_id"], "last_usn", carry)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = _apply(None, table(spark, sf_dir, "usn_record"))
-    return changes.current(state, ["volume_id", "file_id"], "last_usn")
+    return _merged(spark, sf_dir, ())
 
 
 def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,47 +84,60 @@ def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, as the changes of major version 3 merged into a base built from all others: late, out of order."""
-    records = table(spark, sf_dir, "usn_record")
-    base = _apply(None, records.where("NOT (major <=> 3)"), CARRIED)
-    state = _apply(base, records.where("major <=> 3"), CARRIED)
-    return changes.current(state, ["volume_id", "file_id"], "last_usn", CARRIED)
+    """The present files with what they carry, from a merge as in ``p2_found``."""
+    return _merged(spark, sf_dir, CARRIED)
 
 
 # --- 4: what changed between snapshots -----------------------------------------------------------
 
 
-def _snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "file_snapshot")
-    buckets = buckets_for(rows.count(), snapshots.PER_BUCKET, shuffle_partitions(spark))
-    ordinals = snapshots.Ordinals(spark, scratch_path(spark, "ordinals"))
-    return snapshots.snapshot_changes(rows, table(spark, sf_dir, "snapshot_log"), "volume_id", "snapshot_no", "number", ["path", "size", "modified"], buckets, ordinals)
+COMPARED = ("path", "size", "modified")
+
+
+def _store(spark: SparkSession) -> snapshots.SnapshotStore:
+    return snapshots.SnapshotStore(spark, scratch_path(spark, "snapshots"), "volume_id", "snapshot_no", "number", COMPARED, shuffle_partitions(spark))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _snapshot_changes(spark, sf_dir)
+    return _store(spark).advance(table(spark, sf_dir, "file_snapshot"), table(spark, sf_dir, "snapshot_log"))
+
+
+def p4_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a store that is kept: the snapshots come in three calls, of which the second is repeated as after a failure."""
+    rows, log = table(spark, sf_dir, "file_snapshot"), table(spark, sf_dir, "snapshot_log")
+    numbers = [r[0] for r in log.select("snapshot_no").distinct().orderBy("snapshot_no").collect()]
+    store, parts = _store(spark), []
+    for name, until in (("one", numbers[len(numbers) // 3]), ("two", numbers[2 * len(numbers) // 3]), ("two", numbers[2 * len(numbers) // 3]), ("three", numbers[-1])) if numbers else ():
+        parts.append(store.advance(rows.where(F.col("snapshot_no") <= until), log.where(F.col("snapshot_no") <= until), name))
+    return parts[0].unionByName(parts[2]).unionByName(parts[3]) if parts else store.advance(rows, log)
 
 
 def p4_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each change with path, size and modification time before and after."""
-    found = _snapshot_changes(spark, sf_dir)
-    return snapshots.change_details(found, table(spark, sf_dir, "file_snapshot"), table(spark, sf_dir, "snapshot_log"), "volume_id", "snapshot_no", "number", ["path", "size", "modified"])
+    found = p4_found(spark, sf_dir)
+    return snapshots.change_details(found, table(spark, sf_dir, "file_snapshot"), table(spark, sf_dir, "snapshot_log"), "volume_id", "snapshot_no", "number", COMPARED)
 
 
 # --- 5: messages delivered more than once --------------------------------------------------------
 
 
-def _index(spark: SparkSession, sf_dir: str, waves: int) -> tuple[dedup_index.DedupIndex, list[tuple[DataFrame, str]]]:
-    """Index the deliveries in the order of their read batches, in ``waves`` incoming batches; with (batch, run) of each."""
+def _index(spark: SparkSession, sf_dir: str, waves: int, again: bool = False) -> tuple[dedup_index.DedupIndex, list[tuple[DataFrame, str]]]:
+    """Index the deliveries in the order of their read batches, in ``waves`` incoming batches; with (batch, run) of each.
+
+    With ``again`` every batch is admitted twice, the second time by a new process, as after a crash.
+    """
     records = table(spark, sf_dir, "usn_record")
     low, high, rows = records.agg(F.min("batch_id"), F.max("batch_id"), F.count(F.lit(1))).first()
-    index = dedup_index.DedupIndex(spark, scratch_path(spark, "dedup"), ["journal_id", "usn"], merge_every=2)
+    home = scratch_path(spark, "dedup")
     low, span = low or 0, ((high or 0) - (low or 0)) // waves + 1
     runs = []
     for n in range(waves):
         inside = F.col("batch_id") < low + (n + 1) * span
         wave = records.where(F.coalesce(F.col("batch_id"), F.lit(low)) >= low + n * span).where(inside | F.col("batch_id").isNull() if n == 0 else inside)
-        runs.append((wave, index.admit(wave, rows // waves)))
+        for _ in range(1 + again):
+            index = dedup_index.DedupIndex(spark, home, ["journal_id", "usn"], merge_every=2)
+            run = index.admit(wave, f"wave {n}", rows // waves)
+        runs.append((wave, run))
     return index, runs
 
 
@@ -116,14 +146,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.repeated()
 
 
-def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row of each message: of the first batch that brought it the copy with the fewest nulls."""
-    index, runs = _index(spark, sf_dir, 3)
+def _kept(spark: SparkSession, sf_dir: str, again: bool) -> DataFrame:
+    index, runs = _index(spark, sf_dir, 3, again)
     columns = ["journal_id", "usn", "volume_id", "ticks", "file_id", "parent_id", "reason"]
     parts = [index.kept(wave.select(*columns, "name"), run).select(*columns) for wave, run in runs]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of each message: of the first batch that brought it the copy with the fewest nulls."""
+    return _kept(spark, sf_dir, False)
+
+
+def p5_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where every batch is admitted once more after it was indexed, from an index opened anew."""
+    return _kept(spark, sf_dir, True)
+
+
 def p5_novel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per incoming batch the number of messages that it brought for the first time."""
     index, runs = _index(spark, sf_dir, 3)
@@ -161,6 +200,12 @@ def p6_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.nested_sets(_main_links(spark, sf_dir), "volume_id", "record_number", "parent", F.col("label"))
 
 
+def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records below every record, with the number of links between them."""
+    ranges = hierarchy.nested_sets(_main_links(spark, sf_dir), "volume_id", "record_number", "parent")
+    return hierarchy.descendants(ranges, ranges, "volume_id", "record_number")
+
+
 # --- 7: references to records that do not exist --------------------------------------------------
 
 
@@ -223,7 +268,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(_table_name("groups"), month.alias("period"), "n_orphans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_run, p1_offsets, p2_found, p2_files, p2_merged, p4_found, p4_details, p5_found, p5_kept, p5_novel, p6_found, p6_tree, p7_found, p7_report)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_run, p1_next_run, p1_offsets, p2_found, p2_files, p2_merged, p4_found, p4_incremental, p4_details, p5_found, p5_kept, p5_retried, p5_novel, p6_found, p6_tree, p6_descendants, p7_found, p7_report)}
 
 _DONE = "SELECT batch_id FROM usn_batch GROUP BY batch_id HAVING max(log_no) = max(log_no) FILTER (status = 'committed')"
 _PENDING = f"SELECT journal_id, usn FROM usn_record GROUP BY journal_id, usn HAVING NOT bool_or(batch_id IN ({_DONE}))"
@@ -233,7 +278,7 @@ SELECT volume_id, file_id, max(usn) AS last_usn, arg_max(name, usn) FILTER (name
 FROM r GROUP BY volume_id, file_id HAVING arg_max(reason, usn) & 512 = 0
 """
 _STEPS = """
-WITH s AS (SELECT DISTINCT volume_id, snapshot_no, number, path, size, modified FROM file_snapshot),
+WITH s AS (SELECT volume_id, snapshot_no, number, path, size, modified FROM file_snapshot QUALIFY row_number() OVER (PARTITION BY volume_id, snapshot_no, number ORDER BY path DESC NULLS LAST, size DESC NULLS LAST, modified DESC NULLS LAST) = 1),
 l AS (SELECT volume_id, snapshot_no, lag(snapshot_no) OVER (PARTITION BY volume_id ORDER BY snapshot_no) AS earlier FROM snapshot_log),
 n AS (SELECT l.earlier, s.* FROM l JOIN s USING (volume_id, snapshot_no) WHERE l.earlier IS NOT NULL),
 o AS (SELECT l.snapshot_no AS later, s.* FROM l JOIN s ON s.volume_id = l.volume_id AND s.snapshot_no = l.earlier),
@@ -270,6 +315,10 @@ below AS (SELECT volume_id, record_number, count(*) - 1 AS n_below FROM (SELECT
 placed AS (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY place) - 1 AS lft FROM walk JOIN below USING (volume_id, record_number))
 SELECT l.volume_id, l.record_number, l.parent, p.root, p.depth, p.path, p.lft, p.lft + p.n_below AS rgt, p.n_below FROM links l LEFT JOIN placed p USING (volume_id, record_number)
 """
+_DESCENDANTS = f"""{_TREE[: _TREE.index("below AS (")]}
+spread AS (SELECT volume_id, record_number, depth, unnest(above) AS ancestor, unnest(range(len(above))) AS nth FROM walk)
+SELECT volume_id, ancestor, record_number, depth - nth AS distance FROM spread WHERE ancestor <> record_number
+"""
 _REFS = f"""
 WITH used AS (SELECT volume_id, record_number, sequence FROM mft_record WHERE flags & 1 = 1 UNION SELECT volume_id, record_number, sequence FROM system_record WHERE flags & 1 = 1),
 owners AS (SELECT volume_id, record_number, max(captured_at) AS at FROM mft_record GROUP BY volume_id, record_number),
@@ -282,17 +331,21 @@ lost AS (SELECT r.* FROM refs r LEFT JOIN used u ON u.volume_id = r.volume_id AN
 SQL: dict[str, str] = {
     "p1_found": _PENDING,
     "p1_run": f"SELECT 1::INTEGER AS run, journal_id, usn, max(volume_id) AS volume_id, max(ticks) AS ticks, max(file_id) AS file_id, max(parent_id) AS parent_id, max(reason) AS reason FROM usn_record WHERE (journal_id, usn) IN ({_PENDING}) GROUP BY journal_id, usn",
+    "p1_next_run": f"{_PENDING} EXCEPT SELECT journal_id, usn FROM (SELECT journal_id, usn FROM usn_record WHERE batch_id <= (SELECT (min(batch_id) + max(batch_id)) // 2 FROM usn_record) GROUP BY journal_id, usn HAVING NOT bool_or(batch_id IN ({_DONE})))",
     "p1_offsets": f"SELECT journal_id, max(o) AS next_usn FROM (SELECT journal_id, usn + 1 AS o FROM usn_record UNION ALL SELECT journal_id, next_usn FROM usn_batch WHERE batch_id IN ({_DONE}) AND next_usn > 0 AND (start_usn IS NULL OR next_usn >= start_usn)) GROUP BY journal_id",
     "p2_found": f"SELECT volume_id, file_id, last_usn FROM ({_FILES})",
     "p2_files": _FILES,
     "p2_merged": _FILES,
     "p4_found": f"{_STEPS} SELECT DISTINCT volume_id, snapshot_no, number, change_kind FROM d WHERE change_kind IS NOT NULL",
+    "p4_incremental": f"{_STEPS} SELECT DISTINCT volume_id, snapshot_no, number, change_kind FROM d WHERE change_kind IS NOT NULL",
     "p4_details": f"{_STEPS} SELECT DISTINCT * FROM d WHERE change_kind IS NOT NULL",
     "p5_found": "SELECT journal_id, usn FROM usn_record GROUP BY journal_id, usn HAVING count(*) > 1",
     "p5_kept": "SELECT journal_id, usn, max(volume_id) AS volume_id, max(ticks) AS ticks, max(file_id) AS file_id, max(parent_id) AS parent_id, max(reason) AS reason FROM usn_record GROUP BY journal_id, usn",
+    "p5_retried": "SELECT journal_id, usn, max(volume_id) AS volume_id, max(ticks) AS ticks, max(file_id) AS file_id, max(parent_id) AS parent_id, max(reason) AS reason FROM usn_record GROUP BY journal_id, usn",
     "p5_novel": "WITH b AS (SELECT min(batch_id) AS low, (max(batch_id) - min(batch_id)) // 3 + 1 AS span FROM usn_record), f AS (SELECT journal_id, usn, min((batch_id - low) // span)::INTEGER + 1 AS wave FROM usn_record, b GROUP BY journal_id, usn) SELECT wave, count(*) AS n_novel FROM f GROUP BY wave",
     "p6_found": _P6,
     "p6_tree": _TREE,
+    "p6_descendants": _DESCENDANTS,
     "p7_found": f"{_REFS} SELECT DISTINCT source_table, owner_id, row_key, attr_id FROM lost",
     "p7_report": f"{_REFS} SELECT source_table, period, count(*) AS n_orphans FROM lost GROUP BY source_table, period",
 }

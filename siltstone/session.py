@@ -6,6 +6,7 @@ executors share.  Only a ``local`` master may fall back to a folder of its own.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -78,17 +79,41 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
-    """Publish a small file: write beside it, then rename, so that readers see all of it or nothing."""
+    """Publish a new small file: write beside it, then rename, so that readers see all of it or nothing.
+
+    A file that is there already is never replaced: that would need a moment without it.
+    """
     fs, p = _fs(spark, path)
     fs.mkdirs(p.getParent())
     _, temporary = _fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(temporary, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(temporary, p):
-        raise OSError(f"cannot publish {path}")
+    if fs.exists(p) or not fs.rename(temporary, p):
+        fs.delete(temporary, False)
+        raise OSError(f"cannot publish {path}: is there another writer?")
+
+
+#: Versions of a manifest that stay behind the newest.
+KEPT_VERSIONS = 8
+
+
+def latest_version(spark: SparkSession, home: str, name: str) -> tuple[int, str] | None:
+    """Number and text of the newest version of a manifest; None where there is none."""
+    numbers = [int(m[1]) for x in list_names(spark, home) if (m := re.fullmatch(rf"{re.escape(name)}-(\d+)", x))]
+    if not numbers:
+        return None
+    return max(numbers), get_text(spark, f"{home}/{name}-{max(numbers):09d}") or ""
+
+
+def put_version(spark: SparkSession, home: str, name: str, text: str) -> int:
+    """Publish the next version of a manifest.  Older ones are deleted only after it, and never the last few."""
+    newest = latest_version(spark, home, name)
+    number = 0 if newest is None else newest[0] + 1
+    put_text(spark, f"{home}/{name}-{number:09d}", text)
+    if number > KEPT_VERSIONS:
+        remove(spark, f"{home}/{name}-{number - KEPT_VERSIONS - 1:09d}")
+    return number
 
 
 def get_text(spark: SparkSession, path: str) -> str | None:

@@ -1,5 +1,11 @@
 from __future__ import annotations
 
+import random
+
+import pytest
+
+from siltstone import session
+from siltstone.operators import capture as capture_module
 from siltstone.operators.capture import ChangeCapture, done_batches, next_offsets, pending_keys
 from tests.conftest import rows
 
@@ -76,3 +82,70 @@ def test_a_plan_can_be_given_up(spark, home):
 def test_next_offsets_ignore_unusable_ends(spark):
     records, lines = tables(spark)
     assert rows(next_offsets(records, lines)) == [(7, 22), (8, 7)]
+
+
+def test_many_runs_against_a_set(spark, home, monkeypatch):
+    """Deliveries come in any order, late and again; every run plans what none has planned, and the state stays small."""
+    monkeypatch.setattr(capture_module, "MERGE_EVERY", 3)
+    r = random.Random(3)
+    pool = [(j, u) for j in (7, 8) for u in r.sample(range(-3000, 3_000_000), 60)]
+    lines = spark.createDataFrame([], LINES)
+    seen, shown = set(), []
+    for n in range(6):
+        shown += [(100 + n, *k, None, None, None, None) for k in r.sample(pool, 30)]
+        run = ChangeCapture(spark, home)
+        plan = run.plan(spark.createDataFrame(shown, RECORDS), lines)
+        now = {(k[1], k[2]) for k in shown}
+        assert set(rows(run.keys(plan))) == now - seen
+        run.commit(plan)
+        run.commit(plan)  # once more changes nothing
+        seen = now
+        assert dict(rows(run.next_offsets())) == {j: max(u for k, u in seen if k == j) + 1 for j in {k for k, _ in seen}}
+        assert len(run._state()["handled"]) <= 3
+    assert len(session.list_names(spark, f"{home}/plan")) <= 4
+
+
+def test_the_plan_does_not_grow_with_the_runs(spark, home):
+    records, lines = tables(spark)
+    lengths = []
+    for n in range(4):
+        run = ChangeCapture(spark, home)
+        more = records.union(spark.createDataFrame([(9, 7, 500 + n, None, None, None, None)], RECORDS))
+        state = run._state()
+        if state["offsets"]:
+            lengths.append(len(run._unhandled(more.select("journal_id", "usn").dropna(), state)._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        run.commit(run.plan(more, lines))
+    assert len(set(lengths)) == 1
+
+
+class Crash(Exception):
+    pass
+
+
+@pytest.mark.parametrize("at", range(0, 10, 2))
+def test_a_crash_at_any_step_of_a_run(spark, home, monkeypatch, at):
+    records, lines = tables(spark)
+    calls = [0]
+
+    def failing(name):
+        plain = getattr(session, name)
+
+        def call(*args):
+            calls[0] += 1
+            if calls[0] == at + 1:
+                raise Crash
+            return plain(*args)
+
+        return call
+
+    for name in ("latest_version", "put_version", "put_text", "path_exists", "written"):
+        monkeypatch.setattr(capture_module, name, failing(name))
+    for n in range(3):
+        late = records.union(spark.createDataFrame([(9, 7, 500 - n * 300, None, None, None, None)], RECORDS))
+        for _ in range(2):
+            try:
+                ChangeCapture(spark, home).run(late, lines)
+                break
+            except Crash:
+                continue
+    assert rows(ChangeCapture(spark, home).sink().select("journal_id", "usn")) == sorted([(7, -100), (7, 11), (7, 200), (7, 500), (8, 5), (8, 6)])

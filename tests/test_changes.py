@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -66,3 +67,14 @@ def test_nulls_ties_and_empty(spark):
     assert current(apply(None, make(spark, [])), ["v", "f"], "u").count() == 0
     tie = [(1, 5, 1, 2, 1, "a", 1), (2, 5, 1, 2, 0x200, "b", 2)]  # the greater identifier counts
     assert current(apply(None, make(spark, tie)), ["v", "f"], "u").count() == 0
+
+
+def test_carried_columns_keep_their_type(spark):
+    """Structs, arrays, maps, bytes and times pass through as they are."""
+    schema = "i bigint, k bigint, seq bigint, a array<int>, s struct<x:int,y:string>, m map<string,int>, t timestamp_ntz, b binary"
+    at = datetime(2024, 10, 27, 2, 30)
+    data = [(1, 1, 1, [1, 2], (1, "q"), {"u": 1}, at, bytearray(b"\xff\x00")), (2, 1, 2, None, None, None, None, None), (3, 1, 3, [3], None, None, None, None)]
+    columns = ["a", "s", "m", "t", "b"]
+    got = current(apply_changes(None, spark.createDataFrame(data, schema), ["i"], ["k"], "seq", F.lit(False), columns), ["k"], "seq", columns)
+    assert got.schema["m"].dataType.simpleString() == "map<string,int>"
+    assert [tuple(r) for r in got.collect()] == [(1, 3, [3], (1, "q"), {"u": 1}, at, bytearray(b"\xff\x00"))]

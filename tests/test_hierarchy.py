@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import hierarchy
@@ -42,15 +43,28 @@ def random_links(seed, several=False, n=120):
     return links + links[:30] + [(None, 1, 2), (1, None, 2)]
 
 
-def test_endless_against_peeling(spark):
-    for seed in (0, 3):
-        links, ends = random_links(seed, several=seed > 1), [(1, 0), (2, 0), (2, 50)]
-        got = endless(make(spark, links), "v", "n", "p", spark.createDataFrame(ends, ENDS))
-        assert rows(got) == brute_endless(links, ends)
+@pytest.fixture(params=[hierarchy.LOCAL, 20], ids=["local", "swept"])
+def local(request, monkeypatch):
+    monkeypatch.setattr(hierarchy, "LOCAL", request.param)
+    return request.param
 
 
-def test_nested_sets(spark, monkeypatch):
-    monkeypatch.setattr(hierarchy, "CHUNK_BITS", 3)
+@pytest.mark.parametrize("seed", [0, 3])
+def test_endless_against_peeling(spark, local, seed):
+    links, ends = random_links(seed, several=seed > 1), [(1, 0), (2, 0), (2, 50)]
+    got = endless(make(spark, links), "v", "n", "p", spark.createDataFrame(ends, ENDS))
+    assert rows(got) == brute_endless(links, ends)
+
+
+def test_one_node_with_several_parents_does_not_change_the_others(spark, local):
+    """A circle, a chain, and two inner nodes with several parents, of which one hangs from the circle through the other."""
+    links = [(1, i, i - 1 if i else None) for i in range(40)] + [(1, 50, 51), (1, 51, 50)]
+    links += [(1, 60, 39), (1, 60, 20), (1, 61, 60), (1, 70, 61), (1, 70, 51), (1, 71, 70), (1, 80, 71), (1, 80, 3), (1, 81, 80), (1, 90, 10), (1, 90, 61)]
+    got = endless(make(spark, links), "v", "n", "p")
+    assert rows(got) == brute_endless(links, []) == [(1, n) for n in (50, 51, 70, 71, 80, 81)]
+
+
+def test_nested_sets(spark, local):
     for seed in (7,):
         links = random_links(seed)
         parent = {(v, n): p for v, n, p in links if None not in (v, n)}
@@ -77,13 +91,44 @@ def test_nested_sets(spark, monkeypatch):
                 assert inside == below[k] and r["n_below"] == len(inside)
 
 
-def test_long_chain_self_loop_and_empty(spark):
-    chain = [(1, i, i - 1 if i else None) for i in range(700)] + [(1, 1000, 1000), (1, 1001, 1000)]
+def test_long_chain_self_loop_and_empty(spark, local):
+    chain = [(1, i, i - 1 if i else None) for i in range(300)] + [(1, 1000, 1000), (1, 1001, 1000)]
     got = {r["n"]: r for r in nested_sets(make(spark, chain), "v", "n", "p").collect()}
-    assert (got[699]["depth"], got[0]["n_below"], got[699]["root"]) == (699, 699, 0)
+    assert (got[299]["depth"], got[0]["n_below"], got[299]["root"]) == (299, 299, 0)
     assert got[1000]["lft"] is None and got[1001]["lft"] is None
     assert rows(endless(make(spark, chain), "v", "n", "p")) == [(1, 1000), (1, 1001)]
-    below = descendants(nested_sets(make(spark, chain[690:] + chain[:3]), "v", "n", "p"), make(spark, [(1, 697, None), (1, 699, None), (1, 1000, None)]), "v", "n")
-    assert rows(below) == [(1, 697, 698, 1), (1, 697, 699, 2)]
+
+
+def test_a_chain_of_100000_and_nothing(spark):
+    chain = spark.range(100_000).select(F.lit(1).alias("v"), F.col("id").alias("n"), (F.col("id") - 1).alias("p"))
+    got = nested_sets(chain, "v", "n", "p")
+    assert got.where("depth <> n OR lft <> n OR n_below <> 99999 - n").count() == 0 and got.count() == 100_000
+    assert endless(chain, "v", "n", "p").count() == 0
     empty = make(spark, [])
     assert nested_sets(empty, "v", "n", "p").count() == 0 and endless(empty, "v", "n", "p").count() == 0
+    assert descendants(nested_sets(empty, "v", "n", "p"), empty, "v", "n").count() == 0
+
+
+def test_descendants(spark):
+    links = random_links(5)
+    parent = {(v, n): p for v, n, p in links if None not in (v, n)}
+    lost = set(brute_endless(links, []))
+    below = []
+    for (v, n), p in parent.items():
+        distance = 1
+        while (v, n) not in lost and p is not None and (v, p) in parent:
+            below.append((v, p, n, distance))
+            p, distance = parent[v, p], distance + 1
+    ranges = nested_sets(make(spark, links), "v", "n", "p")
+    assert rows(descendants(ranges, ranges, "v", "n")) == sorted(below)
+    some = [(1, 0, None), (2, 7, None), (2, 7, None), (2, 9999, None)]
+    assert rows(descendants(ranges, make(spark, some), "v", "n")) == sorted(x for x in below if x[:2] in {(1, 0), (2, 7)})
+
+
+@pytest.mark.parametrize("chunks", [1, 5])
+def test_sibling_sums(spark, chunks):
+    r = random.Random(chunks)
+    data = [(1, r.choice([None, 5, 5, 5, 6]), n * 10**9, r.randrange(5)) for n in range(300)]
+    df = spark.createDataFrame(data, "tree bigint, at bigint, node bigint, size bigint").repartition(chunks)
+    got = {x["node"]: x["before"] for x in hierarchy.sibling_sums(df, ["tree", "at"], "node", "size", "before", "t").collect()}
+    assert got == {n: sum(s for _, b, m, s in data if b == a and m < n) for _, a, n, _ in data}

@@ -2,7 +2,10 @@ from __future__ import annotations
 
 import random
 
-from siltstone.operators.snapshots import Ordinals, change_details, snapshot_changes
+import pytest
+
+from siltstone.operators import snapshots
+from siltstone.operators.snapshots import SnapshotStore, change_details, snapshot_changes
 from tests.conftest import rows
 
 SCHEMA = "v int, s int, number bigint, path string, size bigint, kind string, bucket int, tree string"
@@ -42,25 +45,60 @@ def random_snapshots(seed):
     return data, log
 
 
-def run(spark, data, log, buckets=3, ordinals=None):
-    return snapshot_changes(make(spark, data), spark.createDataFrame([(*x, "p") for x in log], LOG), "v", "s", "number", ["path", "size"], buckets, ordinals)
+def frames(spark, data, log):
+    return make(spark, data), spark.createDataFrame([(*x, "p") for x in log], LOG)
+
+
+def run(spark, data, log, bits=2):
+    return snapshot_changes(*frames(spark, data, log), "v", "s", "number", ["path", "size"], bits)
 
 
 def test_against_plain_python(spark):
-    for seed, buckets in ((1, 1), (2, 3), (3, 8)):
+    for seed, bits in ((1, 0), (2, 2), (3, 3)):
         data, log = random_snapshots(seed)
-        assert rows(run(spark, data, log, buckets)) == brute(data, log)
+        assert rows(run(spark, data, log, bits)) == brute(data, log)
+
+
+def store(spark, home):
+    return SnapshotStore(spark, home, "v", "s", "number", ["path", "size"])
 
 
-def test_ordinals_stay(spark, home):
+def test_snapshots_that_keep_coming(spark, home, monkeypatch):
+    """Buckets split as keys are added, ordinals stay, and only new snapshots are compared."""
+    monkeypatch.setattr(snapshots, "PER_BUCKET", 64)
     data, log = random_snapshots(5)
-    first = [x for x in log if x[1] <= 3]
-    assert rows(run(spark, data, first, 3, Ordinals(spark, home))) == brute(data, first)
-    before = {(r["tree"], r["number"]): (r["bucket"], r["ordinal"]) for r in Ordinals(spark, home).read().collect()}
-    assert rows(run(spark, data, log, 99, Ordinals(spark, home))) == brute(data, log)
-    after = [tuple(r) for r in Ordinals(spark, home).read().collect()]
-    assert len({x[:2] for x in after}) == len({x[2:] for x in after}) == len(after)
-    assert all(before[tree, n] == (b, o) for b, o, tree, n in after if (tree, n) in before) and before
+    got, before, bits = [], {}, []
+    for until in (2, 4, 6):
+        mine = [x for x in log if x[1] <= until]
+        now = rows(store(spark, home).advance(*frames(spark, [x for x in data if x[1] is None or x[1] <= until], mine), f"week {until}"))
+        again = store(spark, home).advance(*frames(spark, [], []), f"week {until}")
+        assert rows(again) == now  # a call that is known gives what it gave
+        got += now
+        after = {(r["tree"], r["number"]): r["ordinal"] for r in store(spark, home).ordinals().collect()}
+        assert all(after[k] == o for k, o in before.items())
+        placed = [(r["bucket"], r["ordinal"]) for r in store(spark, home).ordinals().collect()]
+        assert len(set(placed)) == len(placed) == len(after)
+        before, bits = after, [*bits, store(spark, home)._state()["bits"]]
+    assert sorted(got) == brute(data, log)
+    assert bits == sorted(bits) and bits[0] >= 1
+    newer = rows(store(spark, home).advance(*frames(spark, [(1, 7, 3, "z", 1)], [*log, (1, 7)])))  # the rows of the last one are stored
+    last = max(s for v, s in log if v == 1)
+    assert newer == [x for x in brute([x for x in data if x[1] != 7] + [(1, 7, 3, "z", 1)], [(1, last), (1, 7)])]
+    missing = next(s for s in range(1, 7) if (2, s) not in log or s == 6)
+    if (2, missing) not in log:
+        with pytest.raises(ValueError, match="was compared"):
+            store(spark, home).advance(*frames(spark, data, [*log, (2, missing)]))
+
+
+def test_copies_that_disagree_give_the_same_in_any_order(spark):
+    """The greatest by value counts, column by column; null is the least."""
+    data = [(1, s, n, p, size) for n in range(200) for s in (1, 2) for p, size in (("a", 2), ("b", None), ("b", 1), (None, 9))]
+    want = brute([(1, s, n, "b", 1) for n in range(200) for s in (1, 2)], [(1, 1), (1, 2)])
+    r = random.Random(1)
+    for parts in (1, 3, 7):
+        r.shuffle(data)
+        rows_, log = frames(spark, data, [(1, 1), (1, 2)])
+        assert rows(snapshot_changes(rows_.repartition(parts), log, "v", "s", "number", ["path", "size"], 1)) == want == []
 
 
 def test_empty_and_missing_snapshots(spark):

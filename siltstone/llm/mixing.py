@@ -4,8 +4,10 @@ Documents of a source get copies at a rate exp(lambda * x), x being their tokens
 source, cut off at the largest number of repeats.  The lambda of each (mix, source) solves the convex
 dual of the token constraint: distributed Newton steps over the histogram (source, tokens) -> documents,
 which is exact and is the only thing that is read again and again.  A step that leaves the bracket known
-to hold the solution is replaced by halving.  Rates are rounded to copies by carrying the rounding
-error on within each task.
+to hold the solution is replaced by halving; the steps end when the tokens are within ``CLOSE_ENOUGH`` of
+the target, or when no number lies between the ends of the bracket, which ``converged`` then denies.
+Rates are rounded to copies batch by batch in order of size, by a running sum of the fractions, which
+starts where the tokens still owed by the batches before ask for.
 
 The target of a source is its weight over the weights of the mix, times the tokens of all documents.
 Where even ``max_repeats`` copies of everything fall short, the dual has no bound: all documents get
@@ -29,9 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STEPS = 60
 CLOSE_ENOUGH = 1e-7
-STATE = "mix_id int, source string, share double, target double, cap int, available bigint, reachable boolean, rate_lambda double, mean double"
+STATE = "mix_id int, source string, share double, target double, cap int, available bigint, reachable boolean, converged boolean, rate_lambda double, mean double"
 
 
 def plain_source(source: Column) -> Column:
@@ -58,13 +59,10 @@ def balance(sizes: DataFrame, targets: DataFrame, counts: DataFrame) -> DataFram
     for r in rows:
         available, share = r["available"] or 0, r["weight"] / sums[r["mix_id"]] if sums[r["mix_id"]] else 0.0
         target = share * whole
-        state.append({"mix_id": r["mix_id"], "source": r["source"], "share": share, "target": target, "cap": r["cap"], "available": available, "mean": available / r["documents"] if r["documents"] else 1.0, "low": -math.inf, "high": math.inf, "at": 0.0, "done": target <= 0, "full": False})
+        state.append({"mix_id": r["mix_id"], "source": r["source"], "share": share, "target": target, "cap": r["cap"], "available": available, "mean": available / r["documents"] if r["documents"] else 1.0, "low": -math.inf, "high": math.inf, "at": 0.0, "done": target <= 0, "full": False, "stuck": False})
         if not available and target > 0:  # nothing to tilt
             state[-1] |= {"done": True, "full": True}
-    for _ in range(STEPS):
-        left = [s for s in state if not s["done"]]
-        if not left:
-            break
+    while left := [s for s in state if not s["done"]]:
         guess = spark.createDataFrame([(s["mix_id"], s["source"], float(s["at"]), float(s["cap"]), float(s["mean"])) for s in left], "mix_id int, source string, at double, cap double, mean double")
         x = F.col("n_tokens") / F.col("mean")
         tilt = F.exp(F.least(F.col("at") * x, F.lit(50.0)))
@@ -89,11 +87,12 @@ def balance(sizes: DataFrame, targets: DataFrame, counts: DataFrame) -> DataFram
                     s["at"] = far if gap < 0 else -far
                 else:
                     s["at"] = (s["low"] + s["high"]) / 2
+                    s["done"] = s["stuck"] = s["at"] in (s["low"], s["high"])
     out = []
     for s in state:
         # The exact test of those whose dual has no bound.
         short = s["full"] and s["available"] * s["cap"] < s["target"]
-        out.append((s["mix_id"], s["source"], s["share"], s["target"], s["cap"], s["available"], not short, None if s["full"] else float(s["at"]), float(s["mean"])))
+        out.append((s["mix_id"], s["source"], s["share"], s["target"], s["cap"], s["available"], not short, not s["stuck"], None if s["full"] else float(s["at"]), float(s["mean"])))
     return spark.createDataFrame(out, STATE)
 
 
@@ -110,20 +109,23 @@ def copies(sizes: DataFrame, state: DataFrame) -> DataFrame:
         owed: dict[tuple[int, str], float] = {}
         random = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
-            mixes, sources = batch["mix_id"].to_pylist(), batch["source"].to_pylist()
-            sizes_, rates, caps = batch["n_tokens"].to_pylist(), batch["rate"].to_pylist(), batch["cap"].to_pylist()
-            out = []
-            for mix, source, n, r, cap in zip(mixes, sources, sizes_, rates, caps):
-                debt = owed.get((mix, source))
-                if debt is None:
-                    debt = (random.random() - 0.5) * n  # tasks must not all round their first document alike
-                low = int(r)
-                want = debt + (r - low) * n
-                got = low + 1 if want >= n / 2 and low < cap and r > low else low
-                owed[mix, source] = debt + (r - got) * n
-                out.append(got)
-            done = pa.RecordBatch.from_arrays([*[batch[c] for c in ("mix_id", "doc_id", "source", "n_tokens")], pa.array(out, pa.int32())], ["mix_id", "doc_id", "source", "n_tokens", "copies"])
-            yield done
+            size, rate = np.asarray(batch["n_tokens"]).astype(np.float64), np.asarray(batch["rate"])
+            low = np.floor(rate)
+            part = rate - low
+            kind = np.asarray(batch["mix_id"]).astype(np.int64) * (1 << 32) + np.asarray(batch["source"].dictionary_encode().indices)
+            order = np.lexsort((size, kind))
+            firsts = np.flatnonzero(np.diff(kind[order], prepend=kind[order][:1] - 1)) if len(order) else np.empty(0, np.int64)
+            up = np.zeros(len(order))
+            for a, b in zip(firsts, [*firsts[1:], len(order)]):  # one turn per mix and source
+                rows = order[a:b]
+                at = (batch["mix_id"][int(rows[0])].as_py(), batch["source"][int(rows[0])].as_py())
+                # Tasks must not all round their first documents alike; later batches make up for what is owed.
+                begin = min(max(0.5 + owed[at] / max(size[rows].mean(), 1.0), 0.0), 1 - 1e-9) if at in owed else random.random()
+                sums = np.floor(begin + np.cumsum(part[rows]))
+                up[rows] = np.diff(sums, prepend=0.0)
+                owed[at] = owed.get(at, 0.0) + float(((part - up)[rows] * size[rows]).sum())
+            copies = pa.array((low + up).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("mix_id", "doc_id", "source", "n_tokens")], copies], ["mix_id", "doc_id", "source", "n_tokens", "copies"])
 
     return rated.mapInArrow(round_rates, f"mix_id int, doc_id {kind}, source string, n_tokens bigint, copies int").where("copies > 0")
 
@@ -134,4 +136,4 @@ def shares(state: DataFrame, chosen: DataFrame) -> DataFrame:
     whole = chosen.groupBy("mix_id").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mix_tokens"))
     out = state.join(got, ["mix_id", "source"], "left").join(whole, "mix_id", "left")
     tokens = F.coalesce("tokens", F.lit(0).cast("bigint"))
-    return out.select("mix_id", "source", "share", "target", "available", tokens.alias("tokens"), F.coalesce(tokens / F.col("mix_tokens"), F.lit(0.0)).alias("reached_share"), F.coalesce("n_copies", F.lit(0).cast("bigint")).alias("n_copies"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "reachable")
+    return out.select("mix_id", "source", "share", "target", "available", tokens.alias("tokens"), F.coalesce(tokens / F.col("mix_tokens"), F.lit(0.0)).alias("reached_share"), F.coalesce("n_copies", F.lit(0).cast("bigint")).alias("n_copies"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "reachable", "converged")

@@ -2,15 +2,19 @@
 
 Each task keeps a fixed number of open windows per capacity, places an item where it leaves the least
 space (best fit), and emits the fullest window when none fits.  What is still open at the end of the
-tasks is merged: the leftover windows are packed as items themselves, by ever fewer tasks.  Leftovers
-are at most windows x tasks, whatever the number of items, and nothing is shuffled but them.
+tasks is merged: the windows of 16 tasks are packed as items themselves, by one group, which again
+leaves at most as many open windows as one task, and so on until one group is left.  A group thus has
+at most 16 x windows items, whatever the number of tasks, and nothing is shuffled but leftovers.
 
 A text longer than the capacity is divided first: as many tokens as fit, cut at the strongest pause in
-the last sixteenth, never within a character.  No other text is divided.
+the last sixteenth, never within a character.  No other text is divided.  Every part is counted by
+itself, as a cut can change how the text around it is split into tokens; it is placed and reported by
+that size.
 
 Defined results: an empty or null text has size 0 and goes into a container like any other.  Equal
-rows are packed each.  Empty tables give no containers.  Container ids are unique per capacity and
-depend on how the input is split; the contents of a container are in order of placement.
+rows are packed each.  Empty tables give no containers.  A single character of more tokens than the
+capacity stays whole, in a container of its own that it exceeds.  Container ids are unique per capacity
+and depend on how the input is split; the contents of a container are in order of placement.
 """
 
 from __future__ import annotations
@@ -56,21 +60,23 @@ class Windows:
         return container
 
 
-def divide(text: Text, capacity: int) -> list[tuple[int, int]]:
-    """(first, end) tokens of the parts of a text that is longer than the capacity."""
+def divide(text: Text, capacity: int) -> list[tuple[int, int, int]]:
+    """(first, end, own size) of the parts of a text that is longer than the capacity; first and end are its tokens."""
     out, a = [], 0
-    while text.n - a > capacity:
-        b = text.best(max(a + 1, a + capacity - capacity // 16), a + capacity, a + capacity)
-        if b is None:
-            b = text.back(a + capacity)
-        while b > a + 1 and text.coder.count(text.piece(a, b)) > capacity:
+    while a < text.n:
+        b = text.n
+        if b - a > capacity:
+            cut = text.best(max(a + 1, a + capacity - capacity // 16), a + capacity, a + capacity)
+            b = text.back(a + capacity) if cut is None else cut
+        size = text.coder.count(text.piece(a, b)) if b > a else 0
+        while b > a and size > capacity:  # by itself it has more tokens than within the text
             b = text.back(b - 1)
+            size = text.coder.count(text.piece(a, b)) if b > a else 0
         if b <= a:  # one character of more tokens than fit
             b = next(i for i in range(a + 1, text.n + 1) if text.strength[i] >= 0)
-        out.append((a, b))
+            size = text.coder.count(text.piece(a, b))
+        out.append((a, b, size))
         a = b
-    if a < text.n:
-        out.append((a, text.n))
     return out
 
 
@@ -86,7 +92,6 @@ def pack(documents: DataFrame, key: str, text: str, capacities: Sequence[int], w
         coder = tokenizer(vocabulary, pattern)
         open_windows = {c: Windows(c, windows) for c in capacities}
         base = TaskContext.get().partitionId() << 40
-        held = []  # rows wait in their batch until the task ends only as container numbers: 8 bytes each
         for batch in batches:
             rows = []
             for i, value in enumerate(texts_of(batch, "text")):
@@ -97,12 +102,12 @@ def pack(documents: DataFrame, key: str, text: str, capacities: Sequence[int], w
                         continue
                     whole = whole or Text(value, coder)
                     parts = divide(whole, capacity)
-                    for k, (a, b) in enumerate(parts):
-                        rows.append((capacity, base + window.place(b - a), i, k, len(parts), *whole.chars(a, b), b - a))
+                    for k, (a, b, size) in enumerate(parts):
+                        rows.append((capacity, base + window.place(size), i, k, len(parts), *whole.chars(a, b), size))
             if rows:
                 c = [*zip(*rows)]
-                held = [pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), batch["key"].take(pa.array(c[2], pa.int64())), *[pa.array(x, pa.int32()) for x in c[3:]]]
-                yield pa.RecordBatch.from_arrays([*held, pa.nulls(len(rows), pa.bool_())], [*names, "open"])
+                columns = [pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), batch["key"].take(pa.array(c[2], pa.int64())), *[pa.array(x, pa.int32()) for x in c[3:]]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(rows), pa.bool_())], [*names, "open"])
         for capacity, window in open_windows.items():
             left = [(base + container, capacity - space) for space, container in window.free]
             if left:
@@ -112,7 +117,7 @@ def pack(documents: DataFrame, key: str, text: str, capacities: Sequence[int], w
                 yield pa.RecordBatch.from_arrays([pa.array([capacity] * n, pa.int32()), pa.array(ids, pa.int64()), pa.nulls(n, batch_type(kind)), blank, blank, blank, blank, pa.array(sizes, pa.int32()), pa.array([True] * n)], [*names, "open"])
 
     placed = written(taken.mapInArrow(place, schema), "packing")
-    moved = merge_open(placed.where("open").select("max_tokens", "container_id", "n_tokens"), capacities, windows)
+    moved = merge_open(placed.where("open").select("max_tokens", "container_id", "n_tokens"), windows)
     items = placed.where("open IS NULL").drop("open").join(moved, ["max_tokens", "container_id"], "left")
     return items.select("max_tokens", F.coalesce("into_id", "container_id").alias("container_id"), F.col("key").alias(key), *names[3:])
 
@@ -121,36 +126,45 @@ def batch_type(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def merge_open(leftovers: DataFrame, capacities: Sequence[int], windows: int) -> DataFrame:
-    """(max_tokens, container_id, into_id) of the leftover windows, packed by ever fewer tasks."""
-    schema = "max_tokens int, container_id bigint, into_id bigint, n_tokens int"
-
-    def level(tasks: int):
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            open_windows = {c: Windows(c, windows) for c in capacities}
-            names: dict[tuple[int, int], int] = {}  # the first item of a container gives it its id
-            for batch in batches:
-                limit, size = batch["max_tokens"].to_pylist(), batch["n_tokens"].to_pylist()
-                ids, into = batch["into_id"].to_pylist(), []
-                for c, s, i in zip(limit, size, ids):
-                    into.append(names.setdefault((c, open_windows[c].place(s)), i))
-                yield pa.RecordBatch.from_arrays([batch["max_tokens"], batch["into_id"], pa.array(into, pa.int64()), batch["n_tokens"]], ["max_tokens", "container_id", "into_id", "n_tokens"])
-
-        return place
-
-    state = leftovers.withColumn("into_id", F.col("container_id"))
-    state = written(state, "packing-open")
-    tasks = max(1, leftovers.select(F.shiftrightunsigned("container_id", 40)).distinct().count())
-    while True:
-        tasks = -(-tasks // MERGE_BY)
-        current = state.groupBy("max_tokens", "into_id").agg(F.sum("n_tokens").cast("int").alias("n_tokens"))
+def _merger(windows: int):
+    """Pack the leftovers of a few tasks: (max_tokens, group), (container_id, n_tokens) -> where each went."""
+
+    def merge(key: tuple, left: pa.Table) -> pa.Table:
+        capacity = key[0].as_py()
         # Large leftovers first: with few windows that wastes least.
-        spread = current.repartition(tasks, F.xxhash64("into_id")).sortWithinPartitions("max_tokens", F.desc("n_tokens"), "into_id")
-        moves = spread.mapInArrow(level(tasks), schema).select("max_tokens", F.col("container_id").alias("from_id"), F.col("into_id").alias("to_id"))
-        state = state.join(moves, (state["max_tokens"] == moves["max_tokens"]) & (state["into_id"] == moves["from_id"])).select(state["max_tokens"], "container_id", F.col("to_id").alias("into_id"), "n_tokens")
-        state = written(state, "packing-open")
-        if tasks == 1:
-            return state.select("max_tokens", "container_id", "into_id")
+        left = left.sort_by([("n_tokens", "descending"), ("container_id", "ascending")])
+        ids, sizes = left["container_id"].to_pylist(), left["n_tokens"].to_pylist()
+        open_windows = Windows(capacity, windows)
+        names: dict[int, int] = {}  # the first item of a container gives it its id
+        into = [names.setdefault(open_windows.place(min(s, capacity)), i) for s, i in zip(sizes, ids)]
+        still = {names[container]: capacity - space for space, container in open_windows.free}
+        n = len(ids)
+        # The size of an open container stands once, with the item that names it.
+        kept = [still.get(i) if i == t else None for i, t in zip(ids, into)]
+        return pa.Table.from_arrays([pa.array([capacity] * n, pa.int32()), pa.array(ids, pa.int64()), pa.array(into, pa.int64()), pa.array(kept, pa.int32())], ["max_tokens", "container_id", "into_id", "n_open"])
+
+    return merge
+
+
+def merge_open(leftovers: DataFrame, windows: int) -> DataFrame:
+    """(max_tokens, container_id, into_id) of the leftover windows; the task that left one is in the upper bits of its id.
+
+    What is no longer open after a level has its place; only what is open goes on to the next.
+    """
+    schema = "max_tokens int, container_id bigint, into_id bigint, n_open int"
+    tasks = (leftovers.agg(F.max(F.shiftrightunsigned("container_id", 40))).first()[0] or 0) + 1
+    current, state, step = leftovers, None, 1
+    while state is None or tasks > step:
+        step *= MERGE_BY
+        group = F.floor(F.shiftrightunsigned("container_id", 40) / step).alias("group")
+        moves = written(current.groupBy("max_tokens", group).applyInArrow(_merger(windows), schema), "packing-open")
+        if state is None:
+            state = moves.select("max_tokens", "container_id", "into_id")
+        else:
+            to = moves.select("max_tokens", F.col("container_id").alias("into_id"), F.col("into_id").alias("further"))
+            state = written(state.join(to, ["max_tokens", "into_id"], "left").select("max_tokens", "container_id", F.coalesce("further", "into_id").alias("into_id")), "packing-moves")
+        current = moves.where("n_open IS NOT NULL").select("max_tokens", "container_id", F.col("n_open").alias("n_tokens"))
+    return state
 
 
 def containers(items: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import mixing, packing, runs, splitting, tokens
@@ -56,6 +56,20 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(_packed(spark, sf_dir))
 
 
+def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document and capacity: the characters in its parts, whether these follow each other without gap, and whether their containers hold no more than fits."""
+    items = written(_packed(spark, sf_dir), "packed")
+    fits = packing.containers(items).select("max_tokens", "container_id", (F.col("unused") >= 0).alias("fits"))
+    return _coverage(items.join(fits, ["max_tokens", "container_id"]), "part_no", F.col("first_char"), F.col("first_char") + F.col("n_chars"), F.col("fits"))
+
+
+def _coverage(parts: DataFrame, number: str, first: F.Column, end: F.Column, fits: F.Column) -> DataFrame:
+    """(max_tokens, doc_id, n_chars, gapless, fits): a part begins where the one before it ends."""
+    w = Window.partitionBy("max_tokens", "doc_id").orderBy(number)
+    checked = parts.select("max_tokens", "doc_id", end.alias("end"), (first == F.coalesce(F.lag(end).over(w), F.lit(0))).alias("gapless"), fits.alias("fits"))
+    return checked.groupBy("max_tokens", "doc_id").agg(F.max("end").cast("bigint").alias("n_chars"), F.bool_and("gapless").alias("gapless"), F.bool_and("fits").alias("fits"))
+
+
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", ["source"])
     return written(counted.withColumn("source", mixing.plain_source(F.col("source"))), "mixing-sizes")
@@ -78,6 +92,21 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(state, written(mixing.copies(sizes, state), "mixing-copies"))
 
 
+def p9_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per (mix, source): the share wanted, and whether lambda was found and no document is taken too often or from elsewhere.
+
+    ``close``: the tokens reached are within a hundredth of the target and twice the longest document, or
+    all documents were taken as often as allowed and still fall short.
+    """
+    sizes, state = _balanced(spark, sf_dir)
+    reached = mixing.shares(state, written(mixing.copies(sizes, state), "mixing-copies"))
+    caps = state.select("mix_id", "source", "cap")
+    longest = sizes.agg(F.coalesce(F.max("n_tokens"), F.lit(0)).alias("longest")).first()["longest"]
+    full = ~F.col("reachable") & (F.col("tokens") == F.col("available") * F.col("cap"))
+    close = full | (F.abs(F.col("tokens") - F.col("target")) <= F.col("target") / 100 + 2 * longest)
+    return reached.join(caps, ["mix_id", "source"]).select("mix_id", "source", F.round("share", 9).alias("share"), "converged", (F.col("most_copies") <= F.col("cap")).alias("within_repeats"), close.alias("close"))
+
+
 def p9_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many copies of each document a mix takes."""
     sizes, state = _balanced(spark, sf_dir)
@@ -94,7 +123,20 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.pieces(table(spark, sf_dir, "documents"), "doc_id", "text", _limits(spark, sf_dir, "piece"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_runs, p8_found, p8_items, p8_containers, p9_found, p9_shares, p9_copies, p10_found, p10_pieces)}
+def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document and limit: the characters in its pieces, whether these leave no gap, and whether each keeps the limit.
+
+    The first character of a piece that is not overlap is where the piece before it ends.
+    """
+    found = written(p10_pieces(spark, sf_dir), "pieces")
+    end = F.col("first_char") + F.col("n_chars")
+    w = Window.partitionBy("max_tokens", "doc_id").orderBy("piece_no")
+    joined = F.when(F.col("piece_no") == 0, F.col("first_char") == 0).otherwise((F.col("first_char") <= F.lag(end).over(w)) & (end > F.lag(end).over(w)) & ((F.col("n_overlap") > 0) | (F.col("first_char") == F.lag(end).over(w))))
+    checked = found.select("max_tokens", "doc_id", end.alias("end"), joined.alias("gapless"), (F.col("n_tokens") <= F.col("max_tokens")).alias("fits"), (F.length("text") == F.col("n_chars")).alias("whole"))
+    return checked.groupBy("max_tokens", "doc_id").agg(F.max("end").cast("bigint").alias("n_chars"), F.bool_and(F.col("gapless") & F.col("whole")).alias("gapless"), F.bool_and("fits").alias("fits"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_runs, p8_found, p8_items, p8_containers, p8_coverage, p9_found, p9_shares, p9_copies, p9_balance, p10_found, p10_pieces, p10_coverage)}
 
 _RUNS = f"""
 WITH r AS (SELECT journal_id, file_id, usn, max(ticks) AS ticks, max(reason) & ~{CLOSE}::BIGINT AS reason FROM usn_record GROUP BY journal_id, file_id, usn),
@@ -103,5 +145,18 @@ g AS (SELECT *, sum(begins) OVER (PARTITION BY journal_id, file_id ORDER BY usn
 SELECT journal_id, file_id, min(usn) AS first_usn, max(usn) AS last_usn, count(*) AS n_events, arg_max(ticks, usn) - arg_min(ticks, usn) AS duration, max(reason) AS reason FROM g GROUP BY journal_id, file_id, g HAVING count(*) >= {LEAST}
 """
 
-#: The others count tokens, which SQL cannot; they are tested against plain Python.
-SQL: dict[str, str] = {"p3_runs": _RUNS, "p3_found": f"SELECT journal_id, file_id, first_usn, last_usn FROM ({_RUNS})"}
+_PLAIN = "lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g'))"
+
+
+def _covered(purpose: str) -> str:
+    return f"SELECT max_tokens, doc_id, length(coalesce(text, '')) AS n_chars, true AS gapless, true AS fits FROM documents, (SELECT DISTINCT max_tokens FROM token_limit WHERE purpose = '{purpose}')"
+
+
+#: SQL cannot count tokens.  It states what must hold of the results that are counted here; the rest is tested against plain Python.
+SQL: dict[str, str] = {
+    "p3_runs": _RUNS,
+    "p3_found": f"SELECT journal_id, file_id, first_usn, last_usn FROM ({_RUNS})",
+    "p8_coverage": _covered("container"),
+    "p9_balance": f"SELECT mix_id, source, round(sum(weight) / sum(sum(weight)) OVER (PARTITION BY mix_id), 9) AS share, true AS converged, true AS within_repeats, true AS close FROM (SELECT mix_id, {_PLAIN} AS source, weight FROM mix_target WHERE weight IS NOT NULL) GROUP BY mix_id, source",
+    "p10_coverage": _covered("piece"),
+}

@@ -39,45 +39,49 @@ def test_token_counts(spark, coder):
     assert got == {i: len(coder.encode(t or "")) for i, t in enumerate(texts())}
 
 
-@pytest.mark.parametrize(("limit", "overlap"), [(50, 5), (320, 32), (1, 0), (7, 100), (64, 0)])
+@pytest.mark.parametrize(("limit", "overlap"), [(50, 5), (320, 32), (1, 0), (7, 6), (64, 0)])
 def test_pieces(coder, limit, overlap):
     for t in texts():
         whole = Text(t or "", coder)
         found = splitting.bisect(whole, limit, overlap)
         if whole.n <= limit:
-            assert found == [(0, 0, whole.n)]
+            assert found == [(0, 0, whole.n, whole.n)]
             continue
         assert found[0][:2] == (0, 0) and found[-1][2] == whole.n and len(found) > 1
-        for (_, _, end), (lead, a, b) in zip(found, found[1:]):
+        for (_, _, end, _), (lead, a, b, _) in zip(found, found[1:]):
             assert a == end < b
-            assert lead <= max(0, a - min(overlap, limit - 1)) <= lead + 3  # moved back to the start of a character at most
-        for lead, a, b in found:
+            assert lead <= max(0, a - overlap) <= lead + 3  # moved back to the start of a character at most
+        for lead, a, b, size in found:
             own = coder.encode(whole.piece(lead, b))
+            assert size == len(own)
             one_character = not any(whole.strength[i] >= 0 for i in range(a + 1, b))
-            assert (b - lead <= limit and len(own) <= limit) or one_character
-        assert "".join(whole.piece(a, b) for _, a, b in found) == (t or "")
+            assert len(own) <= limit or one_character
+        assert "".join(whole.piece(a, b) for _, a, b, _ in found) == (t or "")
 
 
 def test_cuts_fall_at_pauses(coder):
     paragraphs = "\n\n".join("word " * 39 + "end." for _ in range(8))
     whole = Text(paragraphs, coder)
-    for _, a, _ in splitting.bisect(whole, 100, 0)[1:]:
+    for _, a, _, _ in splitting.bisect(whole, 100, 0)[1:]:
         assert whole.strength[a] == 5 and whole.piece(0, a).endswith("\n\n")
     sentences = Text("One two three four five six. " * 100, coder)
-    assert all(sentences.strength[a] == 3 for _, a, _ in splitting.bisect(sentences, 64, 0)[1:])
+    assert all(sentences.strength[a] == 3 for _, a, _, _ in splitting.bisect(sentences, 64, 0)[1:])
 
 
-def test_piece_table(spark):
+def test_piece_table(spark, coder):
     got = splitting.pieces(documents(spark), "doc_id", "text", [(320, 32), (50, 5)])
     assert got.columns == ["max_tokens", "doc_id", "piece_no", "n_pieces", "first_token", "n_tokens", "n_overlap", "first_char", "n_chars", "text"]
     known = texts()
     by = defaultdict(list)
     for r in got.collect():
         text = known[r["doc_id"]] or ""
-        assert r["text"] == text[r["first_char"] : r["first_char"] + r["n_chars"]]
+        assert r["text"] == text[r["first_char"] : r["first_char"] + r["n_chars"]] and r["n_tokens"] == len(coder.encode(r["text"])) <= r["max_tokens"]
         by[r["max_tokens"], r["doc_id"]].append(r["piece_no"])
     assert len(by) == 2 * len(known) and all(sorted(x) == list(range(len(x))) for x in by.values())
     assert splitting.pieces(documents(spark).limit(0), "doc_id", "text", [(320, 32)]).count() == 0
+    for wrong in ((50, 50), (7, 100), (7, -1)):
+        with pytest.raises(ValueError, match="overlap"):
+            splitting.pieces(documents(spark), "doc_id", "text", [(320, 32), wrong])
 
 
 @pytest.mark.parametrize("windows", [1, 8, 64])
@@ -95,7 +99,7 @@ def test_packing(spark, coder, windows):
         text, found = known[doc] or "", sorted(found, key=lambda r: r["part_no"])
         n = len(coder.encode(text))
         assert (len(found) > 1) == (n > capacity) and all(r["n_parts"] == len(found) for r in found)
-        assert sum(r["n_tokens"] for r in found) == n
+        assert all(r["n_tokens"] == len(coder.encode(text[r["first_char"] : r["first_char"] + r["n_chars"]])) for r in found)
         assert "".join(text[r["first_char"] : r["first_char"] + r["n_chars"]] for r in found) == text
         assert all(len(coder.encode(text[r["first_char"] : r["first_char"] + r["n_chars"]])) <= capacity for r in found)
     for capacity in capacities:
@@ -107,6 +111,37 @@ def test_packing_nothing(spark):
     assert packing.pack(documents(spark).limit(0), "doc_id", "text", [64]).count() == 0
 
 
+def test_merging_is_bounded(spark, monkeypatch):
+    """Windows that fit nowhere go through ever fewer groups; a group never gets more than those of its tasks and leaves few open."""
+    tasks, windows, capacity = 40, 4, 100
+    sizes, plain = [], packing._merger(windows)
+
+    def watched(w):
+        def merge(key, left):
+            assert left.num_rows <= packing.MERGE_BY * windows
+            return plain(key, left)
+
+        return merge
+
+    monkeypatch.setattr(packing, "_merger", watched)
+    monkeypatch.setattr(packing, "MERGE_BY", 4)
+    for size in (80, 30):
+        left = [(capacity, (t << 40) + w, size) for t in range(tasks) for w in range(windows)]
+        moved = packing.merge_open(spark.createDataFrame(left, "max_tokens int, container_id bigint, n_tokens int"), windows).collect()
+        assert len(moved) == len({r["container_id"] for r in moved}) == tasks * windows
+        used = defaultdict(int)
+        for r in moved:
+            used[r["into_id"]] += size
+        assert max(used.values()) <= capacity and set(used) <= {i for _, i, _ in left}
+        sizes.append(len(used))
+    assert sizes[0] == 160 and sizes[1] <= 160 * 30 / 90 * 1.2
+
+
+def test_a_character_larger_than_the_container(spark):
+    got = packing.pack(spark.createDataFrame([(1, "\U00012345\U00012345")], "doc_id bigint, text string"), "doc_id", "text", [2]).collect()
+    assert [r["n_chars"] for r in got] == [1, 1] and len({r["container_id"] for r in got}) == 2
+
+
 def test_windows_place_best_fit():
     w = packing.Windows(10, 2)
     assert [w.place(s) for s in (6, 7, 3, 4)] == [0, 1, 1, 0] and w.full == [1, 0]
@@ -140,6 +175,7 @@ def test_mixing(spark):
     for k, (share, cap) in wanted.items():
         r = got[k]
         reachable = have[k[1]] * cap >= share * whole
+        assert r["converged"]
         assert r["reachable"] == reachable and abs(r["share"] - share) < 1e-12
         if reachable:
             assert abs(r["tokens"] - share * whole) <= max(2000, 0.02 * share * whole), (k, r)

@@ -6,15 +6,23 @@ All functions take the table that the record source or ``decode_records`` gives;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.errors import SiltstoneError
 from siltstone.functions import layout
-from siltstone.functions.arrow_types import arrow_type
 from siltstone.functions.columns import filetime_to_timestamp, flag, in_use, is_directory, unix_ticks, unsigned
 from siltstone.functions.references import make_reference, record_number
+from siltstone.operators import forest
 from siltstone.session import written
-from siltstone.sources.records import data_runs as decode_runs
+from siltstone.sources.records import run_lists
+from siltstone.sources.storage import open_file
+from siltstone.sources.volume import geometry, read_content, read_exactly
 
 KEY = ["image", "record_number"]
 MAX_DEPTH = 1024
@@ -56,6 +64,38 @@ def read_data(records: DataFrame) -> DataFrame:
     return records.where("is_valid").select(*KEY, F.when(~first["non_resident"], first["value"]).alias("data"))
 
 
+def read_contents(records: DataFrame) -> DataFrame:
+    """(image, record_number, data, error): the whole value of the first data attribute, read from the image by the tasks.
+
+    ``image`` is the path of the image, as the record source gives it.  Runs are joined, holes are zeros
+    and the end is cut to the size.  ``error`` says why there are no data; a value too large to hold in
+    memory is such an error.
+    """
+    first = first_attribute(layout.DATA)
+    found = records.where("is_valid").select(*KEY, first.alias("a")).where("a IS NOT NULL")
+    plain = found.select(*KEY, *[F.col(f"a.{c}").alias(c) for c in ("non_resident", "value", "data_size", "runs")])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, file, cluster = None, None, 0
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 64):  # contents are large, so few at a time
+                part = batch.slice(begin, 64)
+                data, errors = [], []
+                for row in part.to_pylist():
+                    if row["image"] != path:
+                        path, file = row["image"], open_file(row["image"])
+                        cluster = geometry(path, read_exactly(file, 0, layout.BOOT_SECTOR.itemsize)).cluster_size
+                    try:
+                        data.append(read_content(file, row, cluster))
+                        errors.append(None)
+                    except SiltstoneError as e:
+                        data.append(None)
+                        errors.append(str(e))
+                yield pa.RecordBatch.from_arrays([part["image"], part["record_number"], pa.array(data, pa.binary()), pa.array(errors, pa.string())], [*KEY, "data", "error"])
+
+    return plain.mapInArrow(read, "image string, record_number bigint, data binary, error string")
+
+
 def data_runs(records: DataFrame, cluster_size: Column, kind: int = layout.DATA) -> DataFrame:
     """(image, record_number, data_size, error, runs) of the first attribute of a type.
 
@@ -66,19 +106,10 @@ def data_runs(records: DataFrame, cluster_size: Column, kind: int = layout.DATA)
     found = records.where("is_valid").select(*KEY, cluster_size.cast("bigint").alias("cluster_size"), first.alias("a")).where("a IS NOT NULL")
     plain = found.select(*KEY, "cluster_size", F.col("a.non_resident").alias("non_resident"), F.col("a.data_size").alias("data_size"), F.col("a.runs").alias("runs"))
 
-    def decode(batches):
-        import pyarrow as pa
-
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            errors, out = [], []
-            for cluster, outside, size, runs in zip(*(batch[c].to_pylist() for c in ("cluster_size", "non_resident", "data_size", "runs"))):
-                if not outside or size is None:
-                    error, found = "attribute is resident", None
-                else:
-                    error, found = decode_runs(runs, cluster, size & (1 << 64) - 1)
-                errors.append(error)
-                out.append(None if error else [{"kind": k, "lcn": at, "length": n} for k, at, n in found])
-            yield pa.RecordBatch.from_arrays([batch["image"], batch["record_number"], batch["data_size"], pa.array(errors, pa.string()), pa.array(out, arrow_type(runs_type))], [*KEY, "data_size", "error", "runs"])
+            errors, runs = run_lists(batch["runs"], np.asarray(batch["cluster_size"]), batch["data_size"], batch["non_resident"])
+            yield pa.RecordBatch.from_arrays([batch["image"], batch["record_number"], batch["data_size"], errors, runs], [*KEY, "data_size", "error", "runs"])
 
     return plain.mapInArrow(decode, f"image string, record_number bigint, data_size bigint, error string, runs {runs_type}")
 
@@ -153,31 +184,98 @@ def _names_with_lists(names: DataFrame) -> DataFrame:
     return ordered.select(*KEY, F.aggregate("c", start, fold, lambda a: a["name"]).alias("name"))
 
 
+#: An image of at most LOCAL directories is walked by one task, unless its paths have more than MOST_TEXT characters.
+LOCAL, MOST_TEXT = 1 << 18, 1 << 28
+#: So many directories on circles or too long chains, with their ancestors, are expanded by the task of their image.
+MOST_LONG = 1 << 12
+_WALKED = "image string, record_number bigint, path string, next bigint, ok boolean, open boolean"
+
+
+def _walker(most: int, rounds: int, most_text: int, most_long: int):
+    """The paths of the directories of one image, (image, record_number, path, next, ok) -> the same and whether a row is still open."""
+
+    def walk(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("record_number")
+        node = np.asarray(rows["record_number"].combine_chunks())
+        ok = np.asarray(rows["ok"].combine_chunks())
+        going = ok & (node != layout.ROOT_RECORD)
+        following = np.asarray(rows["next"].combine_chunks().fill_null(-1))
+        up = forest.parent_index(node, following, going)
+        depth = forest.depths(up)
+        by_level = forest.levels(depth)
+        size = np.asarray(pc.fill_null(pc.utf8_length(rows["path"]), 0).combine_chunks()).astype(np.int64)
+        given = np.empty(len(node), object)
+        given[:] = rows["path"].to_pylist()
+        paths, still, came = given, going.copy(), ok
+        root = forest.roots(up, by_level)
+        if forest.down(up, by_level, size)[depth >= 0].sum() <= most_text:
+            arrives = node[root] == layout.ROOT_RECORD
+            good = arrives & (depth >= 0) & (depth <= most)
+            bad = ~arrives & (depth >= 0) & (depth < most)
+            own = np.where(ok, given, "")
+            long = np.flatnonzero(going & ~(good | bad))
+            seen, reach = np.zeros(len(node), bool), long  # with all that can be among their nearest ancestors
+            for _ in range(most):
+                reach = np.unique(reach[~seen[reach]])
+                seen[reach] = True
+                reach = up[reach][up[reach] >= 0]
+                if not len(reach) or seen.sum() > most_long:
+                    break
+            # An image with more of them is left as it came: a round must not meet paths that are ahead of it.
+            if seen.sum() <= most_long:
+                paths = np.where(good, forest.down(up, by_level[: most + 1], own), np.where(bad, None, given))
+                came, still = ok & ~bad, np.zeros(len(node), bool)
+                those = np.flatnonzero(seen)
+                at = np.full(len(node) + 1, -1)  # the last entry stands for no ancestor
+                at[those] = np.arange(len(those))
+                jump, text = at[up[those]], own[those]
+                for _ in range(rounds):
+                    further = jump >= 0
+                    text[further], jump[further] = text[jump[further]] + text[further], jump[jump[further]]
+                paths[long] = text[at[long]]
+        arrays = [rows["image"].combine_chunks(), pa.array(node), pa.array(paths.tolist(), pa.string()), pa.array(np.where(still, following, layout.ROOT_RECORD)), pa.array(came), pa.array(still)]
+        return pa.Table.from_arrays(arrays, ["image", "record_number", "path", "next", "ok", "open"])
+
+    return walk
+
+
 def directory_paths(names: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(image, record_number, path, ok) of every record that some name has as its parent.
 
-    ``path`` has a leading backslash per component and is '' for the root.  Pointer doubling: after k
-    rounds a row covers 2 ** k ancestors, so ten rounds are exactly the 1024 that a path may have;
-    a longer chain or a circle keeps its nearest 1024.  ``ok`` is false where an ancestor is missing.
-    Each round is written, and the loop ends as soon as all chains have reached the root.
+    ``path`` has a leading backslash per component and is '' for the root.  A path has the nearest 1024
+    components; a longer chain or a circle keeps those.  ``ok`` is false where an ancestor is missing.
+
+    Each image is walked by one task.  What is too large for that is resolved by pointer doubling: after
+    k rounds a row covers 2 ** k ancestors, so ten rounds are exactly 1024.  A round writes the rows it
+    finishes and those still open, and only the open ones go on.
     """
     parent = record_number(F.col("name.parent_reference"))
     wanted = names.select("image", parent.alias("record_number")).distinct()
     root = F.col("record_number") == layout.ROOT_RECORD
     own = F.concat(F.lit("\\"), F.col("name.name"))
-    state = wanted.join(names, KEY, "left").select(*KEY, F.when(root, "").otherwise(own).alias("path"), F.when(root, F.lit(layout.ROOT_RECORD)).otherwise(parent).alias("next"), (root | F.col("name").isNotNull()).alias("ok"))
-    state = written(state, "paths")
-    open_rows = F.col("ok") & (F.col("next") != layout.ROOT_RECORD)
-    for _ in range(rounds):
-        if state.where(open_rows).isEmpty():
-            break
-        up = state.select("image", F.col("record_number").alias("next"), F.col("path").alias("up_path"), F.col("next").alias("up_next"), F.col("ok").alias("up_ok"))
-        # Rows that are done are kept out of the join.
-        moved = state.where(open_rows).join(up, ["image", "next"], "left")
+    begun = wanted.join(names, KEY, "left").select(*KEY, F.when(root, "").otherwise(own).alias("path"), F.when(root, F.lit(layout.ROOT_RECORD)).otherwise(parent).cast("bigint").alias("next"), (root | F.col("name").isNotNull()).alias("ok"))
+    begun = written(begun, "paths")
+    large = begun.groupBy("image").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LOCAL).select("image")
+    state = begun.join(large, "image", "left_anti").groupBy("image").applyInArrow(_walker(1 << rounds, rounds, MOST_TEXT, MOST_LONG), _WALKED)
+    untouched = F.col("ok") & (F.col("next") != layout.ROOT_RECORD)
+    state = state.unionByName(begun.join(large, "image", "left_semi").withColumn("open", F.coalesce(untouched, F.lit(False))))
+    tables = [written(state.withColumn("round", F.lit(0)), "paths")]
+    while len(tables) <= rounds and not tables[-1].where("open").isEmpty():
+        known = tables[0]
+        for t in tables[1:]:
+            known = known.unionByName(t)
+        known = known.where(~F.col("open") | (F.col("round") == len(tables) - 1))
+        up = known.select("image", F.col("record_number").alias("next"), F.col("path").alias("up_path"), F.col("next").alias("up_next"), F.col("ok").alias("up_ok"))
+        moved = tables[-1].where("open").join(up, ["image", "next"], "left")
         good = F.coalesce("up_ok", F.lit(False))
-        moved = moved.select(*KEY, F.when(good, F.concat("up_path", "path")).otherwise(F.col("path")).alias("path"), F.coalesce("up_next", "next").alias("next"), good.alias("ok"))
-        state = written(moved.unionByName(state.where(~F.coalesce(open_rows, F.lit(False)))), "paths")
-    return state.select(*KEY, F.when(F.coalesce("ok", F.lit(False)), F.col("path")).alias("path"), F.coalesce("ok", F.lit(False)).alias("ok"))
+        further = good & F.col("up_next").isNotNull() & (F.col("up_next") != layout.ROOT_RECORD)
+        last = len(tables) == rounds
+        moved = moved.select(*KEY, F.when(good, F.concat("up_path", "path")).alias("path"), F.coalesce("up_next", "next").alias("next"), good.alias("ok"), (F.coalesce(further, F.lit(False)) & F.lit(not last)).alias("open"), F.lit(len(tables)).alias("round"))
+        tables.append(written(moved, "paths"))
+    done = tables[0]
+    for t in tables[1:]:
+        done = done.unionByName(t)
+    return done.where("NOT open").select(*KEY, F.when(F.coalesce("ok", F.lit(False)), F.col("path")).alias("path"), F.coalesce("ok", F.lit(False)).alias("ok"))
 
 
 def full_paths(records: DataFrame, volume: Column | None = None) -> DataFrame:

@@ -21,15 +21,13 @@ while ``endless`` follows all of them.  Extra columns are ignored.  Empty tables
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators import forest
+from siltstone.operators.prefix import before
 from siltstone.session import written
 
 LOCAL = 1 << 18
@@ -39,49 +37,6 @@ RADIX_BITS = 4
 RANGES = "tree bigint, node bigint, parent bigint, size bigint, lft bigint, depth bigint, root bigint, path string"
 
 
-def sibling_sums(df: DataFrame, group: list[str], order: str, value: str, out: str, label: str) -> DataFrame:
-    """Exclusive prefix sum of ``value`` by ``order`` within the group, as a written table with the column ``out``.
-
-    All columns of ``group`` and ``order`` are integers; the order is unique within a group, nulls are
-    a group of their own.  Rows are range-partitioned and summed in one pass; a group that spreads over
-    several partitions gets the sums of those before added, one row per group and partition.
-    """
-    ranged = df.repartitionByRange(*group, order).sortWithinPartitions(*group, order)
-    names = [*df.columns, "local_sum", "chunk"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, total = TaskContext.get().partitionId(), None, 0
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            keys = [(np.asarray(batch[c].is_null()), np.asarray(batch[c].fill_null(0)).astype(np.int64)) for c in group]
-            new = np.zeros(n, bool)
-            for null, key in keys:
-                new[1:] |= (null[1:] != null[:-1]) | (key[1:] != key[:-1])
-            first = [(bool(null[0]), int(key[0])) for null, key in keys]
-            values = np.asarray(batch[value]).astype(np.int64)
-            sums = np.cumsum(values) - values
-            new[0] = True
-            start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-            local = sums - sums[start]
-            if first == last:
-                local[start == 0] += total
-            last, total = [(bool(null[-1]), int(key[-1])) for null, key in keys], int(local[-1] + values[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(local), pa.array(np.full(n, part, np.int32))], names)
-
-    local = written(ranged.mapInArrow(scan, f"{kinds}, local_sum bigint, chunk int"), label)
-    totals = local.groupBy(*group, "chunk").agg(F.max(F.col("local_sum") + F.col(value)).alias("chunk_sum"))
-    w = Window.partitionBy(*group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)], F.col("chunk").alias("g_chunk"), F.sum("chunk_sum").over(w).alias("chunk_start")).where("chunk_start > 0")
-    same = F.col("chunk") == F.col("g_chunk")
-    for i, c in enumerate(group):
-        same &= F.col(c).eqNullSafe(F.col(f"g{i}"))
-    joined = local.join(before, same, "left")
-    return joined.select(*df.columns, (F.col("local_sum") + F.coalesce("chunk_start", F.lit(0).cast("bigint"))).alias(out))
-
-
 def _local(with_path: bool):
     """Nested sets of one tree: (tree, node, parent, name, own) -> RANGES."""
 
@@ -155,7 +110,7 @@ def _swept(start: DataFrame) -> DataFrame:
     """Nested sets of large trees, swept by all tasks: (tree, node, parent, name, own) -> RANGES."""
     start = written(start, "tree-large")
     sized = start.join(_sweep_up(start), ["tree", "node"])
-    placed = sibling_sums(sized, ["tree", "parent"], "node", "size", "before", "tree-siblings")
+    placed = before(sized, ["tree", "parent"], "node", "size", "before", "tree-siblings")
     placed = written(placed, "tree-placed")
     step = F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint")
     begun = placed.select("tree", "node", F.col("parent").alias("jump"), (F.col("before") + step).alias("lft"), step.alias("depth"), F.col("node").alias("root"), F.col("name").alias("path"))
@@ -207,7 +162,7 @@ def nested_sets(links: DataFrame, tree: str, node: str, parent: str, name: Colum
     inside = inner.select("tree", F.col("node").alias("parent"), F.lit(1).alias("there"))
     leaf = plain.join(inner.select("tree", "node"), ["tree", "node"], "left_anti").join(inside, ["tree", "parent"], "left")
     leaf = leaf.select("tree", "node", F.when(F.col("there") == 1, F.col("parent")).alias("at"), "parent", "name", F.lit(1).cast("bigint").alias("size"))
-    ranked = sibling_sums(leaf, ["tree", "at"], "node", "size", "rank", "tree-leaves")
+    ranked = before(leaf, ["tree", "at"], "node", "size", "rank", "tree-leaves")
     counts = ranked.where("at IS NOT NULL").groupBy("tree", F.col("at").alias("node")).agg(F.max("rank").alias("top"))
     started = inner.join(counts, ["tree", "node"], "left").select("tree", "node", "parent", "name", (F.coalesce(F.col("top") + 1, F.lit(0)) + 1).cast("bigint").alias("own"))
     ranges = _ranges(started, name is not None)

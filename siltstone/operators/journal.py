@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.columns import has_reason, join_path
 from siltstone.functions.layout import REASON
+from siltstone.operators.skew import hot_keys, spread_join
 
 #: Records with one of these are remembered as history, renames or not.
 HISTORY = REASON["RENAME_OLD_NAME"] | REASON["HARD_LINK_CHANGE"] | REASON["REPARSE_POINT_CHANGE"]
@@ -29,15 +30,17 @@ def with_paths(records: DataFrame, paths: DataFrame) -> DataFrame:
     """Add ``path``: that of the parent and the name, else that of the file, else the bare name.
 
     ``paths`` has (journal, reference, path) as of a snapshot, one row per reference; an empty path
-    counts as none.  Paths are joined by key, so that they may be larger than memory.
+    counts as none.  Paths are joined by key, so that they may be larger than memory; a directory or
+    file with a large part of all records is spread over many tasks, for which the records are
+    counted by key first.
     """
-    known = paths.where("path <> ''").select(F.col("journal").alias("k"), F.col("reference").alias("r"), F.col("path").alias("p"))
-    own, parent = known.select("k", "r", F.col("p").alias("own_path")), known.select("k", "r", F.col("p").alias("parent_path"))
-    keyed = records.withColumn("own_ref", reference_of(F.col("file_id"))).withColumn("parent_ref", reference_of(F.col("parent_id")))
-    found = keyed.join(parent, (F.col("journal") == parent["k"]) & (F.col("parent_ref") == parent["r"]), "left").drop("k", "r")
-    found = found.join(own, (F.col("journal") == own["k"]) & (F.col("own_ref") == own["r"]), "left").drop("k", "r")
+    known = paths.where("path <> ''").select("journal", F.col("reference").alias("r"), F.col("path").alias("p"))
+    found = records.withColumn("own_ref", reference_of(F.col("file_id"))).withColumn("parent_ref", reference_of(F.col("parent_id")))
+    for key, column in (("parent_ref", "parent_path"), ("own_ref", "own_path")):
+        hot = hot_keys(records.select("journal", reference_of(F.col("parent_id" if key == "parent_ref" else "file_id")).alias(key)), ["journal", key])
+        found = spread_join(found, known.select("journal", F.col("r").alias(key), F.col("p").alias(column)), ["journal", key], "left", F.col("usn"), hot)
     path = F.coalesce(F.when(F.col("parent_path").isNotNull(), join_path(F.col("parent_path"), F.col("name"))), F.col("own_path"), F.col("name"))
-    return found.withColumn("path", path).drop("own_ref", "parent_ref", "own_path", "parent_path")
+    return found.withColumn("path", path).select(*records.columns, "path")
 
 
 def match_renames(records: DataFrame, trim: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.references import RECORD_MASK, make_reference, record_number
-from siltstone.operators import capture, changes, dedup_index, hierarchy, references, snapshots
+from siltstone.operators import capture, changes, dedup_index, hierarchy, references, skew, snapshots
 from siltstone.session import buckets_for, scratch_path, shuffle_partitions
 
 FILE_DELETE = 0x200
@@ -221,18 +221,16 @@ def _month_of_time(at: F.Column) -> F.Column:
     return F.year(at) * 12 + F.month(at) - 1
 
 
-def _references(spark: SparkSession, sf_dir: str, periods: bool) -> DataFrame:
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(groups, period, volume_id, reference, owner_id, row_key, attr_id) of both referring tables."""
     usn = table(spark, sf_dir, "usn_record").select(
-        F.lit(0).alias("groups"), (_month_of_ticks(F.col("ticks")) if periods else F.lit(None).cast("int")).alias("period"), "volume_id",
+        F.lit(0).alias("groups"), _month_of_ticks(F.col("ticks")).alias("period"), "volume_id",
         F.col("parent_id").alias("reference"), F.col("journal_id").alias("owner_id"), F.col("usn").alias("row_key"), F.lit(0).alias("attr_id"),
     )
     names = table(spark, sf_dir, "file_name")
-    if periods:
-        owner = table(spark, sf_dir, "mft_record").groupBy("volume_id", "record_number").agg(F.max("captured_at").alias("at"))
-        names = names.join(owner, ["volume_id", "record_number"], "left")
-    names = names.select(
-        F.lit(1).alias("groups"), (_month_of_time(F.col("at")) if periods else F.lit(None).cast("int")).alias("period"), "volume_id",
+    owner = table(spark, sf_dir, "mft_record").groupBy("volume_id", "record_number").agg(F.max("captured_at").alias("at"))
+    names = names.join(owner, ["volume_id", "record_number"], "left").select(
+        F.lit(1).alias("groups"), _month_of_time(F.col("at")).alias("period"), "volume_id",
         F.col("parent_reference").alias("reference"), F.col("volume_id").cast("bigint").alias("owner_id"), F.col("record_number").alias("row_key"), "attr_id",
     )
     return usn.unionByName(names)
@@ -244,12 +242,13 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _orphan_rows(spark: SparkSession, sf_dir: str, periods: bool) -> DataFrame:
-    refs = _references(spark, sf_dir, periods)
+def _orphan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = _references(spark, sf_dir)
     rows = table(spark, sf_dir, "usn_record").count() + table(spark, sf_dir, "file_name").count()
     lost = references.orphan_keys(refs, _records(spark, sf_dir), ["volume_id", "reference"], "groups", "period", buckets_for(rows, references.PER_BUCKET, shuffle_partitions(spark)))
-    keys = lost.select("groups", "volume_id", "reference").distinct()
-    return refs.join(keys.withColumn("volume_id", F.col("volume_id").cast("int")), ["groups", "volume_id", "reference"], "left_semi")
+    key = ["groups", "volume_id", "reference"]
+    keys = lost.select(*key).distinct().withColumn("volume_id", F.col("volume_id").cast("int"))
+    return skew.spread_join(refs, keys, key, "left_semi", F.col("row_key"), skew.hot_keys(refs, key))
 
 
 def _table_name(column: str) -> F.Column:
@@ -257,12 +256,12 @@ def _table_name(column: str) -> F.Column:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orphan_rows(spark, sf_dir, False).select(_table_name("groups"), "owner_id", "row_key", "attr_id").distinct()
+    return _orphan_rows(spark, sf_dir).select(_table_name("groups"), "owner_id", "row_key", "attr_id").distinct()
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphan references per table and month; ``period`` is 'YYYY-MM', or null where the owner has no time."""
-    rows = _orphan_rows(spark, sf_dir, True).select("groups", "period", "owner_id", "row_key", "attr_id").distinct()
+    rows = _orphan_rows(spark, sf_dir).select("groups", "period", "owner_id", "row_key", "attr_id").distinct()
     counts = references.orphans_by_period(rows, "groups", "period")
     month = F.concat(F.lpad(F.floor(F.col("period") / 12).cast("string"), 4, "0"), F.lit("-"), F.lpad((F.col("period") % 12 + 1).cast("string"), 2, "0"))
     return counts.select(_table_name("groups"), month.alias("period"), "n_orphans")

@@ -1,10 +1,13 @@
-"""Binary records made from the test tables, so that the queries decode what a volume would hold.
+"""Binary records, volume images and journal captures made from the test tables, for the sources to read.
 
-Only the queries and the tests use this module.
+Only the queries and the tests use this module.  Images and captures are written once for an application
+and a folder of tables, below the shared folder, by all tasks: each writes its records to their place
+in a file that is as long as the image already.  That takes a shared folder that can be mounted.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
@@ -15,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import layout
-from siltstone.session import shuffle_partitions
+from siltstone.operators.prefix import before
+from siltstone.session import shared_dir, shuffle_partitions
 
 MASK64 = (1 << 64) - 1
 
@@ -107,11 +111,32 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark)))
 
 
-def mft_images(spark, sf_dir: str) -> DataFrame:
-    """(image, record_number, raw, allocated): the records of all volumes with their names.
+#: Records of a page: what one group of tasks writes.  Pages without records are holes in the table.
+PAGE = 8192
+BITMAP_AT, TABLE_AT = 1 << 20, 16 << 20
 
-    A missing time becomes 0, a missing parent a record that does not exist, a missing name ''.  A
-    record with names has a data stream of the largest size that they give.
+
+def input_folder(spark, sf_dir: str, kind: str) -> str:
+    """The folder of the binary input made from the tables in ``sf_dir``, as a local path."""
+    base = shared_dir(spark)
+    if "://" in base and not base.startswith("file://"):
+        raise ValueError(f"binary test input needs a shared folder with a path, not {base}")
+    return f"{base.removeprefix('file://')}/siltstone-input/{spark.sparkContext.applicationId}/{sf_dir.strip('/').replace('/', '-')}/{kind}"
+
+
+def _once(folder: str, make) -> str:
+    """Make the files of a folder unless that was done before."""
+    if not os.path.exists(f"{folder}/done"):
+        os.makedirs(folder, exist_ok=True)
+        make()
+        open(f"{folder}/done", "w").close()
+    return folder
+
+
+def _named_records(spark, sf_dir: str) -> DataFrame:
+    """The records of all volumes with their names.
+
+    A missing time becomes 0, a missing parent a record that does not exist, a missing name ''.
     """
 
     def table(name: str) -> DataFrame:
@@ -126,26 +151,171 @@ def mft_images(spark, sf_dir: str) -> DataFrame:
     names = table("file_name").select(*columns).distinct()
     own = system.select("volume_id", "record_number", F.lit(0).alias("attr_id"), F.col("parent_reference").alias("parent"), "namespace", F.lit(6).cast("bigint").alias("attributes"), F.lit(0).cast("bigint").alias("size"), "name")
     listed = names.unionByName(own).groupBy("volume_id", "record_number").agg(F.array_sort(F.collect_list(F.struct("attr_id", "parent", "namespace", "attributes", "size", "name"))).alias("names"))
-    rows = normal.unionByName(fixed).join(listed, ["volume_id", "record_number"], "left")
+    return normal.unionByName(fixed).join(listed, ["volume_id", "record_number"], "left")
+
+
+def mft_image_files(spark, sf_dir: str) -> str:
+    """The folder of one image per volume, ``volume-<id>.img``.
+
+    A record with names has a data stream of the largest size that they give.  The table of a volume is
+    fragmented: pages in falling order with a gap between them, holes for the pages without records.
+    """
+    folder = input_folder(spark, sf_dir, "images")
+
+    def make() -> None:
+        rows = _named_records(spark, sf_dir).withColumn("page", F.floor(F.col("record_number") / PAGE))
+        pages: dict[int, list[int]] = {}
+        for r in rows.select("volume_id", "page").distinct().collect():  # a few pages a volume
+            pages.setdefault(r["volume_id"], []).append(r["page"])
+        volumes = {}
+        for v in spark.read.parquet(f"{sf_dir}/volumes.parquet").collect():
+            cluster = v["sector_size"] * v["sectors_per_cluster"]
+            info = v["file_record_size_info"]
+            size = info * cluster if info > 0 else 1 << -info
+            at = {page: TABLE_AT + k * (PAGE * size + cluster) // cluster * cluster for k, page in enumerate(sorted(pages.get(v["volume_id"], []), reverse=True))}
+            if 0 not in at:
+                continue
+            runs, following, where = [], 0, 0
+            for page in sorted(at):
+                if page > following:
+                    runs.append((None, (page - following) * PAGE * size // cluster))
+                runs.append((at[page] // cluster - where, PAGE * size // cluster))
+                where, following = at[page] // cluster, page + 1
+            bits = following * PAGE // 8
+            data = stream_attribute(layout.DATA, following * PAGE * size, run_list(runs))
+            bitmap = stream_attribute(layout.BITMAP, bits, run_list([(BITMAP_AT // cluster, -(-bits // cluster))]))
+            volumes[v["volume_id"]] = (size, at, data, bitmap)
+            with open(f"{folder}/volume-{v['volume_id']}.img", "wb") as file:
+                file.truncate(max(at.values()) + PAGE * size + cluster)
+                file.write(boot_sector(v["sector_size"], v["sectors_per_cluster"], v["total_sectors"], at[0] // cluster, info))
+
+        def write(key: tuple, group: pa.Table) -> pa.Table:
+            volume, page = key[0].as_py(), key[1].as_py()
+            size, at, data, bitmap = volumes[volume]
+            bits = bytearray(PAGE // 8)
+            with open(f"{folder}/volume-{volume}.img", "r+b") as file:
+                for number, allocated, raw in zip(group["record_number"].to_pylist(), group["allocated"].to_pylist(), _raws(group, size, data, bitmap)):
+                    nth = number - page * PAGE
+                    if allocated:
+                        bits[nth // 8] |= 1 << nth % 8
+                    file.seek(at[page] + nth * size)
+                    file.write(raw)
+                file.seek(BITMAP_AT + page * PAGE // 8)
+                file.write(bits)
+            return pa.table({"n": pa.array([group.num_rows], pa.int64())})
+
+        rows.groupBy("volume_id", "page").applyInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+    return _once(folder, make)
+
+
+def _raws(group: pa.Table, record_size: int, data: bytes, bitmap: bytes) -> Iterator[bytes]:
+    """The records of rows of ``_named_records``; record 0 describes the table itself."""
+    created, modified, accessed = (_ticks(group[t]) for t in ("created", "modified", "accessed"))
+    for i, (number, sequence, flags, base, named) in enumerate(zip(*(group[c].to_pylist() for c in ("record_number", "sequence", "flags", "base_reference", "names")))):
+        parts = [attribute(layout.STANDARD_INFORMATION, standard_information(created[i], modified[i], accessed[i]))]
+        for n in named or []:
+            parts.append(attribute(layout.FILE_NAME, name_value(n["parent"], n["name"], n["namespace"], n["attributes"], n["size"]), n["attr_id"]))
+        if number == 0:
+            parts += [data, bitmap]
+        elif named:
+            size = max(n["size"] for n in named)
+            parts.append(stream_attribute(layout.DATA, size, run_list([(1000 + i, -(-size // 4096))] if size else [])))
+        raw = record(sequence, flags, parts, base or 0, record_size)
+        if len(raw) > record_size:
+            raise ValueError(f"record {number} does not fit into {record_size} bytes")
+        yield raw
+
+
+def listed_name_images(spark, sf_dir: str) -> DataFrame:
+    """(image, record_number, raw, allocated): all names of a record in extension records, one in each, told by its attribute list."""
+    rows = _named_records(spark, sf_dir).where("names IS NOT NULL").select("volume_id", "record_number", "names")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            created, modified, accessed = (_ticks(batch[t]) for t in times)
-            raws = []
-            for i, (sequence, flags, base, named) in enumerate(zip(*(batch[c].to_pylist() for c in ("sequence", "flags", "base_reference", "names")))):
-                parts = [attribute(layout.STANDARD_INFORMATION, standard_information(created[i], modified[i], accessed[i]))]
-                for n in named or []:
-                    parts.append(attribute(layout.FILE_NAME, name_value(n["parent"], n["name"], n["namespace"], n["attributes"], n["size"]), n["attr_id"]))
-                if named:
-                    size = max(n["size"] for n in named)
-                    runs = run_list([(1000 + i, -(-size // 4096))] if size else [])
-                    parts.append(stream_attribute(layout.DATA, size, runs))
-                raws.append(record(sequence, flags, parts, base or 0))
-            yield pa.RecordBatch.from_arrays([batch["volume_id"].cast(pa.string()), batch["record_number"], pa.array(raws, pa.binary()), batch["allocated"]], ["image", "record_number", "raw", "allocated"])
+            images, numbers, raws = [], [], []
+            for volume, number, named in zip(*(batch[c].to_pylist() for c in ("volume_id", "record_number", "names"))):
+                others = [(1 << 40) + number * 4096 + n["attr_id"] for n in named]
+                images += [str(volume)] * (1 + len(named))
+                numbers += [number, *others]
+                raws.append(record(1, 1, [attribute(layout.ATTRIBUTE_LIST, list_value([(layout.FILE_NAME, o) for o in others]))]))
+                raws += [record(1, 1, [attribute(layout.FILE_NAME, name_value(n["parent"], n["name"], n["namespace"], n["attributes"], n["size"]), n["attr_id"])], number) for n in named]
+            yield pa.RecordBatch.from_arrays([pa.array(images, pa.string()), pa.array(numbers, pa.int64()), pa.array(raws, pa.binary()), pa.array([True] * len(raws))], ["image", "record_number", "raw", "allocated"])
 
     return _spread(rows).mapInArrow(build, "image string, record_number bigint, raw binary, allocated boolean")
 
 
+def chain_images(spark, sf_dir: str, length: int) -> DataFrame:
+    """(image, record_number, raw, allocated): for each volume a chain of directories d24, d25, ... below the root, and a circle of two."""
+    volumes = spark.read.parquet(f"{sf_dir}/volumes.parquet").select("volume_id")
+    rows = volumes.select("volume_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(length + 2).cast("bigint"))).alias("n"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, raws = [], []
+            for n in batch["n"].to_pylist():
+                number, parent, name = 23 + n, 22 + n, f"d{23 + n}"
+                if n == 0:
+                    number, parent, name = layout.ROOT_RECORD, layout.ROOT_RECORD, "."
+                elif n == 1:
+                    parent = layout.ROOT_RECORD
+                elif n > length:  # the last two name each other
+                    parent = 23 + (2 * length + 3 - n)
+                numbers.append(number)
+                raws.append(record(1, 3, [attribute(layout.FILE_NAME, name_value(parent, name, layout.POSIX))]))
+            yield pa.RecordBatch.from_arrays([batch["volume_id"].cast(pa.string()), pa.array(numbers, pa.int64()), pa.array(raws, pa.binary()), pa.array([True] * len(raws))], ["image", "record_number", "raw", "allocated"])
+
+    return rows.mapInArrow(build, "image string, record_number bigint, raw binary, allocated boolean")
+
+
+def document_image_file(spark, sf_dir: str, most_resident: int = 512) -> str:
+    """The path of an image with a record per document, ``doc_id`` beyond the fixed records: the text as its data.
+
+    Texts of up to ``most_resident`` bytes are in the record; a longer one lies in two runs, the later part
+    first, with a hole of one cluster between them where a cluster of it is zeros.
+    """
+    folder = input_folder(spark, sf_dir, "documents")
+    cluster, size = 512, 1024
+
+    def make() -> None:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+        n = (docs.agg(F.max("doc_id")).first()[0] or 0) + layout.FIRST_NORMAL_RECORD + 1
+        table = -(-n * size // cluster)
+        sized = docs.withColumn("clusters", F.when(F.length("data") > most_resident, F.ceil(F.length("data") / cluster)).otherwise(0).cast("bigint")).withColumn("all", F.lit(0))
+        placed = before(sized, ["all"], "doc_id", "clusters", "at", "document-clusters")
+        total = sized.agg(F.sum("clusters")).first()[0] or 0
+        bitmap = 8 + table
+        begin = bitmap + -(-n // 8 // cluster) + 1
+        with open(f"{folder}/documents.img", "wb") as file:
+            file.truncate((begin + total + 1) * cluster)
+            file.write(boot_sector(cluster, 1, begin + total + 1, 8, -10))
+            file.seek(8 * cluster)
+            own = [stream_attribute(layout.DATA, n * size, run_list([(8, table)])), stream_attribute(layout.BITMAP, -(-n // 8), run_list([(bitmap, -(-n // 8 // cluster) + 1)]))]
+            file.write(record(1, 1, own))
+            file.seek(bitmap * cluster)
+            file.write(b"\xff" * -(-n // 8))
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            with open(f"{folder}/documents.img", "r+b") as file:
+                for batch in batches:
+                    for doc, data, clusters, at in zip(*(batch[c].to_pylist() for c in ("doc_id", "data", "clusters", "at"))):
+                        first = clusters // 2
+                        if not clusters:
+                            part = attribute(layout.DATA, data)
+                        else:  # the second half lies before the first
+                            lcn = begin + at
+                            part = stream_attribute(layout.DATA, len(data), run_list([(lcn + clusters - first, first), (first - clusters, clusters - first)]))
+                            file.seek(lcn * cluster)
+                            file.write(data[first * cluster :].ljust((clusters - first) * cluster, b"x") + data[: first * cluster])
+                        file.seek(8 * cluster + (doc + layout.FIRST_NORMAL_RECORD) * size)
+                        file.write(record(1, 1, [part]))
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+        placed.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+    return _once(folder, make) + "/documents.img"
+
+
 def document_images(spark, sf_dir: str, most_resident: int = 512) -> DataFrame:
     """A record per document: the text as its data, resident up to ``most_resident`` bytes.
 
@@ -177,7 +347,7 @@ def usn_buffers(rows: DataFrame, per_buffer: int = 256) -> DataFrame:
 
     Buffers are filled from what a task has at hand, so their order means nothing.
     """
-    taken = rows.select(F.col("journal_id").cast("string").alias("journal"), "major", "usn", "ticks", F.coalesce("file_id", F.lit(0)).alias("file_id"), F.coalesce("parent_id", F.lit(0)).alias("parent_id"), "reason", F.coalesce("name", F.lit("")).alias("name"))
+    taken = _journal_rows(rows)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 32
@@ -199,6 +369,38 @@ def usn_buffers(rows: DataFrame, per_buffer: int = 256) -> DataFrame:
     return _spread(taken).mapInArrow(build, "journal string, seq bigint, buffer binary")
 
 
+def journal_captures(spark, sf_dir: str, per_buffer: int = 256) -> str:
+    """The pattern of the folders of all journals, with one file per read buffer, in the order of usn."""
+    folder = input_folder(spark, sf_dir, "captures")
+
+    def make() -> None:
+        rows = _journal_rows(spark.read.parquet(f"{sf_dir}/usn_record.parquet")).withColumn("one", F.lit(1).cast("bigint"))
+        ordered = rows.withColumn("place", F.struct("usn", F.monotonically_increasing_id().alias("row")))
+        numbered = before(ordered, ["journal"], "place", "one", "nth", "capture-rows").drop("place")
+
+        def write(key: tuple, group: pa.Table) -> pa.Table:
+            os.makedirs(f"{folder}/{key[0].as_py()}", exist_ok=True)
+            path = f"{folder}/{key[0].as_py()}/{key[1].as_py()}.usn"
+            with open(f"{path}.tmp", "wb") as file:
+                file.write(struct.pack("<q", max(group["usn"].to_pylist()) + 1) + b"".join(_encoded(group.sort_by("nth"))))
+            os.replace(f"{path}.tmp", path)
+            return pa.table({"n": pa.array([group.num_rows], pa.int64())})
+
+        numbered.groupBy("journal", F.floor(F.col("nth") / per_buffer).alias("seq")).applyInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+    return _once(folder, make) + "/*[0-9]"
+
+
+def _journal_rows(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("journal_id").cast("string").alias("journal"), "major", "usn", "ticks", F.coalesce("file_id", F.lit(0)).alias("file_id"), F.coalesce("parent_id", F.lit(0)).alias("parent_id"), "reason", F.coalesce("name", F.lit("")).alias("name"))
+
+
+def _encoded(group: pa.Table) -> Iterator[bytes]:
+    for major, usn, ticks, file_id, parent_id, reason, name in zip(*(group[c].to_pylist() for c in ("major", "usn", "ticks", "file_id", "parent_id", "reason", "name"))):
+        wide = b"\0" * 8 if major == 3 else b""
+        yield usn_record(major, usn, ticks, struct.pack("<q", file_id) + wide, struct.pack("<q", parent_id) + wide, reason, name)
+
+
 def batch_buffers(spark, sf_dir: str) -> DataFrame:
     """(journal, seq, buffer) of the lines of usn_batch: buffers without records, with the next offset only."""
     lines = spark.read.parquet(f"{sf_dir}/usn_batch.parquet").where("next_usn IS NOT NULL").select(F.col("journal_id").cast("string").alias("journal"), F.col("log_no").alias("seq"), "next_usn").distinct()

@@ -1,7 +1,7 @@
-"""Queries over decoded file records and journal buffers, and the SQL over the tables they were made from.
+"""Queries over volume images and journal captures, and the SQL over the tables they were made from.
 
-The Spark side encodes the tables to binary records, decodes them again with the engine and goes on
-from there; the SQL side never sees a byte of it.
+Images and captures are written once and read with the data sources; a few queries decode records that
+no image has.  The SQL side never sees a byte of it.
 """
 
 from __future__ import annotations
@@ -13,22 +13,35 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import layout
 from siltstone.functions.columns import filetime_to_timestamp, flag, in_use, is_directory, journal_ticks, reason_text, unsigned
-from siltstone.functions.references import RECORD_MASK, make_reference, record_number, sequence_number
+from siltstone.functions.references import RECORD_MASK, make_reference, record_number, same_file_id, sequence_number
 from siltstone.operators import files, journal
 from siltstone.plans import encode
-from siltstone.session import written
+from siltstone.session import scratch_path, written
+from siltstone.sources import datasource
 from siltstone.sources.records import decode_records
-from siltstone.sources.usn import accepted_buffers, decode_buffers
+from siltstone.sources.usn import DECODED as DECODED_RECORDS
+from siltstone.sources.usn import accepted_buffers, decode_buffers, read_records
 
 #: The root, which every volume has.
 PROBE_RECORD = layout.ROOT_RECORD
 TRIM_USN = 1_000_000
 LIMIT = 8
+#: Directories in the chain of ``mft_paths_deep``.
+DEEP = 1100
 MASK = layout.REASON["FILE_CREATE"] | layout.REASON["FILE_DELETE"]
 
 
+def _images(spark: SparkSession, sf_dir: str, path: str | None = None, **options: object) -> DataFrame:
+    """The records of images through the source; the image is the number of the volume."""
+    datasource.register(spark)
+    read = spark.read.format("siltstone_mft").option("path", path or encode.mft_image_files(spark, sf_dir) + "/volume-*.img")
+    for name, value in options.items():
+        read = read.option(name, str(value))
+    return read.load().withColumn("image", F.regexp_extract("image", r"volume-(\d+)\.img$", 1))
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_records(encode.mft_images(spark, sf_dir))
+    return _images(spark, sf_dir)
 
 
 def _keys(df: DataFrame, *columns) -> DataFrame:
@@ -36,7 +49,20 @@ def _keys(df: DataFrame, *columns) -> DataFrame:
 
 
 def mft_record_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keys(files.record_exists(_records(spark, sf_dir)), "record_exists")
+    """The records whose bit is set, of all numbers that the images have."""
+    return _keys(files.record_exists(_records(spark, sf_dir)).where("record_exists"), "record_exists")
+
+
+def mft_is_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of records of each volume that are valid; all other numbers of the table are zeros or holes."""
+    whole = _images(spark, sf_dir).groupBy("image").agg(F.count_if("is_valid").alias("n_valid"), F.max(F.when(F.col("is_valid"), F.col("record_number"))).alias("last"))
+    return whole.select(F.col("image").cast("int").alias("volume_id"), "n_valid", "last")
+
+
+def mft_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid records with numbers 64 to 5000 and nothing of the others: the source skips their partitions."""
+    found = _images(spark, sf_dir, first=64, last=5000, bytesPerPartition=1 << 20)
+    return _keys(found.where("is_valid"), "sequence")
 
 
 def mft_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +142,26 @@ def mft_named_stream_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.file_info(rows).select((F.col("record_number") - layout.FIRST_NORMAL_RECORD).alias("doc_id"), F.col("size").cast("bigint").alias("size"))
 
 
+def mft_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contents of every document, read from its image: resident, or in two runs of clusters."""
+    datasource.register(spark)
+    records = spark.read.format("siltstone_mft").option("path", encode.document_image_file(spark, sf_dir)).load()
+    found = files.read_contents(records.where(F.col("record_number") >= layout.FIRST_NORMAL_RECORD)).where("error IS NULL")
+    return found.select((F.col("record_number") - layout.FIRST_NORMAL_RECORD).alias("doc_id"), F.decode("data", "UTF-8").alias("text"))
+
+
+def mft_listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of records whose names all lie in other records, told by an attribute list."""
+    names = files.best_names(decode_records(encode.listed_name_images(spark, sf_dir)))
+    return _keys(names.where(F.col("record_number") < 1 << 40), F.col("name.name").alias("name"), F.col("name.namespace").alias("namespace"))
+
+
+def mft_paths_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths below a chain of more directories than a path may have, and on a circle: the nearest 1,024."""
+    paths = files.full_paths(decode_records(encode.chain_images(spark, sf_dir, DEEP)), F.lit(""))
+    return _keys(paths.where("record_number <> 5"), "name", "path")
+
+
 def mft_read_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contents that are kept in the record itself."""
     return files.read_data(_documents(spark, sf_dir)).select(F.col("record_number").alias("doc_id"), F.decode(F.col("data"), "UTF-8").alias("text")).where("text IS NOT NULL")
@@ -134,8 +180,14 @@ def _usn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/usn_record.parquet")
 
 
+def _buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The read buffers of all journals through the source."""
+    datasource.register(spark)
+    return spark.read.format("siltstone_usn").option("path", encode.journal_captures(spark, sf_dir)).load()
+
+
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_buffers(encode.usn_buffers(_usn(spark, sf_dir)))
+    return decode_buffers(_buffers(spark, sf_dir))
 
 
 def _plain(df: DataFrame, *columns) -> DataFrame:
@@ -148,7 +200,7 @@ def usn_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usn_reason_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(_decoded(spark, sf_dir).where(F.col("reason").bitwiseAND(F.lit(MASK)) != 0), "reason")
+    return _plain(read_records(_buffers(spark, sf_dir), MASK), "reason")
 
 
 def usn_reason_str(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +213,29 @@ def usn_timestamp_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usn_start_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(_decoded(spark, sf_dir).where(F.col("usn") >= TRIM_USN))
+    return _plain(read_records(_buffers(spark, sf_dir), start=TRIM_USN))
+
+
+def usn_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader sees that starts after all that is there: nothing."""
+    return _plain(read_records(_buffers(spark, sf_dir), start="next"))
+
+
+def usn_is_own_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether file and parent are the same id."""
+    return _plain(_decoded(spark, sf_dir), same_file_id(F.col("file_id"), F.col("parent_id")).alias("same"))
+
+
+def usn_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all journals from a usn on and with a reason in the mask, as a stream that ends and is started again."""
+    datasource.register(spark)
+    home = scratch_path(spark, "usn-stream")
+    source = spark.readStream.format("siltstone_usn").option("path", encode.journal_captures(spark, sf_dir)).option("startingUsn", str(TRIM_USN)).option("progress", f"{home}/progress")
+    for most in (40, 1000):
+        records = datasource.decode_stream(source.option("maxBuffersPerTrigger", str(most)).load(), MASK, TRIM_USN)
+        query = records.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return _plain(spark.read.schema(DECODED_RECORDS).parquet(f"{home}/out"), "reason")
 
 
 def usn_version_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,15 +278,17 @@ def usn_enrich_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of the journal records as of the file records, by volume."""
     found = files.full_paths(_records(spark, sf_dir), F.lit(""))
     paths = found.select(F.col("image").alias("journal"), F.col("reference_number").alias("reference"), "path")
-    rows = _usn(spark, sf_dir).withColumn("journal_id", F.col("volume_id"))
-    return _plain(journal.with_paths(decode_buffers(encode.usn_buffers(rows)), paths), "path").withColumnRenamed("journal_id", "volume_id").withColumn("volume_id", F.col("volume_id").cast("int")).distinct()
+    # A journal belongs to one volume.
+    owner = _usn(spark, sf_dir).groupBy(F.col("journal_id").cast("string").alias("journal")).agg(F.max("volume_id").cast("string").alias("volume"))
+    records = _decoded(spark, sf_dir).join(owner, "journal").withColumn("journal", F.col("volume")).drop("volume")
+    return _plain(journal.with_paths(records, paths), "path").withColumnRenamed("journal_id", "volume_id").withColumn("volume_id", F.col("volume_id").cast("int")).distinct()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        mft_record_exists, mft_files, mft_get_record, mft_best_name, mft_paths, mft_listing, mft_times, mft_attributes, mft_flags, mft_ref_number, mft_size, mft_named_stream_size, mft_read_data, mft_data_runs,
-        usn_decode, usn_reason_mask, usn_reason_str, usn_timestamp_ticks, usn_start_custom, usn_version_mix, usn_cursor, usn_rename_match, usn_rename_match_trimmed, usn_rename_match_limited, usn_enrich_path,
+        mft_record_exists, mft_is_valid, mft_range, mft_contents, mft_listed_names, mft_paths_deep, mft_files, mft_get_record, mft_best_name, mft_paths, mft_listing, mft_times, mft_attributes, mft_flags, mft_ref_number, mft_size, mft_named_stream_size, mft_read_data, mft_data_runs,
+        usn_decode, usn_reason_mask, usn_reason_str, usn_timestamp_ticks, usn_start_custom, usn_next, usn_is_own_parent, usn_stream, usn_version_mix, usn_cursor, usn_rename_match, usn_rename_match_trimmed, usn_rename_match_limited, usn_enrich_path,
     )
 }
 
@@ -254,7 +330,14 @@ _REASON_CASES = " || ".join(f"CASE WHEN reason & {bit} <> 0 THEN '{name} ' ELSE
 _TICKS = "greatest(ticks, 0)"
 
 SQL: dict[str, str] = {
-    "mft_record_exists": f"WITH {_ALL} SELECT volume_id, record_number, allocated AS record_exists FROM all_records",
+    "mft_record_exists": f"WITH {_ALL} SELECT volume_id, record_number, allocated AS record_exists FROM all_records WHERE allocated",
+    "mft_is_valid": f"WITH {_ALL} SELECT volume_id, count(*) AS n_valid, max(record_number) AS last FROM all_records GROUP BY volume_id",
+    "mft_range": f"WITH {_ALL} SELECT volume_id, record_number, sequence FROM all_records WHERE record_number BETWEEN 64 AND 5000",
+    "mft_contents": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "mft_listed_names": f"WITH {_ALL}, usable AS (SELECT volume_id, record_number, arg_min({{'name': name, 'namespace': namespace}}, attr_id) AS b FROM known WHERE attributes & 1024 = 0 GROUP BY volume_id, record_number) SELECT volume_id, record_number, b.name AS name, b.namespace AS namespace FROM usable",
+    "mft_paths_deep": f"""WITH chain AS (SELECT volume_id, unnest(range(24, {24 + DEEP}))::BIGINT AS record_number FROM volumes)
+      SELECT volume_id, record_number, 'd' || record_number AS name, array_to_string(list_transform(range(greatest(24, record_number - 1024), record_number + 1), lambda x: '\\d' || x), '') AS path FROM chain
+      UNION ALL SELECT volume_id, {24 + DEEP} + k AS record_number, 'd' || ({24 + DEEP} + k) AS name, array_to_string(list_transform(range(1025), lambda x: '\\d' || ({24 + DEEP} + (x + k) % 2)), '') AS path FROM volumes, (SELECT unnest([0, 1]) AS k)""",
     "mft_files": f"WITH {_ALL} SELECT volume_id, record_number, {_REFERENCE} AS reference_number, flags & 2 = 2 AS is_directory FROM all_records WHERE {_USED}",
     "mft_get_record": f"WITH {_ALL} SELECT volume_id, record_number, sequence, flags, coalesce(base_reference, 0) AS base_reference FROM all_records WHERE record_number = {PROBE_RECORD}",
     "mft_best_name": f"WITH {_ALL} SELECT volume_id, record_number, b.name AS name, b.namespace AS namespace, b.parent AS parent FROM best",
@@ -263,7 +346,8 @@ SQL: dict[str, str] = {
     "mft_times": f"WITH {_ALL} SELECT volume_id, record_number, {_TIMES} FROM all_records WHERE {_USED}",
     "mft_attributes": f"""WITH {_ALL}, k AS (SELECT *, row_number() OVER (PARTITION BY volume_id, record_number ORDER BY attr_id)::INTEGER AS nth, count(*) OVER (PARTITION BY volume_id, record_number)::INTEGER AS n FROM known)
       SELECT volume_id, record_number, 0 AS ordinal, 16::BIGINT AS type_id, 0 AS id, false AS non_resident FROM all_records
-      UNION ALL SELECT volume_id, record_number, nth, 48, attr_id, false FROM k UNION ALL SELECT volume_id, record_number, n + 1, 128, 0, true FROM k WHERE nth = 1""",
+      UNION ALL SELECT volume_id, record_number, nth, 48, attr_id, false FROM k UNION ALL SELECT volume_id, record_number, n + 1, 128, 0, true FROM k WHERE nth = 1
+      UNION ALL SELECT volume_id, record_number, n + 2, 176, 0, true FROM k WHERE nth = 1 AND record_number = 0""",
     "mft_flags": f"WITH {_ALL} SELECT volume_id, record_number, attr_id, flags & 1 = 1 AS is_used, flags & 2 = 2 AS is_directory, attributes & 1 = 1 AS is_readonly, attributes & 2 = 2 AS is_hidden, attributes & 4 = 4 AS is_system, attributes & 1024 = 1024 AS is_reparse_point FROM known JOIN all_records USING (volume_id, record_number)",
     "mft_ref_number": f"WITH {_ALL} SELECT volume_id, record_number, {_REFERENCE} AS reference_number, sequence, record_number AS low_bits FROM all_records",
     "mft_size": f"WITH {_ALL}, sizes AS (SELECT volume_id, record_number, max(size) AS size FROM known GROUP BY volume_id, record_number) SELECT volume_id, record_number, coalesce(size, 0) AS size FROM all_records LEFT JOIN sizes USING (volume_id, record_number) WHERE {_USED}",
@@ -277,6 +361,9 @@ SQL: dict[str, str] = {
     "usn_reason_str": f"SELECT reason, {_REASON_CASES} AS reason_text, count(*) AS n FROM usn_record GROUP BY reason",
     "usn_timestamp_ticks": f"SELECT journal_id, usn, {_TICKS} AS ticks, ({_TICKS}::HUGEINT * 100)::VARCHAR AS nanoseconds, make_timestamp(greatest({_TICKS} - {layout.EPOCH_TICKS}, 0) // 10) AS at FROM usn_record",
     "usn_start_custom": f"SELECT journal_id, usn FROM usn_record WHERE usn >= {TRIM_USN}",
+    "usn_next": "SELECT journal_id, usn FROM usn_record WHERE false",
+    "usn_is_own_parent": "SELECT journal_id, usn, file_id = coalesce(parent_id, 0) AS same FROM usn_record",
+    "usn_stream": f"SELECT journal_id, usn, reason FROM usn_record WHERE usn >= {TRIM_USN} AND reason & {MASK} <> 0",
     "usn_version_mix": "SELECT journal_id, usn, major, name FROM usn_record WHERE name IS NOT NULL",
     "usn_cursor": """WITH l AS (SELECT DISTINCT journal_id, log_no, next_usn FROM usn_batch WHERE next_usn IS NOT NULL),
       c AS (SELECT *, coalesce(max(next_usn) OVER (PARTITION BY journal_id ORDER BY log_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS highest FROM l)

@@ -278,3 +278,92 @@ def data_runs(runs: bytes | None, cluster_size: int, data_size: int, check_total
     if check_total and total < data_size:
         return "data runs shorter than declared size", []
     return None, out
+
+
+RUNS_TYPE = "array<struct<kind:string,lcn:bigint,length:bigint>>"
+
+
+def run_lists(runs: pa.Array, cluster_size: np.ndarray, data_size: pa.Array, non_resident: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The errors and runs of a column of run lists; all lists take their k-th step together.
+
+    Lists of whole and small numbers are decoded with numpy.  Those with an error, or with numbers that
+    do not fit 61 bits, are left to ``data_runs``, which knows the texts and the order of the checks.
+    A length of 63 bits and more stands as its bit pattern.
+    """
+    n = len(runs)
+    sizes = np.asarray(data_size.fill_null(0)).astype(np.int64)
+    outside = np.asarray(non_resident.fill_null(False)) & np.asarray(data_size.is_valid())
+    value = [r if r is not None else b"" for r in runs.to_pylist()]
+    lengths = np.array([len(v) for v in value], np.int64)
+    base = np.cumsum(lengths) - lengths
+    flat = np.frombuffer(b"".join(value) + b"\0" * 16, np.uint8)
+    end = base + lengths
+    plain = outside & np.asarray(runs.is_valid()) & (sizes > 0)
+    at, start, total = base.copy(), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    live, rows, kinds, places, spans = np.flatnonzero(plain), [], [], [], []
+
+    def number(where: np.ndarray, width: np.ndarray, signed: bool) -> np.ndarray:
+        """Little-endian numbers of up to 7 bytes."""
+        out = np.zeros(len(where), np.int64)
+        for k in range(7):
+            out |= np.where(k < width, flat[np.minimum(where + k, len(flat) - 1)].astype(np.int64) << (8 * k), 0)
+        if signed:
+            top = (width > 0) & (flat[np.minimum(where + np.maximum(width, 1) - 1, len(flat) - 1)] >= 128)
+            out = np.where(top, out - (np.int64(1) << (8 * width)), out)
+        return out
+
+    largest = np.int64(1) << 61
+    while len(live):
+        inside = at[live] < end[live]
+        plain[live[~inside]] = False
+        live = live[inside]
+        head = flat[at[live]].astype(np.int64)
+        live, head = live[head != 0], head[head != 0]
+        wide, far = head & 15, head >> 4
+        fits = (wide >= 1) & (wide <= 7) & (far <= 7) & (at[live] + 1 + wide + far <= end[live])
+        plain[live[~fits]] = False
+        live, wide, far = live[fits], wide[fits], far[fits]
+        cluster = cluster_size[live]
+        length = number(at[live] + 1, wide, False)
+        delta = number(at[live] + 1 + wide, far, True)
+        room = largest // np.maximum(cluster, 1)
+        fits = (cluster > 0) & (length > 0) & (length < room) & (np.abs(delta) < room)
+        length, delta = length * cluster, delta * cluster
+        moved = start[live] + delta
+        fits &= (moved >= 0) & (moved < largest) & (total[live] + length < largest)
+        plain[live[~fits]] = False
+        live, length, moved, far, wide = live[fits], length[fits], moved[fits], far[fits], wide[fits]
+        start[live], total[live] = moved, total[live] + length
+        at[live] += 1 + wide + far
+        rows.append(live)
+        kinds.append(far > 0)
+        places.append(moved)
+        spans.append(length)
+    row = np.concatenate(rows) if rows else np.empty(0, np.int64)
+    order = np.argsort(row, kind="stable")
+    row, kind, place, span = row[order], *(np.concatenate(x)[order] if rows else np.empty(0, np.int64) for x in (kinds, places, spans))
+    plain &= (total >= sizes) & (np.bincount(row, minlength=n) > 0)
+    errors: list[str | None] = [None] * n
+    others: dict[int, list] = {}
+    for i in np.flatnonzero(~plain):
+        if not outside[i]:
+            errors[i] = "attribute is resident"
+        else:
+            error, found = data_runs(value[i] if runs[int(i)].is_valid else None, int(cluster_size[i]), int(sizes[i]) & (1 << 64) - 1)
+            errors[i], others[int(i)] = error, found
+    kept = plain[row]
+    row, kind, place, span = row[kept], kind[kept].astype(bool), place[kept], span[kept]
+    if any(others.values()):  # put the few lists that were decoded one by one in their place
+        extra = [(i, k == "data", p or 0, _signed(s)) for i, found in others.items() if errors[i] is None for k, p, s in found]
+        if extra:
+            more = [np.array(x, np.int64) for x in zip(*extra)]
+            more[1] = more[1].astype(bool)
+            row, kind, place, span = np.concatenate([row, more[0]]), np.concatenate([kind, more[1]]), np.concatenate([place, more[2]]), np.concatenate([span, more[3]])
+            order = np.argsort(row, kind="stable")
+            row, kind, place, span = row[order], kind[order], place[order], span[order]
+    names = pa.array(np.where(kind, "data", "sparse"), pa.string()) if len(row) else pa.array([], pa.string())
+    struct = pa.StructArray.from_arrays([names, pa.array(place.astype(np.int64), mask=~kind), pa.array(span.astype(np.int64))], fields=list(arrow_type(RUNS_TYPE).value_type))
+    offsets = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+    failed = np.array([e is not None for e in errors], bool)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), struct, mask=pa.array(failed)) if n else pa.array([], arrow_type(RUNS_TYPE))
+    return pa.array(errors, pa.string()), lists

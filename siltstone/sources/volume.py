@@ -14,8 +14,11 @@ import numpy as np
 from siltstone.errors import SiltstoneError
 from siltstone.functions import layout
 from siltstone.sources import records
+from siltstone.sources.storage import open_file
 
 ALIGNMENT = 4096
+#: The most bytes that are read into memory at once.
+LARGEST = 1 << 31
 
 
 def check_alignment(alignment: int) -> int:
@@ -74,8 +77,8 @@ Extent = tuple[int, int | None, int]
 class Bootstrap:
     """What must be known before the table can be read in parallel: sizes and extents of $DATA and $BITMAP."""
 
-    def __init__(self, path: str, open_file: Callable[[], BinaryIO] | None = None):
-        self.open = open_file or (lambda: open(path, "rb"))
+    def __init__(self, path: str, opener: Callable[[], BinaryIO] | None = None):
+        self.open = opener or (lambda: open_file(path))
         with self.open() as file:
             self.geometry = geometry(path, read_exactly(file, 0, layout.BOOT_SECTOR.itemsize))
             first = self._record(file, self.geometry.mft_position)
@@ -133,8 +136,41 @@ class Bootstrap:
         return size, out
 
 
+def read_content(file: BinaryIO, attribute: dict, cluster_size: int) -> bytes:
+    """The whole value of an attribute: of a resident one its bytes, else its runs, holes as zeros, cut to its size."""
+    if not attribute["non_resident"]:
+        if attribute["value"] is None:
+            raise SiltstoneError("INVALID_DATA_RUN", details="resident attribute missing value")
+        return attribute["value"]
+    size = attribute["data_size"] & (1 << 64) - 1
+    error, runs = records.data_runs(attribute["runs"], cluster_size, size)
+    if error:
+        raise SiltstoneError("INVALID_DATA_RUN", details=error)
+    extents, at = [], 0
+    for _, lcn, length in runs:
+        extents.append((at, lcn, length))
+        at += length
+    return read_extents(file, extents, 0, size)
+
+
+def spans(extents: list[Extent], record_size: int, n_records: int) -> list[tuple[int, int]]:
+    """(first, end) of the record numbers that do not lie in holes altogether."""
+    out: list[list[int]] = []
+    for extent in extents:
+        if extent[1] is None and len(extent) == 3:
+            continue
+        first, end = extent[0] // record_size, min(-(-(extent[0] + extent[2]) // record_size), n_records)
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(end, out[-1][1])
+        elif first < end:
+            out.append([first, end])
+    return [(a, b) for a, b in out]
+
+
 def read_extents(file: BinaryIO, extents: list[Extent], start: int, size: int) -> bytes:
     """Bytes start..start+size of a stream; holes are zeros."""
+    if size > LARGEST:
+        raise SiltstoneError("ALLOCATION_TOO_LARGE", size=size)
     out = bytearray()
     for extent in extents:
         at, position, length = extent[:3]

@@ -123,12 +123,3 @@ def test_descendants(spark):
     assert rows(descendants(ranges, ranges, "v", "n")) == sorted(below)
     some = [(1, 0, None), (2, 7, None), (2, 7, None), (2, 9999, None)]
     assert rows(descendants(ranges, make(spark, some), "v", "n")) == sorted(x for x in below if x[:2] in {(1, 0), (2, 7)})
-
-
-@pytest.mark.parametrize("chunks", [1, 5])
-def test_sibling_sums(spark, chunks):
-    r = random.Random(chunks)
-    data = [(1, r.choice([None, 5, 5, 5, 6]), n * 10**9, r.randrange(5)) for n in range(300)]
-    df = spark.createDataFrame(data, "tree bigint, at bigint, node bigint, size bigint").repartition(chunks)
-    got = {x["node"]: x["before"] for x in hierarchy.sibling_sums(df, ["tree", "at"], "node", "size", "before", "t").collect()}
-    assert got == {n: sum(s for _, b, m, s in data if b == a and m < n) for _, a, n, _ in data}

@@ -7,7 +7,7 @@ import pytest
 from siltstone.functions import layout
 from siltstone.operators import files
 from siltstone.plans import encode
-from siltstone.sources import datasource
+from siltstone.sources import datasource, storage
 from siltstone.sources.volume import Bootstrap
 from tests.conftest import rows
 from tests.test_records import name
@@ -99,3 +99,58 @@ def test_broken_images_are_refused(spark, tmp_path):
     with pytest.raises(Exception, match="corrupt record 40"):
         read.load().collect()
     assert read.option("mode", "PERMISSIVE").load().where("corrupt").count() == 1
+
+
+def test_holes_are_passed_over(spark, tmp_path):
+    """A table of three extents of which the middle one is a hole; numbers in it have no rows unless asked for."""
+    datasource.register(spark)
+    n, per = 96, 32
+    recs = [encode.record(1, 1, [name(f"f{i}")]) for i in range(n)]
+    runs = [(10, 8), (None, 8), (30, 8)]
+    recs[0] = encode.record(1, 1, [encode.stream_attribute(layout.DATA, n * 1024, encode.run_list(runs)), encode.attribute(layout.BITMAP, b"\xff" * (n // 8))])
+    out = bytearray(100 * CLUSTER)
+    out[:512] = encode.boot_sector(512, 8, 800, 10, -10)
+    out[10 * CLUSTER : 18 * CLUSTER] = b"".join(recs[:per])
+    out[40 * CLUSTER : 48 * CLUSTER] = b"".join(recs[2 * per :])
+    (tmp_path / "a.img").write_bytes(bytes(out))
+    read = spark.read.format("siltstone_mft").option("path", f"file://{tmp_path}/[ab].img").option("bytesPerPartition", 16 * 1024)
+    some = [*range(per), *range(2 * per, n)]
+    assert rows(read.load().where("is_valid").select("record_number")) == [(i,) for i in some] == rows(read.load().select("record_number"))
+    whole = read.option("holes", "read").load()
+    assert whole.count() == n and rows(whole.where("is_valid").select("record_number")) == [(i,) for i in some]
+    assert rows(read.option("holes", "skip").option("first", 20).option("last", 70).load().select("record_number")) == [(i,) for i in some if 20 <= i <= 70]
+
+
+def test_contents(spark, tmp_path):
+    """Resident, fragmented with a hole and cut to size, empty, broken, and too large to hold."""
+    datasource.register(spark)
+    n = 40
+    stream = encode.stream_attribute
+    data = {
+        30: encode.attribute(layout.DATA, b"small"), 31: stream(layout.DATA, 2 * CLUSTER + 5, encode.run_list([(50, 1), (None, 1), (-2, 1)])), 32: stream(layout.DATA, 0, b""),
+        33: stream(layout.DATA, 9 * CLUSTER, encode.run_list([(50, 1)])), 34: stream(layout.DATA, 1 << 40, encode.run_list([(None, 1 << 28)])),
+    }
+    recs = [encode.record(1, 1, [data[i]] if i in data else [name(f"f{i}")]) for i in range(n)]
+    recs[0] = encode.record(1, 1, [stream(layout.DATA, n * 1024, encode.run_list([(10, 10)])), encode.attribute(layout.BITMAP, b"\xff" * 5)])
+    out = bytearray(100 * CLUSTER)
+    out[:512] = encode.boot_sector(512, 8, 800, 10, -10)
+    out[10 * CLUSTER : 20 * CLUSTER] = b"".join(recs)
+    out[50 * CLUSTER : 51 * CLUSTER], out[48 * CLUSTER : 49 * CLUSTER] = b"a" * CLUSTER, b"b" * CLUSTER
+    (tmp_path / "a.img").write_bytes(bytes(out))
+    got = {r["record_number"]: (None if r["data"] is None else bytes(r["data"]), r["error"]) for r in files.read_contents(spark.read.format("siltstone_mft").option("path", str(tmp_path / "a.img")).load()).collect() if r["record_number"]}
+    assert got[30] == (b"small", None) and got[31] == (b"a" * CLUSTER + b"\0" * CLUSTER + b"b" * 5, None) and got[32] == (b"", None)
+    assert "shorter than declared" in got[33][1] and got[34] == (None, "allocation of 1099511627776 bytes exceeds the address space")
+
+
+def test_patterns_and_files(tmp_path):
+    for x in ("a/1.img", "a/2.img", "b/1.img", "b/x.txt"):
+        (tmp_path / x).parent.mkdir(exist_ok=True)
+        (tmp_path / x).write_bytes(b"abc")
+    for head in ("", "file://"):
+        assert storage.expand(f"{head}{tmp_path}/*/[12].img") == [f"{head}{tmp_path}/{x}" for x in ("a/1.img", "a/2.img", "b/1.img")]
+        assert storage.expand(f"{head}{tmp_path}/a") == [f"{head}{tmp_path}/a"]
+        assert sorted(storage.entries(f"{head}{tmp_path}/b")) == [("1.img", 3, False), ("x.txt", 3, False)]
+        storage.write_file(f"{head}{tmp_path}/c/note", b"x")
+        assert storage.read_file(f"{head}{tmp_path}/c/note") == b"x"
+    with pytest.raises(Exception, match="cannot read"):
+        storage.open_file(str(tmp_path / "none"))

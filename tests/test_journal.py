@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import json
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions.layout import REASON
+from siltstone.functions.references import same_file_id
 from siltstone.operators import journal
 from siltstone.plans import encode
 from siltstone.sources import datasource, usn
@@ -114,7 +117,7 @@ def test_streamed_captures(spark, tmp_path, per_trigger, most):
     datasource.register(spark)
     data = [("j", u // 5, u, "normal", d[4], d[5], d[6]) for u, d in enumerate(random_events(11, 60))]
     write_captures(tmp_path / "j", data, 5)
-    reader = spark.readStream.format("siltstone_usn").option("path", str(tmp_path / "j"))
+    reader = spark.readStream.format("siltstone_usn").option("path", str(tmp_path / "j")).option("progress", str(tmp_path / "progress"))
     stream = reader.option("maxBuffersPerTrigger", str(per_trigger)).load()
     records = datasource.decode_stream(stream).withColumn("path", F.col("name"))
     query = renames.match_renames(records, most).writeStream.format("memory").queryName(f"renames{per_trigger}{most}").option("checkpointLocation", str(tmp_path / "check")).start()
@@ -137,3 +140,80 @@ def test_a_restart_goes_on_where_it_stopped(spark, tmp_path):
         query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
         query.awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(u,) for u in range(20)]
+
+
+def stream(spark, tmp_path, most=0, **options):
+    """Run a stream over all journal folders to the end of what is there; it goes on from its checkpoint."""
+    datasource.register(spark)
+    read = spark.readStream.format("siltstone_usn").option("path", str(tmp_path / "journals" / "*")).option("maxBuffersPerTrigger", str(most)).option("progress", str(tmp_path / "progress"))
+    for name, value in options.items():
+        read = read.option(name, str(value))
+    query = datasource.decode_stream(read.load(), start=options.get("startingUsn", "first")).select("journal", "seq", "usn").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).start()
+    try:
+        query.processAllAvailable()
+        batches = {p["batchId"]: p["numInputRows"] for p in (json.loads(x.json) for x in query.recentProgress) if p["numInputRows"]}
+    finally:
+        query.stop()
+    return rows(spark.read.parquet(str(tmp_path / "out")).select("journal", "usn")), batches
+
+
+def capture(tmp_path, name, seq, next_usn, *usns):
+    folder = tmp_path / "journals" / name
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / f"{seq}.usn").write_bytes(bytes(buffer(next_usn, *[rec(2, u) for u in usns])))
+
+
+def test_a_late_journal_is_not_skipped(spark, tmp_path):
+    """Journal a is far ahead when the buffers of b arrive; nothing is lost and nothing read twice."""
+    for seq in range(6):
+        capture(tmp_path, "a", seq, 10 * seq + 10, 10 * seq + 1)
+    capture(tmp_path, "b", 0, 5, 1)
+    assert stream(spark, tmp_path)[0] == [("a", 10 * s + 1) for s in range(6)] + [("b", 1)]
+    for seq in (1, 2, 3):
+        capture(tmp_path, "b", seq, 10 * seq, 10 * seq - 1)
+    got, _ = stream(spark, tmp_path)
+    assert got == sorted([("a", 10 * s + 1) for s in range(6)] + [("b", u) for u in (1, 9, 19, 29)])
+
+
+def test_the_bound_holds_after_a_restart(spark, tmp_path):
+    for seq in range(4):
+        capture(tmp_path, "a", seq, 10 * seq + 10, 10 * seq + 1)
+    got, batches = stream(spark, tmp_path, 2)
+    assert got == [("a", 10 * s + 1) for s in range(4)] and set(batches.values()) == {2}
+    for seq in range(4, 9):
+        capture(tmp_path, "a", seq, 10 * seq + 10, 10 * seq + 1)
+    got, batches = stream(spark, tmp_path, 2)
+    assert got == [("a", 10 * s + 1) for s in range(9)] and max(batches.values()) == 2
+
+
+def test_stop_rules_and_start(spark, tmp_path):
+    """Next usn 0 or behind the current one: passed over, and the current one stays."""
+    for seq, (following, usn) in enumerate([(10, 1), (0, 11), (5, 12), (20, 13), (15, 14), (30, 25)]):
+        capture(tmp_path, "a", seq, following, usn)
+    assert stream(spark, tmp_path)[0] == [("a", 1), ("a", 13), ("a", 25)]
+
+
+@pytest.mark.parametrize(("start", "want"), [("first", [1, 13, 25]), ("14", [25]), ("next", [])])
+def test_where_a_stream_starts(spark, tmp_path, start, want):
+    for seq, (following, usn) in enumerate([(10, 1), (0, 11), (20, 13), (30, 25)]):
+        capture(tmp_path, "a", seq, following, usn)
+    got, _ = stream(spark, tmp_path, startingUsn=start)
+    assert got == [("a", u) for u in want]
+    capture(tmp_path, "a", 9, 50, 45)
+    assert stream(spark, tmp_path, startingUsn=start)[0] == [("a", u) for u in [*want, 45]]
+
+
+def test_names_are_decoded_like_one_by_one():
+    parts = ["abc".encode("utf-16-le"), b"", b"\x00\xd8", b"\x00\xdcA\x00", "\U0001f642".encode("utf-16-le"), b"\x00\xd8", "x".encode("utf-16-le")]
+    for more in ([], [b"a\0\0\0b\0"]):  # a unit 0 within a name
+        whole = [*parts, *more]
+        ends = [sum(map(len, whole[: i + 1])) for i in range(len(whole))]
+        sizes = np.array([len(p) for p in whole])
+        assert usn._names(b"".join(whole), np.array(ends) - sizes, sizes) == [p.decode("utf-16-le", "replace") for p in whole]
+
+
+def test_file_ids_of_different_width_are_never_the_same(spark):
+    df = usn.decode_buffers(buffers(spark, buffer(9, rec(2, 1, file_id=7, parent=7), rec(3, 2, file_id=7, parent=5))))
+    a, b = df.select(F.col("usn").alias("a"), F.col("file_id").alias("x")), df.select(F.col("usn").alias("b"), F.col("file_id").alias("y"), F.col("parent_id").alias("z"))
+    assert rows(a.join(b, same_file_id(F.col("x"), F.col("y"))).select("a", "b")) == [(1, 1), (2, 2)]
+    assert rows(b.where(same_file_id(F.col("y"), F.col("z"))).select("b")) == [(1,)]

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +231,55 @@ def test_path_depth_ends_at_1024(spark):
 def test_nothing(spark):
     none = table(spark, {})
     assert files.files(none).count() == 0 and files.attributes(none).count() == 0
+
+
+def test_run_lists_are_decoded_as_one_by_one():
+    """Random lists, cut and changed ones, and numbers at the edges of what numpy can hold."""
+    r = random.Random(6)
+    lists, clusters, sizes, outside = [], [], [], []
+    for n in range(400):
+        runs, total = [], 0
+        for _ in range(r.choice([0, 1, 2, 5])):
+            count = r.choice([1, 3, 300, 1 << 20, 1 << 40, (1 << 62) + 1, 1 << 63])
+            runs.append((r.choice([None, 5, 100, -50, 1 << 30, -(1 << 40), 1 << 60, -(1 << 62)]), count))
+            total += count
+        raw = encode.run_list(runs)
+        if r.random() < 0.3:
+            raw = raw[: r.randrange(len(raw) + 1)]
+        if r.random() < 0.2 and raw:
+            raw = bytes([*raw[:-1], r.randrange(256)])
+        lists.append(None if r.random() < 0.03 else raw)
+        clusters.append(r.choice([1, 512, 4096, 65536]))
+        sizes.append(None if r.random() < 0.03 else r.choice([0, 1, total * clusters[-1] & (1 << 63) - 1, -1]))
+        outside.append(r.choice([True] * 19 + [None, False]))
+    errors, runs = records.run_lists(pa.array(lists, pa.binary()), np.array(clusters), pa.array(sizes, pa.int64()), pa.array(outside, pa.bool_()))
+    for i, (error, found) in enumerate(zip(errors.to_pylist(), runs.to_pylist())):
+        if not outside[i] or sizes[i] is None:
+            assert (error, found) == ("attribute is resident", None)
+            continue
+        want = records.data_runs(lists[i], clusters[i], sizes[i] & (1 << 64) - 1)
+        assert error == want[0] and (found is None if error else [tuple(x.values()) for x in found] == [(k, p, records._signed(n)) for k, p, n in want[1]]), i
+    assert len(set(errors.to_pylist())) > 5
+    assert records.run_lists(pa.array([], pa.binary()), np.array([], np.int64), pa.array([], pa.int64()), pa.array([], pa.bool_()))[1].to_pylist() == []
+
+
+@pytest.mark.parametrize(("local", "text", "long"), [(1 << 18, 1 << 28, 1 << 12), (1 << 18, 1 << 28, 5), (1 << 18, 40, 5), (3, 1 << 28, 5)])
+def test_paths_walked_and_doubled(spark, monkeypatch, local, text, long):
+    """Trees, missing ancestors, circles and chains around the longest path, by one task for an image and by rounds."""
+    for n, value in (("LOCAL", local), ("MOST_TEXT", text), ("MOST_LONG", long)):
+        monkeypatch.setattr(files, n, value)
+    r = random.Random(1)
+    parent = {n: r.choice([5, 5, n - 1, n - 1, n - 1, n - 1, n - 1, 9999, r.randrange(24, 124)]) for n in range(24, 124)} | {n: n - 1 for n in range(201, 240)} | {200: 5, 300: 301, 301: 302, 302: 300, 303: 302, 400: 9999} | {n: n - 1 for n in range(401, 420)}
+    names = spark.createDataFrame([("v", n, (p, f"n{n}")) for n, p in parent.items()] + [("w", 30, (5, "only"))], "image string, record_number bigint, name struct<parent_reference:bigint,name:string>")
+    want = {("w", 5): ("", True)}
+    for p in set(parent.values()):
+        parts, at, ok = [], p, True
+        while at != 5 and len(parts) < 8:
+            if at not in parent:
+                ok = False
+                break
+            parts.append(f"\\n{at}")
+            at = parent[at]
+        want["v", p] = ("".join(reversed(parts)), True) if ok else (None, False)
+    got = {(x["image"], x["record_number"]): (x["path"], x["ok"]) for x in files.directory_paths(names, 3).collect()}
+    assert got == want

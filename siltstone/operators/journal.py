@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.columns import has_reason, join_path
 from siltstone.functions.layout import REASON
-from siltstone.operators.skew import hot_keys, spread_join
+from siltstone.operators.prefix import before
+from siltstone.operators.skew import spread_join
+from siltstone.session import written
 
 #: Records with one of these are remembered as history, renames or not.
 HISTORY = REASON["RENAME_OLD_NAME"] | REASON["HARD_LINK_CHANGE"] | REASON["REPARSE_POINT_CHANGE"]
@@ -30,15 +32,14 @@ def with_paths(records: DataFrame, paths: DataFrame) -> DataFrame:
     """Add ``path``: that of the parent and the name, else that of the file, else the bare name.
 
     ``paths`` has (journal, reference, path) as of a snapshot, one row per reference; an empty path
-    counts as none.  Paths are joined by key, so that they may be larger than memory; a directory or
-    file with a large part of all records is spread over many tasks, for which the records are
-    counted by key first.
+    counts as none.  Paths are joined by key, so that they may be larger than memory.  Where they are too
+    many to be sent to every task, the records are counted by key first, and those of a directory or file
+    with a large part of all are spread over many tasks.
     """
-    known = paths.where("path <> ''").select("journal", F.col("reference").alias("r"), F.col("path").alias("p"))
+    known = written(paths.where("path <> ''").select("journal", F.col("reference").alias("r"), F.col("path").alias("p")), "journal-paths")
     found = records.withColumn("own_ref", reference_of(F.col("file_id"))).withColumn("parent_ref", reference_of(F.col("parent_id")))
     for key, column in (("parent_ref", "parent_path"), ("own_ref", "own_path")):
-        hot = hot_keys(records.select("journal", reference_of(F.col("parent_id" if key == "parent_ref" else "file_id")).alias(key)), ["journal", key])
-        found = spread_join(found, known.select("journal", F.col("r").alias(key), F.col("p").alias(column)), ["journal", key], "left", F.col("usn"), hot)
+        found = spread_join(found, known.select("journal", F.col("r").alias(key), F.col("p").alias(column)), ["journal", key], "left", F.col("usn"))
     path = F.coalesce(F.when(F.col("parent_path").isNotNull(), join_path(F.col("parent_path"), F.col("name"))), F.col("own_path"), F.col("name"))
     return found.withColumn("path", path).select(*records.columns, "path")
 
@@ -70,8 +71,7 @@ def match_renames_limited(records: DataFrame, most: int, trim: int | None = None
     if most == 0:
         return match_renames(records, trim)
     counts = records.groupBy("journal", "seq").agg(F.count(F.when(has_reason(F.col("reason"), HISTORY), 1)).alias("n"))
-    w = Window.partitionBy("journal").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    ends = counts.select("journal", "seq", F.sum("n").over(w).alias("end"), "n")
+    ends = before(counts, ["journal"], "seq", "n", "begin", "journal-history").select("journal", "seq", (F.col("begin") + F.col("n")).alias("end"), "n")
     inside = Window.partitionBy("journal", "seq").orderBy("usn", "file_id", "path")
     history = records.where(has_reason(F.col("reason"), HISTORY)).withColumn("nth", F.row_number().over(inside)).join(ends, ["journal", "seq"])
     history = history.select("journal", "file_id", (F.col("end") - F.col("n") + F.col("nth")).alias("ordinal"), F.col("usn").alias("old_usn"), F.col("path").alias("old_path"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,12 +25,27 @@ def hot_keys(rows: DataFrame, on: Sequence[str]) -> DataFrame | None:
     return None if hot.isEmpty() else hot
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, spread_by: Column, hot: DataFrame | None) -> DataFrame:
-    """``left.join(right, on, how)`` where rows of ``hot`` keys on the left are dealt to SALTS tasks by a hash of ``spread_by``.
+def _bytes(size: str) -> int:
+    """The number of a size such as 10485760b or 10MB; negative ones are for never."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgt]?)i?b?\s*", size.lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
 
-    The matching rows on the right are repeated for each of them.  ``hot`` is from ``hot_keys``; its bound
-    is what makes sending it to every task safe.  ``how`` is inner, left, left_semi or left_anti.
+
+def sent_to_all(right: DataFrame) -> bool:
+    """Whether Spark will send a table to every task, going by its own estimate and threshold."""
+    threshold = _bytes(right.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB"))
+    return int(str(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= threshold
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, spread_by: Column) -> DataFrame:
+    """``left.join(right, on, how)`` where rows of hot keys on the left are dealt to SALTS tasks by a hash of ``spread_by``.
+
+    The matching rows on the right are repeated for each of them.  Where Spark sends the right side to
+    every task, there is nothing to spread and the rows on the left are not counted.  The bound on the
+    number of hot keys is what makes sending those to every task safe.  ``how`` is inner, left,
+    left_semi or left_anti.
     """
+    hot = None if sent_to_all(right) else hot_keys(left, on)
     if hot is None:
         return left.join(right, list(on), how)
     marks = F.broadcast(hot.withColumn("is_hot", F.lit(True)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.references import RECORD_MASK, make_reference, record_number
 from siltstone.operators import capture, changes, dedup_index, hierarchy, references, skew, snapshots
-from siltstone.session import buckets_for, scratch_path, shuffle_partitions
+from siltstone.session import buckets_for, scratch_path, shuffle_partitions, written
 
 FILE_DELETE = 0x200
 #: Ticks of 100 ns from 1601 to 1970.
@@ -247,8 +247,8 @@ def _orphan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "usn_record").count() + table(spark, sf_dir, "file_name").count()
     lost = references.orphan_keys(refs, _records(spark, sf_dir), ["volume_id", "reference"], "groups", "period", buckets_for(rows, references.PER_BUCKET, shuffle_partitions(spark)))
     key = ["groups", "volume_id", "reference"]
-    keys = lost.select(*key).distinct().withColumn("volume_id", F.col("volume_id").cast("int"))
-    return skew.spread_join(refs, keys, key, "left_semi", F.col("row_key"), skew.hot_keys(refs, key))
+    keys = written(lost.select(*key).distinct().withColumn("volume_id", F.col("volume_id").cast("int")), "orphan-keys")
+    return skew.spread_join(refs, keys, key, "left_semi", F.col("row_key"))
 
 
 def _table_name(column: str) -> F.Column:

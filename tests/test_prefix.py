@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import skew
 from siltstone.operators.prefix import before
+from siltstone.session import written
 from tests.conftest import rows
 
 
@@ -29,6 +30,14 @@ def test_hot_keys_are_spread_and_nothing_else_changes(spark, monkeypatch, how):
     right = spark.createDataFrame([(7, 1, "x"), (7, 1, "y"), (700, 1, "z"), (701, 2, "w")], "k bigint, j int, v string")
     hot = skew.hot_keys(left, ["j", "k"])
     assert rows(hot) == [(1, 7), (1, 8)]
-    spread = skew.spread_join(left, right, ["j", "k"], how, F.col("id"), hot)
+    assert skew.sent_to_all(written(right, "t"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not skew.sent_to_all(written(right, "t"))
+        spread = skew.spread_join(left, right, ["j", "k"], how, F.col("id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "salt" in spread._jdf.queryExecution().toString()
     assert rows(spread) == rows(left.join(right, ["j", "k"], how)) and spread.columns == left.join(right, ["j", "k"], how).columns
     assert skew.hot_keys(left.where("id > 650"), ["j", "k"]) is None
+    assert [skew._bytes(x) for x in ("-1", "10485760b", "10MB", "2g")] == [-1, 10485760, 10 << 20, 2 << 30]

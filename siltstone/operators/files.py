@@ -6,7 +6,7 @@ All functions take the table that the record source or ``decode_records`` gives;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,8 @@ from siltstone.functions import layout
 from siltstone.functions.columns import filetime_to_timestamp, flag, in_use, is_directory, unix_ticks, unsigned
 from siltstone.functions.references import make_reference, record_number
 from siltstone.operators import forest
-from siltstone.session import written
+from siltstone.operators.skew import spread_join
+from siltstone.session import read_tables, write_table, written
 from siltstone.sources.records import run_lists
 from siltstone.sources.storage import open_file
 from siltstone.sources.volume import geometry, read_content, read_exactly
@@ -148,8 +149,17 @@ def best_names(records: DataFrame) -> DataFrame:
 
 
 def _best_of(names: DataFrame) -> DataFrame:
-    simple = names.where("steps IS NULL").select(*KEY, F.col("pick").alias("name"))
-    return simple.unionByName(_names_with_lists(names)).where("name IS NOT NULL")
+    return _all_named(names).select(*KEY, "name").where("name IS NOT NULL")
+
+
+def _all_named(names: DataFrame) -> DataFrame:
+    """The table of ``_names_of`` with the best name of each record; joined only where there are attribute lists."""
+    simple = names.where("steps IS NULL").withColumn("name", F.col("pick"))
+    listed = names.where("steps IS NOT NULL")
+    if listed.isEmpty():
+        return simple
+    found = _names_with_lists(names)
+    return written(simple.unionByName(listed.join(found, KEY, "left")), "best-names")
 
 
 def _names_with_lists(names: DataFrame) -> DataFrame:
@@ -202,13 +212,12 @@ def _walker(most: int, rounds: int, most_text: int, most_long: int):
         following = np.asarray(rows["next"].combine_chunks().fill_null(-1))
         up = forest.parent_index(node, following, going)
         depth = forest.depths(up)
-        by_level = forest.levels(depth)
         size = np.asarray(pc.fill_null(pc.utf8_length(rows["path"]), 0).combine_chunks()).astype(np.int64)
         given = np.empty(len(node), object)
         given[:] = rows["path"].to_pylist()
         paths, still, came = given, going.copy(), ok
-        root = forest.roots(up, by_level)
-        if forest.down(up, by_level, size)[depth >= 0].sum() <= most_text:
+        root = forest.roots(up, depth)
+        if forest.down(up, depth, size)[depth >= 0].sum() <= most_text:
             arrives = node[root] == layout.ROOT_RECORD
             good = arrives & (depth >= 0) & (depth <= most)
             bad = ~arrives & (depth >= 0) & (depth < most)
@@ -223,7 +232,7 @@ def _walker(most: int, rounds: int, most_text: int, most_long: int):
                     break
             # An image with more of them is left as it came: a round must not meet paths that are ahead of it.
             if seen.sum() <= most_long:
-                paths = np.where(good, forest.down(up, by_level[: most + 1], own), np.where(bad, None, given))
+                paths = np.where(good, forest.down(up, np.where(depth <= most, depth, -1), own), np.where(bad, None, given))
                 came, still = ok & ~bad, np.zeros(len(node), bool)
                 those = np.flatnonzero(seen)
                 at = np.full(len(node) + 1, -1)  # the last entry stands for no ancestor
@@ -256,26 +265,26 @@ def directory_paths(names: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     begun = wanted.join(names, KEY, "left").select(*KEY, F.when(root, "").otherwise(own).alias("path"), F.when(root, F.lit(layout.ROOT_RECORD)).otherwise(parent).cast("bigint").alias("next"), (root | F.col("name").isNotNull()).alias("ok"))
     begun = written(begun, "paths")
     large = begun.groupBy("image").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LOCAL).select("image")
-    state = begun.join(large, "image", "left_anti").groupBy("image").applyInArrow(_walker(1 << rounds, rounds, MOST_TEXT, MOST_LONG), _WALKED)
-    untouched = F.col("ok") & (F.col("next") != layout.ROOT_RECORD)
-    state = state.unionByName(begun.join(large, "image", "left_semi").withColumn("open", F.coalesce(untouched, F.lit(False))))
-    tables = [written(state.withColumn("round", F.lit(0)), "paths")]
-    while len(tables) <= rounds and not tables[-1].where("open").isEmpty():
-        known = tables[0]
-        for t in tables[1:]:
-            known = known.unionByName(t)
-        known = known.where(~F.col("open") | (F.col("round") == len(tables) - 1))
+    walk = _walker(1 << rounds, rounds, MOST_TEXT, MOST_LONG)
+    if large.isEmpty():
+        state = begun.groupBy("image").applyInArrow(walk, _WALKED)
+    else:
+        untouched = F.col("ok") & (F.col("next") != layout.ROOT_RECORD)
+        state = begun.join(large, "image", "left_anti").groupBy("image").applyInArrow(walk, _WALKED)
+        state = state.unionByName(begun.join(large, "image", "left_semi").withColumn("open", F.coalesce(untouched, F.lit(False))))
+    state = state.withColumn("round", F.lit(0))
+    tables = [write_table(state, "paths")]
+    while len(tables) <= rounds and not (latest := read_tables(state, tables[-1:]).where("open")).isEmpty():
+        known = read_tables(state, tables).where(~F.col("open") | (F.col("round") == len(tables) - 1))
         up = known.select("image", F.col("record_number").alias("next"), F.col("path").alias("up_path"), F.col("next").alias("up_next"), F.col("ok").alias("up_ok"))
-        moved = tables[-1].where("open").join(up, ["image", "next"], "left")
+        moved = latest.join(up, ["image", "next"], "left")
         good = F.coalesce("up_ok", F.lit(False))
         further = good & F.col("up_next").isNotNull() & (F.col("up_next") != layout.ROOT_RECORD)
         last = len(tables) == rounds
         moved = moved.select(*KEY, F.when(good, F.concat("up_path", "path")).alias("path"), F.coalesce("up_next", "next").alias("next"), good.alias("ok"), (F.coalesce(further, F.lit(False)) & F.lit(not last)).alias("open"), F.lit(len(tables)).alias("round"))
-        tables.append(written(moved, "paths"))
-    done = tables[0]
-    for t in tables[1:]:
-        done = done.unionByName(t)
-    return done.where("NOT open").select(*KEY, F.when(F.coalesce("ok", F.lit(False)), F.col("path")).alias("path"), F.coalesce("ok", F.lit(False)).alias("ok"))
+        tables.append(write_table(moved.select(*state.columns), "paths"))
+    done = read_tables(state, tables).where("NOT open")
+    return done.select(*KEY, F.when(F.coalesce("ok", F.lit(False)), F.col("path")).alias("path"), F.coalesce("ok", F.lit(False)).alias("ok"))
 
 
 def full_paths(records: DataFrame, volume: Column | None = None) -> DataFrame:
@@ -284,17 +293,19 @@ def full_paths(records: DataFrame, volume: Column | None = None) -> DataFrame:
     ``volume`` is put before each path; it is the image by default.
     """
     parts = _names_of(records, make_reference(F.col("sequence"), F.col("record_number")).alias("reference_number"))
-    return _located(parts.select(*KEY, "reference_number"), _best_of(parts), volume)
+    return _located(_all_named(parts), ["reference_number"], volume)
 
 
-def _located(keys: DataFrame, best: DataFrame, volume: Column | None) -> DataFrame:
-    names = written(best, "best-names")
-    above = directory_paths(names).select("image", F.col("record_number").alias("parent"), F.col("path").alias("above"), "ok")
-    joined = names.withColumn("parent", record_number(F.col("name.parent_reference"))).join(above, ["image", "parent"], "left")
+def _located(named: DataFrame, columns: Sequence[str], volume: Column | None, wanted: Column | None = None) -> DataFrame:
+    """(image, record_number, columns..., name, path) of the ``wanted`` records, all by default; all of them lead to paths."""
+    above = directory_paths(named.select(*KEY, "name").where("name IS NOT NULL")).select("image", F.col("record_number").alias("parent"), F.col("path").alias("above"), "ok")
+    rows = named if wanted is None else named.where(wanted)
+    placed = rows.select(*KEY, *columns, F.col("name.name").alias("name"), record_number(F.col("name.parent_reference")).alias("parent"))
+    joined = spread_join(placed, above, ["image", "parent"], "left", F.col("record_number"))
     prefix = F.col("image") if volume is None else volume
-    whole = F.concat(F.regexp_replace(prefix, r"\\$", ""), F.coalesce("above", F.lit("")), F.lit("\\"), F.col("name.name"))
-    found = joined.select(*KEY, F.col("name.name").alias("name"), F.when(F.col("ok"), whole).otherwise(F.lit("")).alias("path"))
-    return keys.join(found, KEY, "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("name", "path")})
+    whole = F.concat(F.regexp_replace(prefix, r"\\$", ""), F.coalesce("above", F.lit("")), F.lit("\\"), F.col("name"))
+    path = F.coalesce(F.when(F.col("ok"), whole), F.lit(""))
+    return joined.select(*KEY, *columns, F.coalesce("name", F.lit("")).alias("name"), path.alias("path"))
 
 
 INFO = ("reference_number", "is_directory", "size", "created", "accessed", "modified", "created_ticks", "accessed_ticks", "modified_ticks")
@@ -324,4 +335,4 @@ def files(records: DataFrame, volume: Column | None = None) -> DataFrame:
     """
     is_file = (F.col("record_number") >= layout.FIRST_NORMAL_RECORD) & F.col("allocated") & in_use(F.col("flags"))
     parts = _names_of(records, F.coalesce(is_file, F.lit(False)).alias("is_file"), *_info())
-    return _located(parts.where("is_file").select(*KEY, *INFO), _best_of(parts), volume)
+    return _located(_all_named(parts), INFO, volume, F.col("is_file"))

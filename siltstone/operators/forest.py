@@ -1,8 +1,9 @@
-"""Forests as numpy arrays: one array gives for each node the index of its parent, -1 for a root."""
+"""Forests as numpy arrays: one array gives for each node the index of its parent, -1 for a root.
 
-from __future__ import annotations
+All passes double the distance they cover, so that long chains cost no more than bushy trees.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
 import numpy as np
 
@@ -14,7 +15,7 @@ def parent_index(node: np.ndarray, parent: np.ndarray, has_parent: np.ndarray) -
 
 
 def depths(up: np.ndarray) -> np.ndarray:
-    """The number of ancestors, -1 for a node in or below a circle; by doubling, so also for long chains."""
+    """The number of ancestors, -1 for a node in or below a circle."""
     jump, depth = up.copy(), (up >= 0).astype(np.int64)
     left = np.flatnonzero(jump >= 0)
     while len(left):
@@ -30,18 +31,21 @@ def depths(up: np.ndarray) -> np.ndarray:
     return depth
 
 
-def levels(depth: np.ndarray) -> list[np.ndarray]:
-    """The nodes of each depth, from the roots down; those of circles are left out."""
-    order = np.argsort(depth, kind="stable")
-    order = order[depth[order] >= 0]
-    return np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if len(order) else []
+def _moving(up: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes that are not roots and end at one, and a copy of the parents to jump with."""
+    return np.flatnonzero((up >= 0) & (depth >= 0)), up.copy()
 
 
-def subtree_sums(up: np.ndarray, by_level: list[np.ndarray], own: np.ndarray) -> np.ndarray:
-    """For each node the sum of ``own`` over its subtree."""
+def subtree_sums(up: np.ndarray, depth: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each node the sum of ``own`` over its subtree, nodes of circles left out."""
     out = own.astype(np.int64)
-    for level in reversed(by_level[1:]):
-        np.add.at(out, up[level], out[level])
+    live, jump = _moving(up, depth)
+    while len(live):
+        to = jump[live]
+        given, further = out[live].copy(), jump[to]
+        np.add.at(out, to, given)
+        jump[live] = further
+        live = live[further >= 0]
     return out
 
 
@@ -56,21 +60,23 @@ def before_siblings(up: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-def down(up: np.ndarray, by_level: list[np.ndarray], step: np.ndarray) -> np.ndarray:
+def down(up: np.ndarray, depth: np.ndarray, step: np.ndarray) -> np.ndarray:
     """For each node the sum of ``step`` over its path from the root; works for objects that can be added as well."""
     out = step.copy()
-    for level in by_level[1:]:
-        out[level] = out[up[level]] + step[level]
+    live, jump = _moving(up, depth)
+    while len(live):
+        to = jump[live]
+        out[live], jump[live] = out[to] + out[live], jump[to]
+        live = live[jump[live] >= 0]
     return out
 
 
-def roots(up: np.ndarray, by_level: list[np.ndarray]) -> np.ndarray:
-    """The index of each node's root."""
+def roots(up: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """The index of each node's root; of nodes in or below a circle their own."""
     out = np.arange(len(up))
-    for level in by_level[1:]:
-        out[level] = out[up[level]]
+    live, jump = _moving(up, depth)
+    while len(live):
+        to = jump[live]
+        out[live], jump[live] = out[to], jump[to]
+        live = live[jump[live] >= 0]
     return out
-
-
-def slices(n: int, size: int) -> Iterator[slice]:
-    return (slice(a, min(a + size, n)) for a in range(0, n, size))

@@ -23,22 +23,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators import forest
 from siltstone.operators.prefix import before
-from siltstone.session import written
+from siltstone.session import read_tables, write_table, written
 
 LOCAL = 1 << 18
+#: The most characters that the paths of such a tree may have in all; otherwise it is swept like a larger one.
+MOST_TEXT = 1 << 28
 #: A range of a nested set is cut into cells of 16 ** level numbers.
 RADIX_BITS = 4
 
 RANGES = "tree bigint, node bigint, parent bigint, size bigint, lft bigint, depth bigint, root bigint, path string"
 
 
-def _local(with_path: bool):
-    """Nested sets of one tree: (tree, node, parent, name, own) -> RANGES."""
+def _local(with_path: bool, most_text: int):
+    """Nested sets of one tree: (tree, node, parent, name, own) -> RANGES; paths are null if they have too many characters."""
 
     def place(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("node")
@@ -46,15 +49,17 @@ def _local(with_path: bool):
         has = np.asarray(rows["parent"].combine_chunks().is_valid())
         up = forest.parent_index(node, np.asarray(rows["parent"].combine_chunks().fill_null(0)), has)
         depth = forest.depths(up)
-        by_level = forest.levels(depth)
-        size = forest.subtree_sums(up, by_level, np.asarray(rows["own"].combine_chunks()))
+        size = forest.subtree_sums(up, depth, np.asarray(rows["own"].combine_chunks()))
         step = forest.before_siblings(up, size) + (up >= 0)
-        lft, root = forest.down(up, by_level, step), forest.roots(up, by_level)
+        lft, root = forest.down(up, depth, step), forest.roots(up, depth)
         kept = np.flatnonzero(depth >= 0)
-        if with_path:
+        lengths = np.asarray(pc.utf8_length(rows["name"]).combine_chunks()).astype(np.int64) if with_path else np.zeros(len(node), np.int64)
+        if forest.down(up, depth, lengths)[kept].sum() > most_text:
+            path = pa.nulls(len(kept), pa.string())
+        elif with_path:
             own = np.empty(len(node), object)
             own[:] = rows["name"].to_pylist()
-            path = pa.array(forest.down(up, by_level, own)[kept], pa.large_string()).cast(pa.string())
+            path = pa.array(forest.down(up, depth, own)[kept], pa.large_string()).cast(pa.string())
         else:
             path = pa.array([""] * len(kept), pa.string())
         columns = [pa.array(np.full(len(kept), key[0].as_py())), *[pa.array(x[kept]) for x in (node,)], rows["parent"].combine_chunks().take(pa.array(kept)), *[pa.array(x[kept]) for x in (size, lft, depth)], pa.array(node[root[kept]]), path]
@@ -70,40 +75,34 @@ def _sweep_up(start: DataFrame) -> DataFrame:
     a node that has ended already is written beside it and added up at the end.
     """
     begun = start.select("tree", "node", F.col("parent").alias("jump"), F.col("own").alias("size"), F.col("parent").isNotNull().alias("open"))
-    tables = [written(begun, "tree-sizes")]
-    left = tables[0].where("open").count()
+    paths = [write_table(begun, "tree-sizes")]
+    latest = read_tables(begun, paths)
+    left = latest.where("open").count()
     while left:
-        now = tables[-1].where("open")
+        now = latest.where("open")
         up = now.select("tree", F.col("node").alias("jump"), F.col("jump").alias("next"))
         reached = now.groupBy("tree", F.col("jump").alias("node")).agg(F.sum("size").alias("more"))
         step = now.join(up, ["tree", "jump"], "left").join(reached, ["tree", "node"], "full_outer")
-        tables.append(written(step.select("tree", "node", F.col("next").alias("jump"), (F.coalesce("size", F.lit(0).cast("bigint")) + F.coalesce("more", F.lit(0).cast("bigint"))).alias("size"), F.col("next").isNotNull().alias("open")), "tree-sizes"))
-        still = tables[-1].where("open").count()
+        paths.append(write_table(step.select("tree", "node", F.col("next").alias("jump"), (F.coalesce("size", F.lit(0).cast("bigint")) + F.coalesce("more", F.lit(0).cast("bigint"))).alias("size"), F.col("next").isNotNull().alias("open")), "tree-sizes"))
+        latest = read_tables(begun, paths[-1:])
+        still = latest.where("open").count()
         if still == left:  # depths have no gaps: who has not ended by now never will
             break
         left = still
-    ended = tables[0]
-    for t in tables[1:]:
-        ended = ended.unionByName(t)
-    return ended.where("NOT open").groupBy("tree", "node").agg(F.sum("size").alias("size"))
+    return read_tables(begun, paths).where("NOT open").groupBy("tree", "node").agg(F.sum("size").alias("size"))
 
 
 def _sweep_down(start: DataFrame) -> DataFrame:
     """(tree, node, lft, depth, root, path): folded from the root down, from rows with the columns jump, lft, depth, root and path."""
-    tables = [written(start.withColumn("round", F.lit(0)), "tree-ranges")]
-    while not tables[-1].where("jump IS NOT NULL").isEmpty():
-        known = tables[0]
-        for t in tables[1:]:
-            known = known.unionByName(t)
-        known = known.where(F.col("jump").isNull() | (F.col("round") == len(tables) - 1))
+    start = start.withColumn("round", F.lit(0))
+    paths = [write_table(start, "tree-ranges")]
+    while not (latest := read_tables(start, paths[-1:]).where("jump IS NOT NULL")).isEmpty():
+        known = read_tables(start, paths).where(F.col("jump").isNull() | (F.col("round") == len(paths) - 1))
         up = known.select("tree", F.col("node").alias("jump"), F.col("jump").alias("next"), *[F.col(c).alias(f"up_{c}") for c in ("lft", "depth", "root", "path")])
-        folded = [(F.col(c) + F.col(f"up_{c}")).alias(c) for c in ("lft", "depth")] + [F.col("up_root").alias("root"), F.concat("up_path", "path").alias("path")]
-        moved = tables[-1].where("jump IS NOT NULL").join(up, ["tree", "jump"]).select("tree", "node", F.col("next").alias("jump"), *folded, F.lit(len(tables)).alias("round"))
-        tables.append(written(moved, "tree-ranges"))
-    done = tables[0]
-    for t in tables[1:]:
-        done = done.unionByName(t)
-    return done.where("jump IS NULL").select("tree", "node", "lft", "depth", "root", "path")
+        folded = {c: F.col(c) + F.col(f"up_{c}") for c in ("lft", "depth")} | {"root": F.col("up_root"), "path": F.concat("up_path", "path")}
+        moved = latest.join(up, ["tree", "jump"]).select("tree", "node", F.col("next").alias("jump"), *[v.alias(c) for c, v in folded.items()], F.lit(len(paths)).alias("round"))
+        paths.append(write_table(moved.select(*start.columns), "tree-ranges"))
+    return read_tables(start, paths).where("jump IS NULL").select("tree", "node", "lft", "depth", "root", "path")
 
 
 def _swept(start: DataFrame) -> DataFrame:
@@ -123,10 +122,17 @@ def _ranges(inner: DataFrame, with_path: bool) -> DataFrame:
     ``own`` is 1 and the number of leaves of a node.  Children are laid out inner nodes first, then leaves.
     """
     large = inner.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LOCAL).select("tree")
+    place = _local(with_path, MOST_TEXT)
     if large.isEmpty():
-        return written(inner.groupBy("tree").applyInArrow(_local(with_path), RANGES), "tree-ranges")
-    small = inner.join(large, "tree", "left_anti").groupBy("tree").applyInArrow(_local(with_path), RANGES)
-    return written(small.unionByName(_swept(inner.join(large, "tree", "left_semi"))), "tree-ranges")
+        ranges = written(inner.groupBy("tree").applyInArrow(place, RANGES), "tree-ranges")
+    else:
+        small = inner.join(large, "tree", "left_anti").groupBy("tree").applyInArrow(place, RANGES)
+        ranges = written(small.unionByName(_swept(inner.join(large, "tree", "left_semi"))), "tree-ranges")
+    wordy = ranges.where("path IS NULL").select("tree").distinct()
+    if not with_path or wordy.isEmpty():
+        return ranges
+    wordy = written(wordy, "tree-wordy")
+    return written(ranges.join(wordy, "tree", "left_anti").unionByName(_swept(inner.join(wordy, "tree", "left_semi"))), "tree-ranges")
 
 
 def _links(links: DataFrame, tree: str, node: str, parent: str, ends: DataFrame | None, name: Column | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions import layout
+from siltstone.functions import layout, tables
 from siltstone.functions.columns import filetime_to_timestamp, flag, in_use, is_directory, journal_ticks, reason_text, unsigned
 from siltstone.functions.references import RECORD_MASK, make_reference, record_number, same_file_id, sequence_number
 from siltstone.operators import files, journal
@@ -112,6 +112,14 @@ def mft_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keys(files.attributes(_records(spark, sf_dir)), "ordinal", F.col("type_id").cast("bigint").alias("type_id"), "id", "non_resident")
 
 
+def mft_attribute_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name attributes of every record, through the table function over raw records."""
+    tables.register(spark)
+    _images(spark, sf_dir, output="raw").where("allocated").createOrReplaceTempView("siltstone_raw_records")
+    rows = spark.sql("SELECT r.image, r.record_number, a.* FROM siltstone_raw_records r, LATERAL siltstone_attributes(r.raw) a WHERE a.name IS NOT NULL")
+    return _keys(rows, "ordinal", F.col("id").alias("attr_id"), "name", "namespace", record_number(F.col("parent_reference")).alias("parent"))
+
+
 def mft_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags of every name attribute and of its record."""
     rows = _records(spark, sf_dir).where("is_valid").select("image", "record_number", "flags", F.explode("attributes").alias("a")).where("a.name IS NOT NULL")
@@ -287,7 +295,7 @@ def usn_enrich_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        mft_record_exists, mft_is_valid, mft_range, mft_contents, mft_listed_names, mft_paths_deep, mft_files, mft_get_record, mft_best_name, mft_paths, mft_listing, mft_times, mft_attributes, mft_flags, mft_ref_number, mft_size, mft_named_stream_size, mft_read_data, mft_data_runs,
+        mft_record_exists, mft_is_valid, mft_range, mft_contents, mft_listed_names, mft_paths_deep, mft_files, mft_get_record, mft_best_name, mft_paths, mft_listing, mft_times, mft_attributes, mft_attribute_function, mft_flags, mft_ref_number, mft_size, mft_named_stream_size, mft_read_data, mft_data_runs,
         usn_decode, usn_reason_mask, usn_reason_str, usn_timestamp_ticks, usn_start_custom, usn_next, usn_is_own_parent, usn_stream, usn_version_mix, usn_cursor, usn_rename_match, usn_rename_match_trimmed, usn_rename_match_limited, usn_enrich_path,
     )
 }
@@ -348,6 +356,7 @@ SQL: dict[str, str] = {
       SELECT volume_id, record_number, 0 AS ordinal, 16::BIGINT AS type_id, 0 AS id, false AS non_resident FROM all_records
       UNION ALL SELECT volume_id, record_number, nth, 48, attr_id, false FROM k UNION ALL SELECT volume_id, record_number, n + 1, 128, 0, true FROM k WHERE nth = 1
       UNION ALL SELECT volume_id, record_number, n + 2, 176, 0, true FROM k WHERE nth = 1 AND record_number = 0""",
+    "mft_attribute_function": f"WITH {_ALL} SELECT volume_id, record_number, row_number() OVER (PARTITION BY volume_id, record_number ORDER BY attr_id)::INTEGER AS ordinal, attr_id, name, namespace, parent FROM known JOIN all_records USING (volume_id, record_number) WHERE allocated",
     "mft_flags": f"WITH {_ALL} SELECT volume_id, record_number, attr_id, flags & 1 = 1 AS is_used, flags & 2 = 2 AS is_directory, attributes & 1 = 1 AS is_readonly, attributes & 2 = 2 AS is_hidden, attributes & 4 = 4 AS is_system, attributes & 1024 = 1024 AS is_reparse_point FROM known JOIN all_records USING (volume_id, record_number)",
     "mft_ref_number": f"WITH {_ALL} SELECT volume_id, record_number, {_REFERENCE} AS reference_number, sequence, record_number AS low_bits FROM all_records",
     "mft_size": f"WITH {_ALL}, sizes AS (SELECT volume_id, record_number, max(size) AS size FROM known GROUP BY volume_id, record_number) SELECT volume_id, record_number, coalesce(size, 0) AS size FROM all_records LEFT JOIN sizes USING (volume_id, record_number) WHERE {_USED}",

@@ -6,13 +6,16 @@ executors share.  Only a ``local`` master may fall back to a folder of its own.
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_dropping: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,19 +38,46 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path for an intermediate table."""
+    """A new path for an intermediate table; what is there is deleted when the application ends."""
+    _drop_at_exit(spark)
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a fault-tolerant cut of the lineage."""
+def _drop_at_exit(spark: SparkSession) -> None:
+    application = spark.sparkContext.applicationId
+    if application in _dropping:
+        return
+    _dropping.add(application)
+    fs, path = _fs(spark, scratch_root(spark))
+
+    def drop() -> None:
+        try:
+            fs.delete(path, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone already; nothing depends on it
+            pass
+
+    atexit.register(drop)
+
+
+def write_table(df: DataFrame, label: str) -> str:
+    """Write ``df`` to the shared folder and give its path."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def read_tables(like: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """Written tables with the columns of ``like``, as one scan."""
+    return like.sparkSession.read.schema(like.schema).parquet(*paths)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a fault-tolerant cut of the lineage."""
+    return read_tables(df, [write_table(df, label)])
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete every intermediate table of this application; call it when their results are no longer read."""
+    """Delete every intermediate table of this application now, once their results are no longer read."""
     fs, path = _fs(spark, scratch_root(spark))
     fs.delete(path, True)
 

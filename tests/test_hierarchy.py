@@ -49,14 +49,21 @@ def local(request, monkeypatch):
     return request.param
 
 
-@pytest.mark.parametrize("seed", [0, 3])
-def test_endless_against_peeling(spark, local, seed):
-    links, ends = random_links(seed, several=seed > 1), [(1, 0), (2, 0), (2, 50)]
+def test_paths_too_long_for_a_task(spark, monkeypatch):
+    """The tree with many characters is swept, the other is not; both get their paths."""
+    monkeypatch.setattr(hierarchy, "MOST_TEXT", 50)
+    links = [(1, i, i - 1 if i else None) for i in range(9)] + [(2, 1, None), (2, 2, 1), (2, 3, 2)]
+    got = {(r["v"], r["n"]): r["path"] for r in nested_sets(make(spark, links), "v", "n", "p", F.col("label")).collect()}
+    assert got == {(v, n): "".join(f"/{x}" for x in range(v - 1, n + 1)) for v, n, _ in links}
+
+
+def test_endless_against_peeling(spark, local):
+    links, ends = random_links(3, True, n=60), [(1, 0), (2, 0), (2, 50)]
     got = endless(make(spark, links), "v", "n", "p", spark.createDataFrame(ends, ENDS))
     assert rows(got) == brute_endless(links, ends)
 
 
-def test_one_node_with_several_parents_does_not_change_the_others(spark, local):
+def test_one_node_with_several_parents_does_not_change_the_others(spark):
     """A circle, a chain, and two inner nodes with several parents, of which one hangs from the circle through the other."""
     links = [(1, i, i - 1 if i else None) for i in range(40)] + [(1, 50, 51), (1, 51, 50)]
     links += [(1, 60, 39), (1, 60, 20), (1, 61, 60), (1, 70, 61), (1, 70, 51), (1, 71, 70), (1, 80, 71), (1, 80, 3), (1, 81, 80), (1, 90, 10), (1, 90, 61)]
@@ -91,10 +98,10 @@ def test_nested_sets(spark, local):
                 assert inside == below[k] and r["n_below"] == len(inside)
 
 
-def test_long_chain_self_loop_and_empty(spark, local):
-    chain = [(1, i, i - 1 if i else None) for i in range(300)] + [(1, 1000, 1000), (1, 1001, 1000)]
+def test_long_chain_and_self_loop(spark):
+    chain = [(1, i, i - 1 if i else None) for i in range(70)] + [(1, 1000, 1000), (1, 1001, 1000)]
     got = {r["n"]: r for r in nested_sets(make(spark, chain), "v", "n", "p").collect()}
-    assert (got[299]["depth"], got[0]["n_below"], got[299]["root"]) == (299, 299, 0)
+    assert (got[69]["depth"], got[0]["n_below"], got[69]["root"]) == (69, 69, 0)
     assert got[1000]["lft"] is None and got[1001]["lft"] is None
     assert rows(endless(make(spark, chain), "v", "n", "p")) == [(1, 1000), (1, 1001)]
 

@@ -154,3 +154,8 @@ def test_patterns_and_files(tmp_path):
         assert storage.read_file(f"{head}{tmp_path}/c/note") == b"x"
     with pytest.raises(Exception, match="cannot read"):
         storage.open_file(str(tmp_path / "none"))
+    from pyarrow import fs
+
+    other, inner = storage.Remote(fs.LocalFileSystem()), str(tmp_path / "d" / "note")  # as for other schemes
+    other.write(inner, b"y")
+    assert other.open(inner).read() == b"y" and other.entries(str(tmp_path / "d")) == [("note", 1, False)] and other.entries(str(tmp_path / "e")) == []

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.errors import SiltstoneError
-from siltstone.functions import layout
+from siltstone.functions import layout, tables
 from siltstone.operators import files
 from siltstone.plans import encode
 from siltstone.sources import records
@@ -283,3 +283,12 @@ def test_paths_walked_and_doubled(spark, monkeypatch, local, text, long):
         want["v", p] = ("".join(reversed(parts)), True) if ok else (None, False)
     got = {(x["image"], x["record_number"]): (x["path"], x["ok"]) for x in files.directory_paths(names, 3).collect()}
     assert got == want
+
+
+def test_the_table_function_gives_what_the_listing_gives(spark):
+    tables.register(spark)
+    good = encode.record(1, 1, [name("a"), listing(77), name("b", P, 9), encode.attribute(layout.DATA, b"xyz")])
+    raws = [(1, bytearray(good)), (2, None), (3, bytearray(b"FILE")), (4, bytearray(patched(good, 510, b"\xff\xff"))), (5, bytearray(1024))]
+    spark.createDataFrame(raws, "n int, raw binary").createOrReplaceTempView("raw_for_test")
+    got = spark.sql("SELECT r.n, a.ordinal, a.type_id, a.value_length, a.name, a.namespace, a.parent_reference FROM raw_for_test r, LATERAL siltstone_attributes(r.raw) a")
+    assert rows(got) == [(1, 0, 48, 68, "a", W, 5), (1, 1, 32, 32, None, None, None), (1, 2, 48, 68, "b", P, 9), (1, 3, 128, 3, None, None, None)]

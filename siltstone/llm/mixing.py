@@ -4,8 +4,9 @@ Documents of a source get copies at a rate exp(lambda * x), x being their tokens
 source, cut off at the largest number of repeats.  The lambda of each (mix, source) solves the convex
 dual of the token constraint: distributed Newton steps over the histogram (source, tokens) -> documents,
 which is exact and is the only thing that is read again and again.  A step that leaves the bracket known
-to hold the solution is replaced by halving; the steps end when the tokens are within ``CLOSE_ENOUGH`` of
-the target, or when no number lies between the ends of the bracket, which ``converged`` then denies.
+to hold the solution is replaced by halving, and each step looks at a few more points to narrow it.  The
+steps end when the tokens are within ``CLOSE_ENOUGH`` of the target, or when no number lies between the
+ends of the bracket, which ``converged`` then denies.
 Rates are rounded to copies batch by batch in order of size, by a running sum of the fractions, which
 starts where the tokens still owed by the batches before ask for.
 
@@ -44,6 +45,15 @@ def histogram(sizes: DataFrame) -> DataFrame:
     return sizes.where("source IS NOT NULL AND n_tokens > 0").groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _points(state: dict) -> list[float]:
+    """Where a step evaluates the dual: at the Newton point, and around it to narrow the bracket in the same pass."""
+    at, low, high = state["at"], state["low"], state["high"]
+    far = 2 * abs(at) + 1
+    a, b = low if math.isfinite(low) else min(at - far, high), high if math.isfinite(high) else max(at + far, low)
+    more = [a + (b - a) * k / 4 for k in (1, 2, 3)] if math.isfinite(low) and math.isfinite(high) else [a, b]
+    return sorted({at, *[p for p in more if low < p < high]})
+
+
 def balance(sizes: DataFrame, targets: DataFrame, counts: DataFrame) -> DataFrame:
     """One row per (mix, source) with its target, whether it can be reached, and lambda (null: at the cap)."""
     spark = sizes.sparkSession
@@ -63,24 +73,30 @@ def balance(sizes: DataFrame, targets: DataFrame, counts: DataFrame) -> DataFram
         if not available and target > 0:  # nothing to tilt
             state[-1] |= {"done": True, "full": True}
     while left := [s for s in state if not s["done"]]:
-        guess = spark.createDataFrame([(s["mix_id"], s["source"], float(s["at"]), float(s["cap"]), float(s["mean"])) for s in left], "mix_id int, source string, at double, cap double, mean double")
+        points = [(s["mix_id"], s["source"], float(at), float(s["cap"]), float(s["mean"])) for s in left for at in _points(s)]
+        guess = spark.createDataFrame(points, "mix_id int, source string, at double, cap double, mean double")
         x = F.col("n_tokens") / F.col("mean")
         tilt = F.exp(F.least(F.col("at") * x, F.lit(50.0)))
         tokens = F.col("n") * F.col("n_tokens")
         # Gradient and curvature of the dual at lambda, and the limit of the gradient's first term for lambda to infinity.
         parts = [F.sum(tokens * F.least(tilt, "cap")).alias("value"), F.sum(F.when(tilt < F.col("cap"), tokens * tilt * x).otherwise(0.0)).alias("slope"), F.sum(tokens * F.col("cap")).alias("ceiling")]
-        now = {(r["mix_id"], r["source"]): r for r in counts.join(guess, "source").groupBy("mix_id", "source").agg(*parts).collect()}
+        found: dict[tuple[int, str], list] = {}
+        for r in counts.join(guess, "source").groupBy("mix_id", "source", "at").agg(*parts).collect():
+            found.setdefault((r["mix_id"], r["source"]), []).append(r)
         for s in left:
-            r = now[s["mix_id"], s["source"]]
-            gap = r["value"] - s["target"]
-            if r["ceiling"] <= s["target"]:  # the dual rises for ever
+            rows = found[s["mix_id"], s["source"]]
+            best = min(rows, key=lambda r: (abs(r["value"] - s["target"]), abs(r["at"])))
+            gap, s["at"] = best["value"] - s["target"], best["at"]
+            if best["ceiling"] <= s["target"]:  # the dual rises for ever
                 s["done"] = s["full"] = True
             elif abs(gap) <= CLOSE_ENOUGH * s["target"]:
                 s["done"] = True
             else:
-                s["low" if gap < 0 else "high"] = s["at"]
-                step = s["at"] - gap / r["slope"] if r["slope"] > 0 else math.nan
-                far = 2 * abs(s["at"]) + 1
+                for r in rows:  # the tokens grow with lambda
+                    side, pick = ("low", max) if r["value"] < s["target"] else ("high", min)
+                    s[side] = pick(s[side], r["at"])
+                step = best["at"] - gap / best["slope"] if best["slope"] > 0 else math.nan
+                far = 2 * abs(best["at"]) + 1
                 if s["low"] < step < s["high"] and abs(step) <= 4 * far:
                     s["at"] = step
                 elif math.isinf(s["high"]) or math.isinf(s["low"]):

@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CLOSE_ENOUGH = 1e-7
+#: The most rows of a few numbers that are sent to every task.
+SENT = 10_000
 STATE = "mix_id int, source string, share double, target double, cap int, available bigint, reachable boolean, converged boolean, rate_lambda double, mean double"
 
 
@@ -45,6 +47,11 @@ def histogram(sizes: DataFrame) -> DataFrame:
     return sizes.where("source IS NOT NULL AND n_tokens > 0").groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _to_all(rows: DataFrame, n: int) -> DataFrame:
+    """Rows made of the targets, sent to every task if they are few; otherwise Spark is left to join them as it sees fit."""
+    return F.broadcast(rows) if n <= SENT else rows
+
+
 def _points(state: dict) -> list[float]:
     """Where a step evaluates the dual: at the Newton point, and around it to narrow the bracket in the same pass."""
     at, low, high = state["at"], state["low"], state["high"]
@@ -81,7 +88,7 @@ def balance(sizes: DataFrame, targets: DataFrame, counts: DataFrame) -> DataFram
         # Gradient and curvature of the dual at lambda, and the limit of the gradient's first term for lambda to infinity.
         parts = [F.sum(tokens * F.least(tilt, "cap")).alias("value"), F.sum(F.when(tilt < F.col("cap"), tokens * tilt * x).otherwise(0.0)).alias("slope"), F.sum(tokens * F.col("cap")).alias("ceiling")]
         found: dict[tuple[int, str], list] = {}
-        for r in counts.join(guess, "source").groupBy("mix_id", "source", "at").agg(*parts).collect():
+        for r in counts.join(_to_all(guess, len(points)), "source").groupBy("mix_id", "source", "at").agg(*parts).collect():
             found.setdefault((r["mix_id"], r["source"]), []).append(r)
         for s in left:
             rows = found[s["mix_id"], s["source"]]
@@ -114,10 +121,9 @@ def balance(sizes: DataFrame, targets: DataFrame, counts: DataFrame) -> DataFram
 
 def copies(sizes: DataFrame, state: DataFrame) -> DataFrame:
     """(mix_id, doc_id, source, n_tokens, copies) of the documents with at least one copy."""
-    used = state.where("target > 0").select("mix_id", "source", "cap", "rate_lambda", "mean")
+    used = _to_all(state.where("target > 0").select("mix_id", "source", "cap", "rate_lambda", "mean"), state.count())
     tilt = F.exp(F.least(F.col("rate_lambda") * F.col("n_tokens") / F.col("mean"), F.lit(50.0)))
     rate = F.when(F.col("rate_lambda").isNull(), F.col("cap").cast("double")).otherwise(F.least(tilt, "cap"))
-    # No hint: Spark knows the size of the state and sends it to all tasks only below its threshold.
     rated = sizes.where("n_tokens > 0").join(used, "source").select("mix_id", "doc_id", "source", "n_tokens", rate.alias("rate"), "cap")
     kind = rated.schema["doc_id"].dataType.simpleString()
 

@@ -37,10 +37,10 @@ def with_paths(records: DataFrame, paths: DataFrame) -> DataFrame:
     with a large part of all are spread over many tasks.
     """
     known = written(paths.where("path <> ''").select("journal", F.col("reference").alias("r"), F.col("path").alias("p")), "journal-paths")
-    found = records.withColumn("own_ref", reference_of(F.col("file_id"))).withColumn("parent_ref", reference_of(F.col("parent_id")))
-    for key, column in (("parent_ref", "parent_path"), ("own_ref", "own_path")):
+    found = records.withColumn("_own_ref", reference_of(F.col("file_id"))).withColumn("_parent_ref", reference_of(F.col("parent_id")))
+    for key, column in (("_parent_ref", "_parent_path"), ("_own_ref", "_own_path")):
         found = spread_join(found, known.select("journal", F.col("r").alias(key), F.col("p").alias(column)), ["journal", key], "left", F.col("usn"))
-    path = F.coalesce(F.when(F.col("parent_path").isNotNull(), join_path(F.col("parent_path"), F.col("name"))), F.col("own_path"), F.col("name"))
+    path = F.coalesce(F.when(F.col("_parent_path").isNotNull(), join_path(F.col("_parent_path"), F.col("name"))), F.col("_own_path"), F.col("name"))
     return found.withColumn("path", path).select(*records.columns, "path")
 
 

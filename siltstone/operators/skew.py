@@ -13,6 +13,8 @@ from siltstone.session import written
 #: A key is hot if it has more than a thousandth of the rows, so there are fewer than a thousand, and at least LEAST.
 SHARE, LEAST = 1000, 100_000
 SALTS = 64
+#: Columns that a join adds for its own use.
+HOT, SALT = "_spread_hot", "_spread_salt"
 
 
 def hot_keys(rows: DataFrame, on: Sequence[str]) -> DataFrame | None:
@@ -48,11 +50,11 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
     hot = None if sent_to_all(right) else hot_keys(left, on)
     if hot is None:
         return left.join(right, list(on), how)
-    marks = F.broadcast(hot.withColumn("is_hot", F.lit(True)))
-    spread = F.coalesce(F.col("is_hot"), F.lit(False))
+    marks = F.broadcast(hot.withColumn(HOT, F.lit(True)))
+    spread = F.coalesce(F.col(HOT), F.lit(False))
     for c in on:  # rows without a key find nothing, wherever they go
         spread |= F.col(c).isNull()
-    salted = left.join(marks, list(on), "left").withColumn("salt", F.when(spread, F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("is_hot")
-    copies = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(marks, list(on), "left").withColumn("salt", F.explode(copies)).drop("is_hot")
-    return salted.join(repeated, [*on, "salt"], how).drop("salt")
+    salted = left.join(marks, list(on), "left").withColumn(SALT, F.when(spread, F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(0)).drop(HOT)
+    copies = F.when(F.col(HOT), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.join(marks, list(on), "left").withColumn(SALT, F.explode(copies)).drop(HOT)
+    return salted.join(repeated, [*on, SALT], how).drop(SALT)

@@ -26,7 +26,7 @@ def test_running_values_against_plain_python(spark, operation, parts):
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_hot_keys_are_spread_and_nothing_else_changes(spark, monkeypatch, how):
     monkeypatch.setattr(skew, "LEAST", 100)
-    left = spark.range(900).select((F.when(F.col("id") < 300, 7).when(F.col("id") < 600, 8).when(F.col("id") < 650, None).otherwise(F.col("id"))).alias("k"), F.lit(1).alias("j"), F.col("id"))
+    left = spark.range(900).select((F.when(F.col("id") < 300, 7).when(F.col("id") < 600, 8).when(F.col("id") < 650, None).otherwise(F.col("id"))).alias("k"), F.lit(1).alias("j"), F.col("id"), F.lit("s").alias("salt"), F.lit(0).alias("is_hot"))
     right = spark.createDataFrame([(7, 1, "x"), (7, 1, "y"), (700, 1, "z"), (701, 2, "w")], "k bigint, j int, v string")
     hot = skew.hot_keys(left, ["j", "k"])
     assert rows(hot) == [(1, 7), (1, 8)]
@@ -37,7 +37,7 @@ def test_hot_keys_are_spread_and_nothing_else_changes(spark, monkeypatch, how):
         spread = skew.spread_join(left, right, ["j", "k"], how, F.col("id"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "salt" in spread._jdf.queryExecution().toString()
+    assert skew.SALT in spread._jdf.queryExecution().toString()
     assert rows(spread) == rows(left.join(right, ["j", "k"], how)) and spread.columns == left.join(right, ["j", "k"], how).columns
     assert skew.hot_keys(left.where("id > 650"), ["j", "k"]) is None
     assert [skew._bytes(x) for x in ("-1", "10485760b", "10MB", "2g")] == [-1, 10485760, 10 << 20, 2 << 30]

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import struct
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -66,15 +68,17 @@ def list_value(entries: list[tuple[int, int]]) -> bytes:
     return b"".join(struct.pack("<IHBBQQH", t, 32, 0, 26, 0, r & MASK64, 0).ljust(32, b"\0") for t, r in entries)
 
 
+def _first(size: int) -> int:
+    """Where the attributes of a record begin, behind the update sequence."""
+    return (48 + 2 * (size // layout.SECTOR + 1) + 7) // 8 * 8
+
+
 def record(sequence: int, flags: int, attributes: list[bytes], base: int = 0, size: int = 1024) -> bytes:
     """A whole record with sector ends replaced by the update sequence; it grows by 1024 where needed."""
     body = b"".join(attributes) + struct.pack("<II", layout.END, 0)
-    while True:
-        words = size // layout.SECTOR + 1
-        first = (48 + 2 * words + 7) // 8 * 8
-        if first + len(body) <= size:
-            break
+    while (first := _first(size)) + len(body) > size:
         size += 1024
+    words = size // layout.SECTOR + 1
     head = struct.pack("<4sHHQHHHHIIQHHI", b"FILE", 48, words, 0, sequence, 1, first, flags, first + len(body), size, base & MASK64, len(attributes), 0, 0)
     out = bytearray((head.ljust(first, b"\0") + body).ljust(size, b"\0"))
     mark = b"\x01\x02"
@@ -113,6 +117,7 @@ def _spread(rows: DataFrame) -> DataFrame:
 
 #: Records of a page: what one group of tasks writes.  Pages without records are holes in the table.
 PAGE = 8192
+#: Where the bitmap begins, and the table unless the bitmap is longer than what is between them.
 BITMAP_AT, TABLE_AT = 1 << 20, 16 << 20
 
 
@@ -158,7 +163,7 @@ def mft_image_files(spark, sf_dir: str) -> str:
     """The folder of one image per volume, ``volume-<id>.img``.
 
     A record with names has a data stream of the largest size that they give.  The table of a volume is
-    fragmented: pages in falling order with a gap between them, holes for the pages without records.
+    fragmented, see ``_table_layout``: as far as record 0 has room to tell.
     """
     folder = input_folder(spark, sf_dir, "images")
 
@@ -167,23 +172,21 @@ def mft_image_files(spark, sf_dir: str) -> str:
         pages: dict[int, list[int]] = {}
         for r in rows.select("volume_id", "page").distinct().collect():  # a few pages a volume
             pages.setdefault(r["volume_id"], []).append(r["page"])
+        own = {r["volume_id"]: r["names"] for r in rows.where("record_number = 0").select("volume_id", "names").collect()}
         volumes = {}
         for v in spark.read.parquet(f"{sf_dir}/volumes.parquet").collect():
             cluster = v["sector_size"] * v["sectors_per_cluster"]
             info = v["file_record_size_info"]
             size = info * cluster if info > 0 else 1 << -info
-            at = {page: TABLE_AT + k * (PAGE * size + cluster) // cluster * cluster for k, page in enumerate(sorted(pages.get(v["volume_id"], []), reverse=True))}
-            if 0 not in at:
+            if 0 not in pages.get(v["volume_id"], []):
                 continue
-            runs, following, where = [], 0, 0
-            for page in sorted(at):
-                if page > following:
-                    runs.append((None, (page - following) * PAGE * size // cluster))
-                runs.append((at[page] // cluster - where, PAGE * size // cluster))
-                where, following = at[page] // cluster, page + 1
+            following = max(pages[v["volume_id"]]) + 1
             bits = following * PAGE // 8
-            data = stream_attribute(layout.DATA, following * PAGE * size, run_list(runs))
+            begin = -(-max(TABLE_AT, BITMAP_AT + bits) // cluster) * cluster
             bitmap = stream_attribute(layout.BITMAP, bits, run_list([(BITMAP_AT // cluster, -(-bits // cluster))]))
+            others = [attribute(layout.STANDARD_INFORMATION, standard_information(0, 0, 0)), *_name_attributes(own.get(v["volume_id"])), stream_attribute(layout.DATA, 0, b""), bitmap]
+            at, runs = _table_layout(pages[v["volume_id"]], PAGE * size, cluster, begin, size - _first(size) - sum(map(len, others)) - 8)
+            data = stream_attribute(layout.DATA, following * PAGE * size, runs)
             volumes[v["volume_id"]] = (size, at, data, bitmap)
             with open(f"{folder}/volume-{v['volume_id']}.img", "wb") as file:
                 file.truncate(max(at.values()) + PAGE * size + cluster)
@@ -209,13 +212,52 @@ def mft_image_files(spark, sf_dir: str) -> str:
     return _once(folder, make)
 
 
+def _table_layout(pages: list[int], page_size: int, cluster: int, begin: int, room: int) -> tuple[dict[int, int], bytes]:
+    """The position of each page in the image and the run list of the table, which is no longer than ``room``.
+
+    Extents lie in falling order with a gap between them, and pages without records are holes.  An extent
+    is one page; where the list would be too long it is more of them, and where it would be even then,
+    the shortest holes are filled: their pages are zeros in the image, as records that do not exist are.
+    """
+    pages = sorted(pages)
+    holes = sorted((i for i in range(1, len(pages)) if pages[i] - pages[i - 1] > 1), key=lambda i: pages[i] - pages[i - 1])
+
+    def laid(most: int, n_filled: int) -> tuple[dict[int, int], bytes]:
+        filled, extents, of = set(holes[:n_filled]), [], []
+        for i, page in enumerate(pages):
+            if i and (page == pages[i - 1] + 1 or i in filled) and page < extents[-1][0] + most:
+                extents[-1][1] = page + 1
+            else:
+                extents.append([page, page + 1])
+            of.append(len(extents) - 1)
+        sizes = [(end - first) * page_size for first, end in extents]
+        after = [x + cluster for x in reversed(sizes[1:])]
+        places = list(accumulate(after, initial=begin))[::-1]
+        runs, following, where = [], 0, 0
+        for (first, end), size, place in zip(extents, sizes, places):
+            if first > following:
+                runs.append((None, (first - following) * page_size // cluster))
+            runs.append((place // cluster - where, size // cluster))
+            where, following = place // cluster, end
+        return {page: places[k] + (page - extents[k][0]) * page_size for page, k in zip(pages, of)}, run_list(runs)
+
+    whole = pages[-1] + 1
+    most = next((1 << k for k in range(whole.bit_length()) if len(laid(1 << k, 0)[1]) <= room), whole)
+    at, runs = laid(most, bisect_left(range(len(holes)), True, key=lambda n: len(laid(most, n)[1]) <= room))
+    if len(runs) > room:
+        raise ValueError(f"a run list of {len(runs)} bytes does not fit into {room}")
+    return at, runs
+
+
+def _name_attributes(named: list | None) -> list[bytes]:
+    return [attribute(layout.FILE_NAME, name_value(n["parent"], n["name"], n["namespace"], n["attributes"], n["size"]), n["attr_id"]) for n in named or []]
+
+
 def _raws(group: pa.Table, record_size: int, data: bytes, bitmap: bytes) -> Iterator[bytes]:
     """The records of rows of ``_named_records``; record 0 describes the table itself."""
     created, modified, accessed = (_ticks(group[t]) for t in ("created", "modified", "accessed"))
     for i, (number, sequence, flags, base, named) in enumerate(zip(*(group[c].to_pylist() for c in ("record_number", "sequence", "flags", "base_reference", "names")))):
-        parts = [attribute(layout.STANDARD_INFORMATION, standard_information(created[i], modified[i], accessed[i]))]
-        for n in named or []:
-            parts.append(attribute(layout.FILE_NAME, name_value(n["parent"], n["name"], n["namespace"], n["attributes"], n["size"]), n["attr_id"]))
+        parts = [attribute(layout.STANDARD_INFORMATION, standard_information(created[i], modified[i], accessed[i])), *_name_attributes(named)]
         if number == 0:
             parts += [data, bitmap]
         elif named:

@@ -10,7 +10,7 @@ from siltstone.plans import encode, file_records
 from siltstone.sources import records
 from tests.conftest import rows
 
-QUERIES = ["mft_attribute_function", "mft_files", "mft_is_valid", "mft_range", "mft_size", "mft_attributes", "mft_flags", "mft_listing", "mft_record_exists", "mft_times", "mft_best_name", "mft_get_record", "mft_paths", "mft_ref_number"]
+QUERIES = ["mft_attribute_function", "mft_files", "mft_is_valid", "mft_range", "mft_size", "mft_attributes", "mft_flags", "mft_listing", "mft_record_exists", "mft_times", "mft_best_name", "mft_get_record", "mft_paths", "mft_ref_number", "usn_enrich_path"]
 
 
 @pytest.mark.parametrize("pages", [range(31), range(300), range(0, 400, 2), [0, 5, 7, 9000], [k * 379 + x for k in range(60) for x in (0, 1, 2, 366)]])
